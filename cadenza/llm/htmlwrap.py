@@ -40,6 +40,9 @@ MARKS = frozenset(
     " reader readers feedback widget toolbar pagination pager search tags hidden contentinfo complementary banners skip".split())
 MAIN = frozenset("article main articlebody".split())
 
+#: Elements within each other at most.
+DEPTH = 200
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -101,7 +104,7 @@ def parse(page: str) -> Node:
             if tag in RAW:
                 end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            elif tag not in VOID and not m[3].endswith("/"):
+            elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:  # deeper ones stand beside each other
                 stack.append(node)
     if at < len(page):
         stack[-1].kids.append(page[at:])
