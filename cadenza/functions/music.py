@@ -122,7 +122,8 @@ def energy_velocity(energy: Column) -> Column:
 
 
 def confidence_velocity(confidence: Column) -> Column:
-    return (confidence * 127).cast("int")
+    """Velocity of a confidence, cut off; null if that is not known."""
+    return (confidence * 127).try_cast("int")
 
 
 def file_name(path: Column) -> Column:

@@ -50,7 +50,8 @@ def raw_notes(frames: DataFrame, onsets: DataFrame, rms: DataFrame | None, min_c
     """
     rows = next_onsets(frame_pitches(frames, min_confidence), onsets)
     rows = rows.withColumn("velocity", confidence_velocity(F.col("confidence"))) if rms is None else frame_energy(rows, rms).withColumn("velocity", energy_velocity(F.col("energy")))
-    length = F.greatest(F.coalesce(F.least(F.col("next_onset") - F.col("time"), F.lit(max_duration)), F.lit(0.5)), F.lit(min_duration))
+    length = F.when(F.col("next_onset").isNull(), F.lit(0.5)).otherwise(F.least(F.col("next_onset") - F.col("time"), F.lit(max_duration)))
+    length = F.greatest(length, F.lit(min_duration))
     return rows.select("track_id", "frame_idx", "pitch", F.col("time").alias("start"), (F.col("time") + length).alias("end"), "velocity", "confidence")
 
 

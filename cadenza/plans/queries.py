@@ -119,7 +119,7 @@ FRAMES = """fr AS (
   val AS (SELECT *, 12 * (log2(f0) - log2(440.0::DOUBLE)) + 69 AS midi FROM fr WHERE confidence >= 0.3::DOUBLE AND NOT isnan(f0) AND f0 > 0),
   pit AS (SELECT *, round_even(midi, 0)::INT AS pitch FROM val WHERE midi BETWEEN 21 AND 108),
   nxt AS (SELECT p.*, (SELECT min(onset) FROM ons o WHERE o.track_id = p.track_id AND o.onset > p.time + 0.05::DOUBLE) AS next_onset FROM pit p),
-  raw AS (SELECT track_id, frame_idx, pitch, time AS s, time + greatest(coalesce(least(next_onset - time, 4.0::DOUBLE), 0.5::DOUBLE), 0.1::DOUBLE) AS e,
+  raw AS (SELECT track_id, frame_idx, pitch, time AS s, time + greatest(CASE WHEN next_onset IS NULL THEN 0.5::DOUBLE ELSE least(next_onset - time, 4.0::DOUBLE) END, 0.1::DOUBLE) AS e,
             trunc(least(greatest(energy * 127 * 2, 30.0::DOUBLE), 127.0::DOUBLE))::INT AS velocity, confidence FROM nxt)"""
 #: The fold of duplicates, one note after another of each track and pitch: last survivor's start
 #: and confidence go along, and a survivor is final when the next one doesn't replace it.
