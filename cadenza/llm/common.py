@@ -37,11 +37,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stored(df: DataFrame, label: str, codec: str = "lz4raw") -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "lz4_raw" if codec == "lz4raw" else codec).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -101,18 +101,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
 
-    mark = None
-    while True:
+    now = now.checkpoint()
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stars(both, True).filter("u <> v").distinct()
-        now = stars(large, False).filter("u <> v").distinct().checkpoint()
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        mark = seen
+        now = stars(stars(both, True).filter("u <> v"), False).filter("u <> v").distinct().checkpoint()
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each node of (u, v) that has a parent v has one only, and that one has none."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        pairs.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def lower_hex(col: Column) -> Column:
     return F.lpad(F.lower(F.hex(col)), 16, "0")
