@@ -31,6 +31,8 @@ from cadenza.llm.common import if_small, scratch_path, shuffle_partitions
 # Fixed values of the format: ids in a word, bits of each.
 SLOTS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
+#: Bits of small ids; those of others are rounded up next to powers of two of over 53 bits only.
+WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 GROUP = 128
 BLOCK_IDS = 1 << 18
 
@@ -47,7 +49,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     n = len(ids)
     ids = ids.astype(np.uint64, copy=False)
-    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # rounded up near powers of two only: still wide enough
+    width = WIDTHS[ids] if n and int(ids.max()) < len(WIDTHS) else np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     step = np.full(n, 1, np.uint8)
     select = np.full(n, ESCAPE, np.uint8)
     widest, run = width, 1
@@ -56,10 +58,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         while run < min(count, n):
             widest = np.maximum(widest[:-1], width[run:])
             run += 1
-        if count > n or not (fits := np.flatnonzero(widest <= bits)).size:
+        if count > n or not (fits := widest <= bits).any():
             break  # more ids of fewer bits fit nowhere either
-        step[fits] = count
-        select[fits] = s
+        np.copyto(step[: len(fits)], count, where=fits)
+        np.copyto(select[: len(fits)], s, where=fits)
     begins, i, jump = [], 0, step.tobytes()
     while i < n:
         begins.append(i)
@@ -67,11 +69,13 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins = np.array(begins, np.int64)
     select = select[begins]
     words = select.astype(np.uint64) << np.uint64(60)
-    for s, (count, bits) in enumerate(SLOTS):
-        own = np.flatnonzero(select == s)
-        if len(own):
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[own] |= np.bitwise_or.reduce(ids[begins[own][:, None] + np.arange(count)] << shifts, axis=1)
+    for s in np.unique(select).tolist():
+        if s != ESCAPE:
+            own = np.flatnonzero(select == s)
+            first, part = begins[own], words[own]
+            for i in range(SLOTS[s][0]):
+                part |= ids[first + i] << np.uint64(i * SLOTS[s][1])
+            words[own] = part
     escaped = np.flatnonzero(select == ESCAPE)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, begins[::GROUP], ids[begins[escaped]]
@@ -129,9 +133,10 @@ class ChunkEncoder:
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
             ids = self._ask([" ".join(some)])[0]
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            found = np.split(ids, ends[:-1]) if len(ends) == len(some) else self._ask(some)
-            self.pieces.update(zip(some, [x.tobytes() for x in found]))
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            found = [data[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else [x.tobytes() for x in self._ask(some)]
+            self.pieces.update(zip(some, found))
 
     def _learn(self, chunks: list[bytes]) -> None:
         plain, other = {}, {}
@@ -143,8 +148,8 @@ class ChunkEncoder:
                 other[c] = text
         new = dict.fromkeys(p for pieces in plain.values() for p in pieces)
         self._learn_pieces([p for p in new if p not in self.pieces])
-        for c, pieces in plain.items():
-            self.chunks[c] = b"".join(map(self.pieces.__getitem__, pieces))
+        piece = self.pieces.__getitem__
+        self.chunks.update((c, piece(p[0]) if len(p) == 1 else b"".join(map(piece, p))) for c, p in plain.items())
         self.chunks.update(zip(other, [x.tobytes() for x in self._ask(list(other.values()))]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
