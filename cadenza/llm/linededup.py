@@ -21,6 +21,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 #: Lines that one task compares with each other at most.
 BLOCK = 2048
+#: Blocks of up to so many lines are compared pair by pair, larger ones by an inverted index.
+FEW = 32
 SEED = 42
 
 _CHARS = 1 << 20  # characters hashed at a time
@@ -94,37 +96,67 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _similar(shared, one, others):
+    """Whether sets of these sizes that share so many members are similar."""
+    return shared >= SIMILARITY * (one + others - shared) - 1e-9
+
+
+def _few(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+    """Links of a small block, found by intersecting sets of about the same size."""
+    left = list(range(len(sets)))
+    while len(left) > 1:
+        queue = [left.pop(0)]
+        while queue and left:
+            x = queue.pop()
+            mine, size = sets[x], len(sets[x])
+            found = [
+                y for y in left
+                if _similar(min(size, len(sets[y])), size, len(sets[y])) and _similar(len(mine & sets[y]), size, len(sets[y]))]
+            if found:
+                left = [y for y in left if y not in found]
+                queue += found
+                yield from ((x, y) for y in found)
+
+
+def _many(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+    """Links of a large block: the numbers of shingles that a line shares with all others come
+    from the block's inverted index at once."""
+    number: dict[str, int] = {}
+    ids = [np.fromiter((number.setdefault(s, len(number)) for s in x), np.int64, len(x)) for x in sets]
+    sizes = np.array([len(x) for x in ids])
+    flat = np.concatenate(ids)
+    owner = np.repeat(np.arange(len(ids)), sizes)[np.argsort(flat, kind="stable")]
+    held = np.bincount(flat, minlength=len(number))
+    begins = np.cumsum(held) - held
+    free = np.ones(len(ids), bool)
+    for start in range(len(ids)):
+        if not free[start]:
+            continue
+        free[start] = False
+        queue = [start]
+        while queue and free.any():
+            x = queue.pop()
+            counts = held[ids[x]]
+            places = np.repeat(begins[ids[x]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            shared = np.bincount(owner[places], minlength=len(ids))
+            found = np.flatnonzero(free & _similar(shared, sizes[x], sizes))
+            free[found] = False
+            queue += found.tolist()
+            yield from ((x, y) for y in found.tolist())
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of lines -> links that connect all of Jaccard similarity SIMILARITY, and no others.
 
-    A search goes out from each line to those not yet reached; the numbers of shingles shared
-    with all others come from the block's inverted index at once.
+    A search goes out from each line to those not yet reached.
     """
     for batch in batches:
         a, b = [], []
         for members in batch.column("lines").to_pylist():
-            number: dict[str, int] = {}
-            sets = [np.array([number.setdefault(s, len(number)) for s in shingles(m["line"])]) for m in members]
-            sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(flat, kind="stable")]
-            ends = np.cumsum(np.bincount(flat, minlength=len(number)))
-            free = np.ones(len(sets), bool)
-            for start in range(len(sets)):
-                if not free[start]:
-                    continue
-                free[start] = False
-                queue = [start]
-                while queue and free.any():
-                    x = queue.pop()
-                    shared = np.zeros(len(sets), np.int64)
-                    for s in sets[x]:
-                        shared[owner[ends[s - 1] if s else 0 : ends[s]]] += 1
-                    found = np.flatnonzero(free & (shared >= SIMILARITY * (sizes + sizes[x] - shared) - 1e-9))
-                    free[found] = False
-                    queue += found.tolist()
-                    a += [members[x]["_hash"]] * len(found)
-                    b += [members[y]["_hash"] for y in found.tolist()]
+            hashes = [m["_hash"] for m in members]
+            for x, y in (_few if len(members) <= FEW else _many)([shingles(m["line"]) for m in members]):
+                a.append(hashes[x])
+                b.append(hashes[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
