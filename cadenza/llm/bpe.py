@@ -66,7 +66,8 @@ class BytePairCoder:
     looked up whole, and split by the pattern only when it is new.
     """
 
-    KEEP = 400_000
+    #: Runs and words remembered at most; those of a task are forgotten when it ends.
+    KEEP = 200_000
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -111,6 +112,10 @@ class BytePairCoder:
         run = self.runs.__getitem__
         return [",".join(map(word, whole[i])) if i in whole else ",".join(map(run, c)) if c != [""] else "" for i, c in enumerate(cut)]
 
+    def forget(self) -> None:
+        self.runs.clear()
+        self.words.clear()
+
     def decode(self, ids: str) -> bytes:
         return b"".join(map(self.token_of.__getitem__, ids.split(","))) if ids else b""
 
@@ -139,6 +144,7 @@ def _digests(path: str, pattern: str):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     return run
 
@@ -152,6 +158,7 @@ def _ids(path: str, pattern: str):
                 names = own.encode([t or "" for t in part.column("text").to_pylist()])
                 ids = [[int(x) for x in s.split(",")] if s else [] for s in names]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        own.forget()
 
     return run
 
