@@ -82,9 +82,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     edges: (a long, b long), in any order and number; loops and nulls are ignored.  Returns
     (node, component), component being the smallest node reachable, one row for each node that
-    has an edge.  Each step is two aggregated joins, so a hub with very many edges is a skewed
-    join (split by adaptive execution) and never a list in one task.  Lineage is cut by
-    checkpoint() after each round.
+    has an edge.  Each step is two joins with an aggregate, so a hub with very many edges is never a
+    list in one task; its edges do stream through one, as join and aggregate share an exchange,
+    which adaptive execution doesn't split.  Lineage is cut by checkpoint() after each round.
     """
     scratch_dir(edges.sparkSession)
     now = (
