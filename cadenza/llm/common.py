@@ -14,6 +14,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of up to this many bytes may be broadcast.
 BROADCAST_BYTES = 24 << 20
 
+#: Rows and bytes of an Arrow batch at most, where the session doesn't say otherwise.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in small batches, from now on in this session.
+
+    Spark's own limit of 10,000 rows is one of rows alone: with long texts a batch is then as
+    large as they are, and both JVM and worker hold one.  Settings of the session's own stay.
+    """
+    for key, most in ARROW_BATCH.items():
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(most))
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
