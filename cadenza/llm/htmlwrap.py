@@ -198,12 +198,13 @@ def is_main(label: str) -> bool:
     return not MAIN.isdisjoint(label.split("."))
 
 
-def text_slots(wrapper: list) -> set[tuple[str, ...]]:
-    """The paths of labels whose slots hold main text.
+def text_slots(wrapper: list) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """The paths of labels whose slots hold main text: of pages with text in an article or main
+    element, and of the others, as a host may have pages of both kinds.
 
-    Elements of menus, forms and the like hold none.  If the wrapper has an article or main
-    element, all others of it do; if not, those slots do that are not mostly links and whose
-    text is not the same on all of several pages.
+    Elements of menus, forms and the like hold none.  On pages of the first kind all others of
+    the article or main element do; on the others those slots do that are not mostly links and
+    whose text is not the same on all of several pages.
     """
     found: dict[bool, set[tuple[str, ...]]] = {True: set(), False: set()}
 
@@ -220,7 +221,7 @@ def text_slots(wrapper: list) -> set[tuple[str, ...]]:
             walk(kid, path, inside)
 
     walk(wrapper, (), False)
-    return found[True] or found[False]
+    return found[True], found[False]
 
 
 def extract(root: Node, slots: set[tuple[str, ...]]) -> str:
@@ -289,7 +290,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots: dict[str, set] = {}
+    slots: dict[str, tuple[set, set]] = {}
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
@@ -299,7 +300,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(slots) > 2000:
                         slots.clear()
                     slots[wrapper] = text_slots(json.loads(wrapper))
-                texts.append(extract(parse(page or ""), slots[wrapper]))
+                root, (main, other) = parse(page or ""), slots[wrapper]
+                texts.append(extract(root, main) or extract(root, other))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -109,6 +109,19 @@ def test_main_text_of_many_layouts(spark):
     assert htmlwrap.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_of_pages_without_article_beside_others(spark):
+    """A host's pages without article or main keep their text, whatever its other pages have."""
+    rows, want = [], {}
+    for i in range(30):
+        body = [f"<article><p>Story {i}</p></article>", f"<div class='x'><p>Story {i}</p></div>", f"<p>Story {i} < text"][i % 3]
+        rows.append((i, None if i % 2 else "http://h.example/", f"<body><nav>Menu</nav>{body}<footer>Foot</footer></body>"))
+        want[i] = f"Story {i} < text" if i % 3 == 2 else f"Story {i}"
+    rows += [(62, "http://h.example/", "<p>loose < text"), (63, "http://h.example/", "<main> </main><p>outside</p>")]
+    want |= {62: "loose < text", 63: "outside"}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmlwrap.main_text(frame).collect()} == want
+
+
 def test_wrappers_merge_in_any_order():
     pages = ["<body><nav>x</nav><p>a<p>b</body>", "<body><p>a</body>", "<body><nav>y</nav><h1>t</h1><p>a</body>", "<body><div>z</div><p>q</p><div>z</div><p>q</p></body>"]
     parts = [htmlwrap.skeleton(htmlwrap.parse(p)) for p in pages]
