@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,8 @@ def parse(page: str) -> Node:
 
 
 # A wrapper is a list [label, mark, slot, children]: mark is "", "?", "+" or "*", and slot is
-# [pages, characters, characters in links, text if it is the same everywhere], of own text.
+# [pages, characters, characters in links, hash of the text if it is the same everywhere], of own
+# text, whatever its length; the hash is empty where there is no text.
 
 
 def skeleton(node: Node) -> list:
@@ -135,7 +137,7 @@ def skeleton(node: Node) -> list:
 
     gather(node, node.tag == "a")
     text = " ".join(texts)
-    return [node.label, "", [1, chars, links, text if len(text) <= 200 else None], repeat(kids)]
+    return [node.label, "", [1, chars, links, text and xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))], repeat(kids)]
 
 
 def _mark(optional: bool, repeated: bool) -> str:

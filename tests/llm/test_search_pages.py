@@ -122,6 +122,21 @@ def test_main_text_of_pages_without_article_beside_others(spark):
     assert {r["page_id"]: r["text"] for r in htmlwrap.main_text(frame).collect()} == want
 
 
+def wrapper_of(pages):
+    whole = None
+    for p in pages:
+        own = htmlwrap.skeleton(htmlwrap.parse(p))
+        whole = own if whole is None else htmlwrap._same(whole, own)
+    return whole
+
+
+def test_long_text_of_all_pages_is_no_main_text():
+    for notice in ("n" * 199, "n" * 201, "notice " * 500):
+        pages = [f"<body><div class='x'>{notice}</div><p>Story {i}</p></body>" for i in range(5)]
+        _, other = htmlwrap.text_slots(wrapper_of(pages))
+        assert htmlwrap.extract(htmlwrap.parse(pages[3]), other) == "Story 3"
+
+
 def test_wrappers_merge_in_any_order():
     pages = ["<body><nav>x</nav><p>a<p>b</body>", "<body><p>a</body>", "<body><nav>y</nav><h1>t</h1><p>a</body>", "<body><div>z</div><p>q</p><div>z</div><p>q</p></body>"]
     parts = [htmlwrap.skeleton(htmlwrap.parse(p)) for p in pages]
