@@ -137,7 +137,7 @@ def skeleton(node: Node) -> list:
 
     gather(node, node.tag == "a")
     text = " ".join(texts)
-    return [node.label, "", [1, chars, links, text and xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))], repeat(kids)]
+    return [node.label, "", [1, chars, links, _digest(text)], repeat(kids)]
 
 
 def _mark(optional: bool, repeated: bool) -> str:
@@ -159,7 +159,7 @@ def repeat(kids: list) -> list:
 
 def _same(a: list, b: list, repeated: bool = False) -> list:
     """Two wrappers of one label as one."""
-    slot = [a[2][0] + (0 if repeated else b[2][0]), a[2][1] + b[2][1], a[2][2] + b[2][2], a[2][3] if a[2][3] == b[2][3] else None]
+    slot = [max(a[2][0], b[2][0]) if repeated else a[2][0] + b[2][0], a[2][1] + b[2][1], a[2][2] + b[2][2], a[2][3] if a[2][3] == b[2][3] else None]
     repeated = repeated or a[1] in "+*" and a[1] != "" or b[1] in "+*" and b[1] != ""
     optional = "?" in (a[1], b[1]) or "*" in (a[1], b[1])
     return [a[0], _mark(optional, repeated), slot, align(a[3], b[3])]
@@ -200,34 +200,166 @@ def is_main(label: str) -> bool:
     return not MAIN.isdisjoint(label.split("."))
 
 
-def text_slots(wrapper: list) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
-    """The paths of labels whose slots hold main text: of pages with text in an article or main
-    element, and of the others, as a host may have pages of both kinds.
+def _digest(text: str) -> str:
+    return text and xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+class Slot:
+    """An element of a host's wrapper, with what its own text is.
+
+    main: text of pages that have an article or main element with text; other: of other pages.
+    """
+
+    __slots__ = ("label", "repeated", "optional", "same", "main", "other", "kids", "at")
+
+    def __init__(self, wrapper: list):
+        self.label, mark, (pages, _, _, text), kids = wrapper
+        self.repeated, self.optional = mark in ("+", "*"), mark in ("?", "*")
+        self.same = text if text and pages > 1 else ""
+        self.main = self.other = False
+        self.kids = [Slot(k) for k in kids]
+        self.at: dict[str, list[int]] = {}
+        for i, k in enumerate(self.kids):
+            self.at.setdefault(k.label, []).append(i)
+
+
+def slots_of(wrapper: list) -> Slot:
+    """The wrapper with main and other decided for each of its elements.
 
-    Elements of menus, forms and the like hold none.  On pages of the first kind all others of
-    the article or main element do; on the others those slots do that are not mostly links and
-    whose text is not the same on all of several pages.
+    Elements of menus, forms and the like hold no main text.  Elsewhere text that is the same on
+    several pages is of the template.  Inside article and main, which speak for a text, this
+    takes three pages and most of those that have the element; outside, a slot that is
+    mostly links holds none either.  Where no text of a kind varies, pages are copies of each other,
+    and all of it stays.
     """
-    found: dict[bool, set[tuple[str, ...]]] = {True: set(), False: set()}
+    inside_, outside = [], []  # (slot, whether its text is the template's, characters)
 
-    def walk(w: list, path: tuple[str, ...], inside: bool) -> None:
+    def walk(w: list, slot: Slot, holder: int) -> None:
         if marked(w[0]):
             return
-        path, inside = (*path, w[0]), inside or is_main(w[0])
         pages, chars, links, text = w[2]
-        if inside:
-            found[True].add(path)
-        if chars and 2 * links <= chars and not (text and pages > 1):
-            found[False].add(path)
-        for kid in w[3]:
-            walk(kid, path, inside)
+        holder = holder or (pages if is_main(w[0]) else 0)
+        if holder:
+            inside_.append((slot, bool(text) and pages > 2 and 2 * pages > holder, chars))
+        if chars and 2 * links <= chars:
+            outside.append((slot, bool(slot.same), chars))
+        for kid, own in zip(w[3], slot.kids):
+            walk(kid, own, holder)
+
+    root = Slot(wrapper)
+    walk(wrapper, root, 0)
+    for name, found in (("main", inside_), ("other", outside)):
+        copies = not any(chars and not same for _, same, chars in found)
+        for slot, same, _ in found:
+            setattr(slot, name, copies or not same)
+    return root
+
+
+def text_slots(wrapper: list) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]]]:
+    """The paths of labels that have a slot of main text: main and other of slots_of()."""
+    main, other = set(), set()
+
+    def walk(slot: Slot, path: tuple[str, ...]) -> None:
+        path = (*path, slot.label)
+        if slot.main:
+            main.add(path)
+        if slot.other:
+            other.add(path)
+        for kid in slot.kids:
+            walk(kid, path)
+
+    walk(slots_of(wrapper), ())
+    return main, other
+
+
+def blocks_of(node: Node) -> tuple[str, list[Node]]:
+    """An element's own text, as in skeleton(), and the elements that are no part of it."""
+    texts, kids = [], []
 
-    walk(wrapper, (), False)
-    return found[True], found[False]
+    def gather(n: Node) -> None:
+        for kid in n.kids:
+            if isinstance(kid, str):
+                if kid := kid.strip():
+                    texts.append(kid)
+            elif kid.tag in BLOCKS or kid.tag in ASIDE or marked(kid.label):
+                kids.append(kid)
+            else:
+                gather(kid)
+
+    gather(node)
+    return " ".join(texts), kids
+
+
+def fit(kids: list[tuple[str, str]], slot: Slot) -> list[int]:
+    """For each of an element's children (label, hash of its text) the child of the wrapper it
+    stands for, or -1.
+
+    The children follow the wrapper in order, repeated ones stay where they are or go back to
+    the beginning of their turn of up to three.  Of all ways to match, that with most children
+    counts, then that in which texts of the template are found where the wrapper has them.
+    """
+    if all(len(slot.at.get(label, ())) == 1 for label, _ in kids):
+        return [slot.at[label][0] for label, _ in kids]
+    ends: dict[int, tuple[int, tuple | None]] = {-1: (0, None)}  # place of the last match -> score, way there
+    for label, text in kids:
+        after = {at: (score, (-1, way)) for at, (score, way) in ends.items()}
+        for j in slot.at.get(label, ()):
+            own = slot.kids[j]
+            worth = 8 + (0 if not own.same else 2 if own.same == text else -4) + (not own.optional)
+            for at, (score, way) in ends.items():
+                turn = own.repeated and at >= 0 and 0 <= at - j <= 2 and all(k.repeated for k in slot.kids[j : at + 1])
+                if (j > at or turn) and (j not in after or after[j][0] < score + worth):
+                    after[j] = (score + worth, (j, way))
+        ends = after
+    _, way = max(ends.values(), key=lambda x: x[0])
+    out = []
+    while way is not None:
+        out.append(way[0])
+        way = way[1]
+    return out[::-1]
+
+
+def matched(root: Node, wrapper: Slot) -> tuple[set[Node], set[Node]]:
+    """The elements of a page whose text is main text, by the wrapper's main and other slots.
+
+    An element that fits nowhere in the wrapper counts as text there if its parent does or it
+    is an article or main element.
+    """
+    main, other = set(), set()
+
+    def walk(node: Node, slot: Slot | None, parts: list[Node], was: tuple[bool, bool]) -> None:
+        open_ = (slot.main, slot.other) if slot else (was[0] or is_main(node.label), was[1])
+        if open_[0]:
+            main.add(node)
+        if open_[1]:
+            other.add(node)
+        parts = [kid for kid in parts if not marked(kid.label)]
+        inner = [blocks_of(kid) for kid in parts]
+        if slot is None:
+            places = [-1] * len(parts)
+        else:
+            ambiguous = any(len(slot.at.get(kid.label, ())) > 1 for kid in parts)
+            places = fit([(kid.label, _digest(text) if ambiguous else "") for kid, (text, _) in zip(parts, inner)], slot)
+        for kid, (_, below), at in zip(parts, inner, places):
+            walk(kid, slot.kids[at] if at >= 0 else None, below, open_)
+
+    walk(root, wrapper, blocks_of(root)[1], (False, False))
+    return main, other
 
 
-def extract(root: Node, slots: set[tuple[str, ...]]) -> str:
-    """The text of a page in the slots of its host's wrapper, a line for each block."""
+def has_main(node: Node, inside: bool = False) -> bool:
+    """Whether a page has text in an article or main element."""
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if inside and kid.strip():
+                return True
+        elif kid.tag not in RAW and not marked(kid.label) and has_main(kid, inside or kid.tag in BLOCKS and is_main(kid.label)):
+            return True
+    return False
+
+
+def extract(root: Node, slots: set[Node]) -> str:
+    """The text of those elements of a page, a line for each block."""
     lines, held = [], []
 
     def close() -> None:
@@ -235,7 +367,7 @@ def extract(root: Node, slots: set[tuple[str, ...]]) -> str:
             lines.append(line)
         held.clear()
 
-    def walk(node: Node, path: tuple[str, ...], open_: bool) -> None:
+    def walk(node: Node, open_: bool) -> None:
         for kid in node.kids:
             if isinstance(kid, str):
                 if open_:
@@ -243,18 +375,25 @@ def extract(root: Node, slots: set[tuple[str, ...]]) -> str:
             elif kid.tag in BLOCKS or kid.tag in ASIDE or marked(kid.label):
                 if not marked(kid.label):
                     close()
-                    walk(kid, (*path, kid.label), (*path, kid.label) in slots)
+                    walk(kid, kid in slots)
                     close()
             elif kid.tag not in RAW:
                 if kid.tag == "br":
                     held.append(" ")
-                walk(kid, path, open_)
+                walk(kid, open_)
 
-    walk(root, ("",), ("",) in slots)
+    walk(root, root in slots)
     close()
     return "\n".join(lines)
 
 
+def page_text(page: str, wrapper: Slot) -> str:
+    """The main text of a page, matched with its host's wrapper."""
+    root = parse(page)
+    main, other = matched(root, wrapper)
+    return extract(root, main if has_main(root) else other)
+
+
 def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages -> a wrapper of each host for its pages of this task."""
     known: dict[str, list] = {}
@@ -292,7 +431,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots: dict[str, tuple[set, set]] = {}
+    slots: dict[str, Slot] = {}
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
@@ -301,9 +440,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if wrapper not in slots:
                     if len(slots) > 2000:
                         slots.clear()
-                    slots[wrapper] = text_slots(json.loads(wrapper))
-                root, (main, other) = parse(page or ""), slots[wrapper]
-                texts.append(extract(root, main) or extract(root, other))
+                    slots[wrapper] = slots_of(json.loads(wrapper))
+                texts.append(page_text(page or "", slots[wrapper]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -133,8 +133,27 @@ def wrapper_of(pages):
 def test_long_text_of_all_pages_is_no_main_text():
     for notice in ("n" * 199, "n" * 201, "notice " * 500):
         pages = [f"<body><div class='x'>{notice}</div><p>Story {i}</p></body>" for i in range(5)]
-        _, other = htmlwrap.text_slots(wrapper_of(pages))
-        assert htmlwrap.extract(htmlwrap.parse(pages[3]), other) == "Story 3"
+        assert htmlwrap.page_text(pages[3], htmlwrap.slots_of(wrapper_of(pages))) == "Story 3"
+
+
+def test_template_text_inside_article_is_no_main_text():
+    pages = [f"<article><h1>Story {i}</h1><div class='call'>Tell your friends</div>" + f"<p>Text {i}</p>" * (1 + i % 3) + "</article>" for i in range(6)]
+    wrapper = htmlwrap.slots_of(wrapper_of(pages))
+    for i, page in enumerate(pages):
+        assert htmlwrap.page_text(page, wrapper) == "\n".join([f"Story {i}", *[f"Text {i}"] * (1 + i % 3)])
+    copies = [pages[0]] * 5  # what all copies of a page share is not the template's
+    assert htmlwrap.page_text(pages[0], htmlwrap.slots_of(wrapper_of(copies))) == "Story 0\nTell your friends\nText 0"
+
+
+def test_pages_are_matched_with_their_wrapper():
+    """Elements of one label are told apart by their place."""
+    pages = [f"<body><div>Our shop</div><h1>Story {i}</h1><div>Text {i}</div>" + "<hr><div>Ring us</div>" * (i % 2) + "</body>" for i in range(6)]
+    wrapper = htmlwrap.slots_of(wrapper_of(pages))
+    for i, page in enumerate(pages):
+        assert htmlwrap.page_text(page, wrapper) == f"Story {i}\nText {i}"
+    turns = [f"<main><section>{''.join(f'<h2>T{i}{j}</h2><p>P{i}{j}</p>' for j in range(i))}</section></main>" for i in range(1, 5)]
+    wrapper = htmlwrap.slots_of(wrapper_of(turns))
+    assert [htmlwrap.page_text(p, wrapper).split() for p in turns] == [[f"{x}{i}{j}" for j in range(i) for x in "TP"] for i in range(1, 5)]
 
 
 def test_wrappers_merge_in_any_order():
