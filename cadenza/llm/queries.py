@@ -54,7 +54,7 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,18 +108,26 @@ class ChunkEncoder:
     Runs of ASCII and Latin letters, digits and marks are cut by that pattern here, and their
     new pieces encoded many at a time, spaces between: each piece ends with an end-of-word id.
     Other runs are encoded one by one.
+
+    With `special`, the vocabulary's special tokens in a text are their own ids, as is the
+    library's default: texts are split at them first.  Without it they are text like any other.
     """
 
     KEEP = 600_000
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder() if special else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("special tokens that take the text around them into account are not supported")
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if added else None
+        self.tokenizer.encode_special_tokens = True  # for what is left between them
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -154,6 +162,14 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """UTF-8 texts -> ids of each as little-endian unsigned 32-bit integers."""
+        if self.split and any(map(self.split.search, texts)):
+            parts = [self.split.split(t) for t in texts]  # text, token, text, ...
+            plain = iter(self._plain([x for p in parts for x in p[::2]]))
+            return [b"".join(self.special[x] if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
+        return self._plain(texts)
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        """encode() of texts whose special tokens, if any, are text."""
         runs = [(t.lower() if t.isascii() else t).split() for t in texts]
         if len(self.chunks) > self.KEEP:
             self.chunks.clear()
@@ -163,14 +179,14 @@ class ChunkEncoder:
         return [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
+def _encoder(path: str, special: bool) -> ChunkEncoder:
     """One for each worker process, which Spark uses for many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = ChunkEncoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def _texts(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
@@ -180,13 +196,13 @@ def _texts(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterator[tuple[
         yield i, [x or b"" for x in col.slice(i, rows).to_pylist()]
 
 
-def _blocks(tokenizer_path: str, end_id: int | None):
+def _blocks(tokenizer_path: str, end_id: int | None, special: bool):
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, shard = _encoder(tokenizer_path, special), TaskContext.get().partitionId()
         block = first = held = 0
         ids: list[bytes] = []
         docs: list[int | None] = []
@@ -218,19 +234,21 @@ def _blocks(tokenizer_path: str, end_id: int | None):
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text",
+    special: bool = False,
 ) -> None:
     """Tokenize documents into a token file at `path`, in ascending id order.
 
     A null text counts as empty; null ids come first; rows of one id are ordered by their text.
     Every document keeps its row, an empty one with the end id alone.  An empty table gives a
-    file without blocks.  Other columns are not read.  Tasks write through Spark's committer, so
+    file without blocks.  Other columns are not read.  With `special`, special tokens in a text are
+    recognized, as the library does unless told otherwise; without it they are plain text.  Tasks write through Spark's committer, so
     a lost executor's shard is written again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = shuffle_partitions(docs.sparkSession)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(tokenizer_path, end_id), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(_blocks(tokenizer_path, end_id, special), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

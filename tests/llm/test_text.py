@@ -180,6 +180,24 @@ def test_token_file_matches_library(spark, sf, tmp_path):
     assert tokenfile.tokenize(table.limit(0), path).count() == 0
 
 
+def test_token_query_recognizes_special_tokens_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from cadenza.llm.queries import op5_tokenfile
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "foo", "Bar'", "s", " ", "\n", "é", "e", "\u0301", "Σ", "日本", "1²", "\x1c", "<|"]
+    texts = [*ODD, "foo<|endoftext|>bar", "ΑΣ<|endoftext|>", *("".join(rnd.choice(parts) for _ in range(12)) for _ in range(400))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_tokenfile(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        assert tuple(got[i])[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        start += len(ids)
+
+
 def test_token_file_of_repeated_and_null_ids(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     out = tokenfile.tokenize(docs(spark, ["b", "a", "c c", None], ids=[5, 5, None, None]), path).orderBy("start").collect()
