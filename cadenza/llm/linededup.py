@@ -14,11 +14,12 @@ from pyspark.sql.types import StringType
 
 from cadenza.llm.common import blocks, connected_components, if_small, stored
 
-#: Characters of a shingle.  Lines of one language share many runs of five, hardly any of nine.
-SHINGLE = 9
+#: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
+SHINGLE = 5
 SIMILARITY = 0.8
 #: Lines of similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.997 at 0.8.
-BANDS, ROWS = 8, 3
+#: Unrelated lines of a language share some runs of five; with many rows few of them meet.
+BANDS, ROWS = 15, 5
 #: Lines that one task compares with each other at most.
 BLOCK = 2048
 #: Blocks of up to so many lines are compared pair by pair, larger ones by an inverted index.

@@ -129,3 +129,13 @@ def test_dedup_lines_of_a_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == slow_lines(rows)
+
+
+def test_dedup_lines_links_short_lines_with_one_edit(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(30):
+        line = "".join(rnd.choice("abcdefghij klmnop") for _ in range(70))
+        rows += [(2 * i, line), (2 * i + 1, line[:35] + "X" + line[36:])]
+    out = linededup.dedup_lines(spark.createDataFrame([(i, t, None, "k", "f") for i, t in rows], DOCS)).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {i: "" if i % 2 else t for i, t in rows}
