@@ -130,20 +130,25 @@ def coder(path: str, pattern: str) -> BytePairCoder:
     return _CODERS[path, pattern]
 
 
-def _digests(path: str, pattern: str):
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digests(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                n, ids_sha, text_sha = [], [], []
+                n, ids_sha, text_sha, all_ids = [], [], [], []
                 for ids in own.encode([t or "" for t in part.column("text").to_pylist()]):
                     n.append(ids.count(",") + 1 if ids else 0)
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        all_ids.append(np.fromstring(ids, np.int32, sep=","))
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                cols += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
         own.forget()
 
     return run
@@ -189,8 +194,9 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each text and decode its ids again: (doc_id, n_tokens, ids_sha256, decoded_sha256),
-    the digests of the decimal ids joined by commas and of the decoded bytes.  As encode()."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _rows(docs, id_col, text_col).mapInArrow(_digests(path, pattern), schema)
+    the digests of the decimal ids joined by commas and of the decoded bytes; with_ids: and
+    ids array<int>.  As encode()."""
+    schema = DIGESTS + ", ids array<int>" * with_ids
+    return _rows(docs, id_col, text_col).mapInArrow(_digests(path, pattern, with_ids), schema)

@@ -1,12 +1,18 @@
-"""What the training-data operators share: scratch tables, checked broadcasts, components."""
+"""What the training-data operators share: checked broadcasts, blocks of bounded size, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+
+from cadenza.storage import scratch_dir, scratch_path, stored
+
+__all__ = [
+    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "if_small", "lower_hex", "scratch_path", "shuffle_partitions", "stored"]
 
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,65 +24,65 @@ BROADCAST_BYTES = 24 << 20
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python workers in small batches, from now on in this session.
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Hand texts to Python workers in small batches: in what is run inside, not what is planned
+    there and run later.
 
     Spark's own limit of 10,000 rows is one of rows alone: with long texts a batch is then as
-    large as they are, and both JVM and worker hold one.  Settings of the session's own stay.
+    large as they are, and both JVM and worker hold one.  Settings of the session's own stay, and
+    the others are as before when the block ends.
     """
-    for key, most in ARROW_BATCH.items():
-        if key not in spark.conf.getAll:
-            spark.conf.set(key, str(most))
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if path:
-        return path
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cadenza-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{scratch_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast only if its counted rows take at most `limit` bytes."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    own = [key for key in ARROW_BATCH if key not in spark.conf.getAll]
+    for key in own:
+        spark.conf.set(key, str(ARROW_BATCH[key]))
+    try:
+        yield
+    finally:
+        for key in own:
+            spark.conf.unset(key)
+
+
+def carried(docs: DataFrame, *own: str) -> list[str]:
+    """The columns of docs but for those that an operator's own columns replace."""
+    taken = {c.lower() for c in own}
+    return [c for c in docs.columns if c.lower() not in taken]
+
+
+def _bytes(kind: DataType, col: Column) -> Column:
+    """About what a value takes in a broadcast table."""
+    if isinstance(kind, StructType):
+        return sum((_bytes(f.dataType, col[f.name]) for f in kind), F.lit(8))
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | ArrayType | StructType):
+            return F.coalesce(F.aggregate(col, F.lit(24).cast("long"), lambda s, x: s + _bytes(kind.elementType, x)), F.lit(8))
+        return F.coalesce(F.size(col), F.lit(0)) * 8 + 24
+    return F.lit(8)
+
+
+def if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """df, marked for broadcast only if its rows, measured, take at most `limit` bytes (None:
+    BROADCAST_BYTES).  df is read twice: a stored table, or a small aggregate of one."""
+    size = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema), F.lit(32))
+    taken = df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if taken <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def blocks(rows: DataFrame, key: str, count: str, member: str, limit: int) -> DataFrame:
+def blocks(rows: DataFrame, key: str, weight: str, member: str, limit: int) -> DataFrame:
     """Deal the members of each key into groups of bounded size.
 
-    rows: (key, count = members of the key, member).  Keys of up to `limit` members are one
-    block.  Larger ones are cut by hash into parts of about half of it, and each two parts make
-    a block, so that any two members meet in some block and no block outgrows one task.
+    rows: (key, weight = that of all members of the key, member).  Keys of weight up to `limit`
+    are one block.  Heavier ones are cut by hash into parts of about half of it, and each two
+    parts make a block, so that any two members meet in some block and no block outgrows one task.
     Returns (block, member).
     """
-    parts = F.when(F.col(count) <= limit, F.lit(1)).otherwise(F.ceil(F.col(count) * 2 / F.lit(limit))).cast("int")
+    parts = F.when(F.col(weight) <= limit, F.lit(1)).otherwise(F.ceil(F.col(weight) * 2 / F.lit(limit))).cast("int")
     own = F.pmod(F.xxhash64(F.lit("part"), F.col(member)), F.col("_parts")).cast("int")
     others = F.when(F.col("_parts") == 1, F.array(F.lit(0))).otherwise(
         F.array_remove(F.sequence(F.lit(0), F.col("_parts") - 1), F.col("_own")))
@@ -94,11 +100,11 @@ def blocks(rows: DataFrame, key: str, count: str, member: str, limit: int) -> Da
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
-    edges: (a long, b long), in any order and number; loops and nulls are ignored.  Returns
-    (node, component), component being the smallest node reachable, one row for each node that
-    has an edge.  Each step is two joins with an aggregate, so a hub with very many edges is never a
-    list in one task; its edges do stream through one, as join and aggregate share an exchange,
-    which adaptive execution doesn't split.  Lineage is cut by checkpoint() after each round.
+    edges: (a, b), nodes of any type that can be ordered, in any order and number; loops and
+    nulls are ignored.  Returns (node, component), component being the smallest node reachable,
+    one row for each node that has an edge.  Each step is two joins with an aggregate, which is
+    written first and then broadcast or joined by itself, so that a hub with very many edges is
+    neither a list in one task nor bound to one.  Lineage is cut by checkpoint().
     """
     scratch_dir(edges.sparkSession)
     now = (
@@ -108,8 +114,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
     def stars(pairs: DataFrame, only_larger: bool) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = pairs.join(least, "u")
+        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
+        linked = pairs.join(if_small(least), "u")
         if only_larger:
             return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
@@ -118,7 +124,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = now.checkpoint()
     while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = stars(stars(both, True).filter("u <> v"), False).filter("u <> v").distinct().checkpoint()
+        large = stars(both, True).filter("u <> v").checkpoint()
+        now = stars(large, False).filter("u <> v").distinct().checkpoint()
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 

@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,8 +44,9 @@ MARKS = frozenset(
     " reader readers feedback widget toolbar pagination pager search tags hidden contentinfo complementary banners skip".split())
 MAIN = frozenset("article main articlebody".split())
 
-#: Elements within each other at most.
-DEPTH = 200
+#: Elements that may end others; how deep functions may call themselves on nested elements.
+ENDERS = frozenset().union(*ENDED_BY.values())
+CALLS = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -74,18 +78,24 @@ def label_of(tag: str, attributes: str) -> str:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page, however badly nested: ends are put where HTML lets them be left out."""
+    """The tree of a page, however badly or deeply nested: ends are put where HTML lets them be left out."""
     root = Node("", "")
-    stack, at = [root], 0
+    stack, at, open_ = [root], 0, Counter()
+
+    def close(i: int) -> None:
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:
                     break  # an inline end reaches no further than its block
@@ -93,20 +103,21 @@ def parse(page: str) -> Node:
             tag = m[2].lower()
             if tag in BLOCKS:
                 while len(stack) > 1 and stack[-1].tag not in BLOCKS or stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
+                    close(len(stack) - 1)
+            for i in range(len(stack) - 1, 0, -1) if tag in ENDERS else ():
                 if stack[i].tag in HOLDS.get(tag, ()):
                     break
                 if tag in ENDED_BY.get(stack[i].tag, ()):
-                    del stack[i:]
+                    close(i)
                     break
             node = Node(tag, label_of(tag, m[3]))
             stack[-1].kids.append(node)
             if tag in RAW:
                 end = re.compile(f"</{tag}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
-            elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:  # deeper ones stand beside each other
+            elif tag not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+                open_[tag] += 1
     if at < len(page):
         stack[-1].kids.append(page[at:])
     return root
@@ -117,27 +128,62 @@ def parse(page: str) -> Node:
 # text, whatever its length; the hash is empty where there is no text.
 
 
-def skeleton(node: Node) -> list:
-    """A page as the wrapper of itself: inline elements belong to the text around them."""
-    chars = links = 0
-    texts, kids = [], []
-
-    def gather(n: Node, link: bool) -> None:
-        nonlocal chars, links
-        for kid in n.kids:
+def blocks_of(node: Node) -> tuple[str, int, int, list[Node]]:
+    """An element's own text, its characters, those of them in links, and the elements that are no
+    part of it: inline elements belong to the text around them."""
+    texts, kids, chars, links = [], [], 0, 0
+    stack = [(iter(node.kids), node.tag == "a")]
+    while stack:
+        rest, link = stack[-1]
+        for kid in rest:
             if isinstance(kid, str):
                 if kid := kid.strip():
                     texts.append(kid)
                     chars += len(kid)
                     links += len(kid) * link
             elif kid.tag in BLOCKS or kid.tag in ASIDE or marked(kid.label):
-                kids.append(skeleton(kid))
+                kids.append(kid)
             else:
-                gather(kid, link or kid.tag == "a")
-
-    gather(node, node.tag == "a")
-    text = " ".join(texts)
-    return [node.label, "", [1, chars, links, _digest(text)], repeat(kids)]
+                stack.append((iter(kid.kids), link or kid.tag == "a"))
+                break
+        else:
+            stack.pop()
+    return " ".join(texts), chars, links, kids
+
+
+def skeleton(root: Node) -> list:
+    """A page as the wrapper of itself."""
+    order, built = [(root, 0)], []
+    for node, _ in order:  # grows meanwhile: an element's children come after it, next to each other
+        text, chars, links, kids = blocks_of(node)
+        order.extend((kid, len(built)) for kid in kids)
+        built.append([node.label, "", [1, chars, links, _digest(text)], []])
+    for (_, parent), own in zip(order[:0:-1], built[:0:-1]):
+        own[3] = repeat(own[3][::-1])
+        built[parent][3].append(own)
+    built[0][3] = repeat(built[0][3][::-1])
+    return built[0]
+
+
+def dumps(wrapper: list) -> str:
+    """A wrapper as JSON: its elements from the top, each with its depth, so that no nesting is too deep."""
+    flat, stack = [], [(0, wrapper)]
+    while stack:
+        depth, (label, mark, slot, kids) = stack.pop()
+        flat.append((depth, label, mark, slot))
+        stack.extend((depth + 1, kid) for kid in reversed(kids))
+    return json.dumps(flat)
+
+
+def loads(text: str) -> list:
+    path: list[list] = []
+    for depth, label, mark, slot in json.loads(text):
+        own = [label, mark, slot, []]
+        del path[depth:]
+        if path:
+            path[-1][3].append(own)
+        path.append(own)
+    return path[0]
 
 
 def _mark(optional: bool, repeated: bool) -> str:
@@ -213,14 +259,12 @@ class Slot:
     __slots__ = ("label", "repeated", "optional", "same", "main", "other", "kids", "at")
 
     def __init__(self, wrapper: list):
-        self.label, mark, (pages, _, _, text), kids = wrapper
+        self.label, mark, (pages, _, _, text), _ = wrapper
         self.repeated, self.optional = mark in ("+", "*"), mark in ("?", "*")
         self.same = text if text and pages > 1 else ""
         self.main = self.other = False
-        self.kids = [Slot(k) for k in kids]
+        self.kids: list[Slot] = []
         self.at: dict[str, list[int]] = {}
-        for i, k in enumerate(self.kids):
-            self.at.setdefault(k.label, []).append(i)
 
 
 def slots_of(wrapper: list) -> Slot:
@@ -233,21 +277,22 @@ def slots_of(wrapper: list) -> Slot:
     and all of it stays.
     """
     inside_, outside = [], []  # (slot, whether its text is the template's, characters)
-
-    def walk(w: list, slot: Slot, holder: int) -> None:
+    root = Slot(wrapper)
+    stack = [(wrapper, root, 0)]
+    while stack:
+        w, slot, holder = stack.pop()
+        slot.kids = [Slot(kid) for kid in w[3]]
+        for i, kid in enumerate(slot.kids):
+            slot.at.setdefault(kid.label, []).append(i)
         if marked(w[0]):
-            return
+            continue
         pages, chars, links, text = w[2]
         holder = holder or (pages if is_main(w[0]) else 0)
         if holder:
             inside_.append((slot, bool(text) and pages > 2 and 2 * pages > holder, chars))
         if chars and 2 * links <= chars:
             outside.append((slot, bool(slot.same), chars))
-        for kid, own in zip(w[3], slot.kids):
-            walk(kid, own, holder)
-
-    root = Slot(wrapper)
-    walk(wrapper, root, 0)
+        stack.extend((kid, own, holder) for kid, own in zip(w[3], slot.kids))
     for name, found in (("main", inside_), ("other", outside)):
         copies = not any(chars and not same for _, same, chars in found)
         for slot, same, _ in found:
@@ -272,24 +317,6 @@ def text_slots(wrapper: list) -> tuple[set[tuple[str, ...]], set[tuple[str, ...]
     return main, other
 
 
-def blocks_of(node: Node) -> tuple[str, list[Node]]:
-    """An element's own text, as in skeleton(), and the elements that are no part of it."""
-    texts, kids = [], []
-
-    def gather(n: Node) -> None:
-        for kid in n.kids:
-            if isinstance(kid, str):
-                if kid := kid.strip():
-                    texts.append(kid)
-            elif kid.tag in BLOCKS or kid.tag in ASIDE or marked(kid.label):
-                kids.append(kid)
-            else:
-                gather(kid)
-
-    gather(node)
-    return " ".join(texts), kids
-
-
 def fit(kids: list[tuple[str, str]], slot: Slot) -> list[int]:
     """For each of an element's children (label, hash of its text) the child of the wrapper it
     stands for, or -1.
@@ -326,8 +353,9 @@ def matched(root: Node, wrapper: Slot) -> tuple[set[Node], set[Node]]:
     is an article or main element.
     """
     main, other = set(), set()
-
-    def walk(node: Node, slot: Slot | None, parts: list[Node], was: tuple[bool, bool]) -> None:
+    stack: list[tuple[Node, Slot | None, list[Node], tuple[bool, bool]]] = [(root, wrapper, blocks_of(root)[3], (False, False))]
+    while stack:
+        node, slot, parts, was = stack.pop()
         open_ = (slot.main, slot.other) if slot else (was[0] or is_main(node.label), was[1])
         if open_[0]:
             main.add(node)
@@ -339,22 +367,22 @@ def matched(root: Node, wrapper: Slot) -> tuple[set[Node], set[Node]]:
             places = [-1] * len(parts)
         else:
             ambiguous = any(len(slot.at.get(kid.label, ())) > 1 for kid in parts)
-            places = fit([(kid.label, _digest(text) if ambiguous else "") for kid, (text, _) in zip(parts, inner)], slot)
-        for kid, (_, below), at in zip(parts, inner, places):
-            walk(kid, slot.kids[at] if at >= 0 else None, below, open_)
-
-    walk(root, wrapper, blocks_of(root)[1], (False, False))
+            places = fit([(kid.label, _digest(own[0]) if ambiguous else "") for kid, own in zip(parts, inner)], slot)
+        stack.extend((kid, slot.kids[at] if at >= 0 else None, own[3], open_) for kid, own, at in zip(parts, inner, places))
     return main, other
 
 
-def has_main(node: Node, inside: bool = False) -> bool:
+def has_main(root: Node) -> bool:
     """Whether a page has text in an article or main element."""
-    for kid in node.kids:
-        if isinstance(kid, str):
-            if inside and kid.strip():
-                return True
-        elif kid.tag not in RAW and not marked(kid.label) and has_main(kid, inside or kid.tag in BLOCKS and is_main(kid.label)):
-            return True
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, str):
+                if inside and kid.strip():
+                    return True
+            elif kid.tag not in RAW and not marked(kid.label):
+                stack.append((kid, inside or kid.tag in BLOCKS and is_main(kid.label)))
     return False
 
 
@@ -367,23 +395,27 @@ def extract(root: Node, slots: set[Node]) -> str:
             lines.append(line)
         held.clear()
 
-    def walk(node: Node, open_: bool) -> None:
-        for kid in node.kids:
+    stack = [(iter(root.kids), root in slots, True)]
+    while stack:
+        rest, open_, block = stack[-1]
+        for kid in rest:
             if isinstance(kid, str):
                 if open_:
                     held.append(kid)
             elif kid.tag in BLOCKS or kid.tag in ASIDE or marked(kid.label):
                 if not marked(kid.label):
                     close()
-                    walk(kid, kid in slots)
-                    close()
+                    stack.append((iter(kid.kids), kid in slots, True))
+                    break
             elif kid.tag not in RAW:
                 if kid.tag == "br":
                     held.append(" ")
-                walk(kid, open_)
-
-    walk(root, root in slots)
-    close()
+                stack.append((iter(kid.kids), open_, False))
+                break
+        else:
+            stack.pop()
+            if block:
+                close()
     return "\n".join(lines)
 
 
@@ -396,11 +428,12 @@ def page_text(page: str, wrapper: Slot) -> str:
 
 def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages -> a wrapper of each host for its pages of this task."""
+    sys.setrecursionlimit(max(CALLS, sys.getrecursionlimit()))
     known: dict[str, list] = {}
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(known), pa.string()), pa.array([json.dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
+            [pa.array(list(known), pa.string()), pa.array([dumps(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
 
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
@@ -415,19 +448,27 @@ def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    sys.setrecursionlimit(max(CALLS, sys.getrecursionlimit()))
     whole = None
-    for w in map(json.loads, sorted(group["wrapper"])):
+    for w in map(loads, sorted(group["wrapper"])):
         whole = w if whole is None else _same(whole, w)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dumps(whole)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """(host, html) -> one wrapper (JSON) for each host.
 
     Each task folds its pages to a wrapper for each of its hosts, and only these are shuffled:
-    a host with a third of all pages gives no more rows than there are tasks.
+    a host with a third of all pages gives no more rows than there are tasks.  Where a host has
+    many, they are merged in about the square root of their number of parts first.
     """
-    return pages.mapInArrow(_wrappers, "host string, wrapper string").groupBy("host").applyInPandas(_merged, "host string, wrapper string")
+    parts = stored(pages.mapInArrow(_wrappers, "host string, wrapper string"), "html-parts")
+    most = parts.groupBy("host").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    salts = math.isqrt(most)
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt")
+        parts = parts.groupBy("host", salt).applyInPandas(_merged, "host string, wrapper string")
+    return parts.groupBy("host").applyInPandas(_merged, "host string, wrapper string")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +481,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if wrapper not in slots:
                     if len(slots) > 2000:
                         slots.clear()
-                    slots[wrapper] = slots_of(json.loads(wrapper))
+                    slots[wrapper] = slots_of(loads(wrapper))
                 texts.append(page_text(page or "", slots[wrapper]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -457,6 +498,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(url_host(F.col(url_col).cast("string")), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html"))
     wrappers = stored(infer_wrappers(rows.select("host", "html")), "html-wrappers")
-    size = wrappers.agg(F.coalesce(F.max(F.length("wrapper")), F.lit(0))).first()[0]
-    texts = rows.join(if_small(wrappers, size + 64), "host").select("page_id", "url", "html", "wrapper").mapInArrow(_texts, "page_id long, url string, text string")
+    texts = rows.join(if_small(wrappers), "host").select("page_id", "url", "html", "wrapper").mapInArrow(_texts, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

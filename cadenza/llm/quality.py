@@ -17,18 +17,17 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 #: Relative error of the sketches: buckets are powers of (1 + ERROR) / (1 - ERROR).
-ERROR = 0.01
-#: A value is rejected beyond this many quartile ranges outside the quartiles ...
-FENCE = 3.0
-#: ... and this far from the median at least: rules that all documents of a group obey alike
-#: have no spread.  By rule: the ratio, and that distance.
+ERROR = 0.002
+#: By rule: the ratio, what is added to both its numbers in the sketch, and by how many quartile
+#: ranges, of logarithms, a value may lie outside the quartiles: below and above (None: by any).
+#: With 1 added, documents that all have none of something still have a spread, that of their lengths.
 RULES = {
-    "word_length": ("word_chars / n_words", 4.0),
-    "symbol_ratio": ("n_symbols / n_words", 0.15),
-    "dup_line_ratio": ("n_dup_lines / n_lines", 0.4),
+    "word_length": ("word_chars / n_words", 0, 4.0, 4.0),
+    "symbol_ratio": ("n_symbols / n_words", 1, None, 2.0),
+    "dup_line_ratio": ("n_dup_lines / n_lines", 1, None, 2.0),
 }
-#: Groups of fewer documents are judged by their language's sketch, merged from its sources'.
-MIN_GROUP = 50
+#: A group's limits count as much as its number of documents, those of its language as much as this.
+BLEND = 50
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -69,72 +68,76 @@ def text_metrics(text: bytes) -> tuple[int, ...]:
     return len(words), points, symbols, len(lines) - len(set(lines)), repeat_words(words), len(lines)
 
 
-def _metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("_text")
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            rows = [text_metrics(t or b"") for t in part.column(at).cast(pa.large_binary()).to_pylist()]
-            found = np.array(rows, np.int64).reshape(-1, len(METRICS))
-            kept = [part.column(j) for j in range(part.num_columns) if j != at]
-            names = [part.schema.names[j] for j in range(part.num_columns) if j != at]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(found[:, j]) for j in range(len(METRICS)))], names=[*names, *(f"_{m}" for m in METRICS)])
+def with_metrics(rows: DataFrame, text: str, keep: bool = False) -> DataFrame:
+    """rows with _n_words and the other METRICS of a string column, which stays only if asked."""
+    left = [f for f in rows.schema if keep or f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in left), *(f"_{m} long" for m in METRICS)])
+    names, measured = [f.name for f in left], [f"_{m}" for m in METRICS]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [text_metrics(t or b"") for t in part.column(text).cast(pa.large_binary()).to_pylist()]
+                found = np.array(found, np.int64).reshape(-1, len(METRICS))
+                cols = [*(part.column(n) for n in names), *(pa.array(found[:, j]) for j in range(len(METRICS)))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, *measured])
 
-def with_metrics(rows: DataFrame) -> DataFrame:
-    """rows with column _t, a text, replaced by _n_words and the other METRICS of it."""
-    kinds = [f for f in rows.schema if f.name != "_t"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), *(f"_{m} long" for m in METRICS)])
-    return rows.withColumn("_text", F.col("_t").cast("string")).drop("_t").mapInArrow(_metrics, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
     return F.expr(f"_n_words < {MIN_WORDS} OR 100 * _n_repeat_words > {MAX_REPEAT_PERCENT} * _n_words")
 
 
-def ratio(rule: str) -> Column:
-    over, under = (f"_{x}" for x in RULES[rule][0].split(" / "))
-    return F.when(F.col(under) > 0, F.col(over) / F.col(under)).otherwise(F.lit(0.0))
+def ratio(rule: str, added: int = 0) -> Column:
+    over, under = (F.col(f"_{x}") + added for x in RULES[rule][0].split(" / "))
+    return F.when(under > 0, over / under).otherwise(F.lit(0.0))
 
 
 def thresholds(metrics: DataFrame) -> DataFrame:
-    """Fences of each (_lang, _source) and rule, from all documents that pass the base rules.
+    """Limits of each (_lang, _source) and rule, min_ and max_, from all documents that pass the base rules.
 
     The sketch of a group is the count of its values by logarithmic bucket, so that sketches
     merge by adding counts: partial counts of tasks to those of a group, groups to languages.
-    Quantiles are right to ERROR, relative.  A group of few documents takes its language's.
+    Quantiles are the outer edges of their buckets, right to 2 * ERROR, relative.  Limits are Tukey's fences on a logarithmic scale; those
+    of a group and of its language are averaged there, weighted by the group's documents and BLEND.
     """
     log = float(np.log((1 + ERROR) / (1 - ERROR)))
-    values = metrics.filter(~base_failed()).select(
-        "_lang", "_source", F.explode(F.create_map(*(x for r in RULES for x in (F.lit(r), ratio(r))))).alias("rule", "value"))
-    bucket = F.when(F.col("value") > 0, F.ceil(F.ln("value") / F.lit(log))).cast("int")
+    ratios = F.create_map(*(x for r, (_, added, *_) in RULES.items() for x in (F.lit(r), ratio(r, added))))
+    values = metrics.filter(~base_failed()).select("_lang", "_source", F.explode(ratios).alias("rule", "value"))
+    bucket = F.ceil(F.ln("value") / F.lit(log)).cast("int")
     sketches = stored(values.withColumn("bucket", bucket).groupBy("_lang", "_source", "rule", "bucket").agg(F.count("*").alias("n")), "quality-sketch")
+    by_rule = lambda i: F.create_map(*(x for r, own in RULES.items() for x in (F.lit(r), F.lit(own[i]).cast("double"))))[F.col("rule")]
 
     def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-        order = Window.partitionBy(*keys, "rule").orderBy(F.col("bucket").asc_nulls_first())
+        order = Window.partitionBy(*keys, "rule").orderBy("bucket")
         full = Window.partitionBy(*keys, "rule")
         s = sketch.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(full))
-        middle = F.when(F.col("bucket").isNull(), 0.0).otherwise(F.exp(F.col("bucket") * log) * (1 - ERROR))
-        q = [F.min(F.when(F.col("upto") >= F.col("all") * p, middle)).alias(f"q{round(p * 100)}") for p in (0.25, 0.5, 0.75)]
+        q = [F.min(F.when(F.col("upto") >= F.col("all") * p, edge * log)).alias(name) for name, p, edge in (
+            ("q25", 0.25, F.col("bucket") - 1), ("q75", 0.75, F.col("bucket")))]
         s = s.groupBy(*keys, "rule").agg(F.max("all").alias("docs"), *q)
-        least = F.create_map(*(x for r, (_, m) in RULES.items() for x in (F.lit(r), F.lit(m))))[F.col("rule")]
-        return s.select(*keys, "rule", "docs", F.greatest(F.expr(f"q75 + {FENCE} * (q75 - q25)"), F.col("q50") + least).alias("most"))
+        wide = F.col("q75") - F.col("q25")
+        return s.select(*keys, "rule", "docs", (F.col("q25") - by_rule(2) * wide).alias("least"), (F.col("q75") + by_rule(3) * wide).alias("most"))
 
     own = fences(sketches, ["_lang", "_source"])
     merged = sketches.groupBy("_lang", "rule", "bucket").agg(F.sum("n").alias("n"))
-    wide = fences(merged, ["_lang"]).select(F.col("_lang").alias("l"), F.col("rule").alias("r"), F.col("most").alias("wide"))
-    both = own.join(wide, own["_lang"].eqNullSafe(wide["l"]) & (own["rule"] == wide["r"]))
-    most = F.when(F.col("docs") >= MIN_GROUP, F.col("most")).otherwise(F.col("wide"))
-    return both.groupBy("_lang", "_source").agg(*(F.max(F.when(F.col("rule") == r, most)).alias(f"max_{r}") for r in RULES))
+    language = fences(merged, ["_lang"]).select(
+        F.col("_lang").alias("l"), F.col("rule").alias("r"), F.col("least").alias("l_least"), F.col("most").alias("l_most"))
+    both = own.join(language, own["_lang"].eqNullSafe(language["l"]) & (own["rule"] == language["r"]))
+    blended = lambda c: F.exp((F.col(c) * F.col("docs") + F.col(f"l_{c}") * BLEND) / (F.col("docs") + BLEND))
+    return both.groupBy("_lang", "_source").agg(*(
+        F.max(F.when(F.col("rule") == r, blended(c))).alias(f"{name}_{r}") for r in RULES for name, c in (("min", "least"), ("max", "most"))))
 
 
 def judged(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """metrics with _base_failed and _kept: joined with the limits of its language and source."""
-    limits = if_small(limits.select(F.struct("*").alias("_max")), 128)
+    limits = if_small(limits.select(F.struct("*").alias("_max")))
     same = F.col("_lang").eqNullSafe(F.col("_max._lang")) & F.col("_source").eqNullSafe(F.col("_max._source"))
     within = F.lit(True)
     for r in RULES:
-        within = within & (ratio(r) <= F.coalesce(F.col(f"_max.max_{r}"), F.lit(float("inf"))))
+        least, most = F.col(f"_max.min_{r}"), F.col(f"_max.max_{r}")
+        within = within & ~F.coalesce((ratio(r) < least) | (ratio(r) > most), ratio(r) > most, ratio(r) < least, F.lit(False))
     return metrics.join(limits, same, "left").withColumn("_base_failed", base_failed()).withColumn("_kept", ~base_failed() & within).drop("_max")
 
 
@@ -145,20 +148,21 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     A null, empty or wordless text has no words and fails.  Null languages and sources are
     groups of their own; where no document of a group passes the base rules it has no limits,
     and none is needed.  Null and repeated ids stay; an empty table gives an empty one; other
-    columns are not read.
+    columns, of whatever name, are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))
-    found = stored(with_metrics(rows), "quality-metrics")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).cast("string").alias("_t"))
+    found = stored(with_metrics(rows, "_t"), "quality-metrics")
     out = judged(found, stored(thresholds(found), "quality-limits"))
     return out.select("doc_id", *(F.col(f"_{m}").alias(m) for m in METRICS[:5]), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that quality() keeps, columns of docs.  Texts are measured twice, once for the
-    limits and once for the verdict, and never shuffled."""
-    limits = stored(thresholds(stored(with_metrics(docs.select(
-        F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))), "quality-metrics")), "quality-limits")
+    """The rows that quality() keeps, columns of docs, of whatever name.  Each text is measured once and
+    written with its metrics, never shuffled."""
+    names = docs.columns
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(lang_col).alias("_lang"),
-        F.col(source_col).alias("_source"), F.col(text_col).alias("_t"))
-    return judged(with_metrics(rows), limits).filter("_kept").select("_row.*")
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
+    text = f"c{names.index(text_col)}"
+    found = stored(with_metrics(rows.withColumn(text, F.col(text).cast("string")), text, keep=True), "quality-measured")
+    kept = judged(found, stored(thresholds(found), "quality-limits")).filter("_kept")
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))

@@ -19,8 +19,8 @@ MAX_BITS = 3
 #: Fingerprints that one task compares with each other at most.
 BLOCK = 4096
 
-#: The 32 segments of 2 bits in groups of neighbours; see grid_cells().
-GROUPS = 6
+#: The 32 segments of 2 bits in groups of neighbours, so many at least and at most; see grid_cells().
+GROUPS = 6, 12
 PAIRS = 0x5555555555555555
 
 
@@ -61,16 +61,23 @@ def embedding(fp):
     return F.shiftleft(both, 1).bitwiseOR(one)
 
 
-def grid_cells(fps: DataFrame) -> DataFrame:
+def grid_groups(count: int) -> int:
+    """In how many groups to deal the segments for so many fingerprints: as few as leave about one
+    of them in a cell, as a segment that two must share tells apart 1.5 bits."""
+    least, most = GROUPS
+    return next((g for g in range(least, most) if count <= 2 ** (1.5 * 32 * (g - MAX_BITS) / g)), most)
+
+
+def grid_cells(fps: DataFrame, groups: int) -> DataFrame:
     """(cell, fp): the grid cells in which a fingerprint can meet others.
 
-    A Manhattan distance of at most 3, shared out over 6 groups of segments, leaves at least 3
+    A Manhattan distance of at most 3, shared out over groups of segments, leaves all but 3
     groups at distance 0.  Two such embeddings thus have the same coordinates in at least one of
-    the 20 sub-grids of 3 groups; each fingerprint stands in one cell of each sub-grid.
+    the sub-grids of all but 3 groups (20 of 6 groups); each fingerprint stands in one cell of each.
     """
-    bounds = [round(32 * g / GROUPS) * 2 for g in range(GROUPS + 1)]
+    bounds = [round(32 * g / groups) * 2 for g in range(groups + 1)]
     masks = [((1 << hi) - 1) & ~((1 << lo) - 1) for lo, hi in itertools.pairwise(bounds)]
-    grids = [sum(m) for m in itertools.combinations(masks, GROUPS - MAX_BITS)]
+    grids = [sum(m) for m in itertools.combinations(masks, groups - MAX_BITS)]
     signed = [m - (1 << 64) if m >> 63 else m for m in grids]
     cells = [F.xxhash64(F.lit(i), F.col("e").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)]
     return fps.withColumn("e", embedding(F.col("fp"))).select(F.explode(F.array(*cells)).alias("cell"), "fp")
@@ -110,7 +117,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     Cells of two give their pair directly.  The members of fuller cells are compared in blocks
     of at most BLOCK, and only the links of a search tree are emitted, never all pairs.
     """
-    cells = grid_cells(fps)
+    cells = grid_cells(fps, grid_groups(fps.count()))
     full = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     full = stored(full, "simhash-cells")
     two = full.filter("n = 2").select("a", "b").filter(F.bit_count(F.expr("a ^ b")) <= MAX_BITS)
@@ -135,11 +142,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
     parts = connected_components(stored(fingerprint_links(fps.select("fp")), "simhash-links"))
     parts = parts.select(F.col("node").alias("fp"), "component")
-    linked = fps.join(parts, "fp")
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
-    named = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(stored(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
+    linked = stored(fps.join(parts, "fp"), "simhash-linked")
+    least = stored(linked.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
+    linked = linked.join(if_small(least), "component").select("fp", "component_id")
+    named = fps.join(if_small(linked), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    return rows.join(if_small(stored(named, "simhash-named")), "fp").select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
@@ -148,7 +155,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> Da
     Rows that share the smallest id of a group all stay, and so do rows without an id.
     """
     out = near_duplicates(docs, id_col, **kw).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = if_small(stored(out, "simhash-gone"), 16)
+    gone = if_small(stored(out, "simhash-gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 

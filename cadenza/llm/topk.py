@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import stored
 
 SCALE = 64
-#: Vectors of a shard and queries of a block; a task holds one of each.
-SHARD, QUERIES = 8192, 1024
+#: Vectors of a shard and queries of a block; a task holds one of each.  Each vector is copied once
+#: for each block of queries, and each query once for each shard.
+SHARD, QUERIES = 8192, 8192
 #: Vectors of a shard that are scored in full to get a first threshold; lists probed at a time.
 HEAD, STEP = 1024, 8
 
@@ -29,8 +30,8 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def _exact(queries: np.ndarray, vectors: np.ndarray) -> type:
-    """The fastest type in which no inner product is rounded."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    """The fastest type in which no inner product is rounded, nor a sum of two of them, as bounds are."""
+    most = 2 * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1]
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else object
 
 
