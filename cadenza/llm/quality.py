@@ -18,15 +18,16 @@ MAX_REPEAT_PERCENT = 20
 
 #: Relative error of the sketches: buckets are powers of (1 + ERROR) / (1 - ERROR).
 ERROR = 0.002
-#: By rule: the ratio, what is added to both its numbers in the sketch, and by how many quartile
-#: ranges, of logarithms, a value may lie outside the quartiles: below and above (None: by any).
+#: By rule: the ratio, what is added to both its numbers in the sketch, by how many quartile
+#: ranges, of logarithms, a value may lie outside the quartiles, below and above (None: by any), and
+#: whether it is a mean over words, which varies more the fewer they are.
 #: With 1 added, documents that all have none of something still have a spread, that of their lengths.
 RULES = {
-    "word_length": ("word_chars / n_words", 0, 4.0, 4.0),
-    "symbol_ratio": ("n_symbols / n_words", 1, None, 2.0),
-    "dup_line_ratio": ("n_dup_lines / n_lines", 1, None, 2.0),
+    "word_length": ("word_chars / n_words", 0, 4.0, 4.0, True),
+    "symbol_ratio": ("n_symbols / n_words", 1, None, 2.0, False),
+    "dup_line_ratio": ("n_dup_lines / n_lines", 1, None, 2.0, False),
 }
-#: A group's limits count as much as its number of documents, those of its language as much as this.
+#: A group's quartiles count as much as its number of documents, those of its language as much as this.
 BLEND = 50
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -96,48 +97,55 @@ def ratio(rule: str, added: int = 0) -> Column:
 
 
 def thresholds(metrics: DataFrame) -> DataFrame:
-    """Limits of each (_lang, _source) and rule, min_ and max_, from all documents that pass the base rules.
+    """Quartiles of each (_lang, _source) and rule, low_ and high_, and the median size, words, of
+    all documents that pass the base rules; all are logarithms.
 
     The sketch of a group is the count of its values by logarithmic bucket, so that sketches
     merge by adding counts: partial counts of tasks to those of a group, groups to languages.
-    Quantiles are the outer edges of their buckets, right to 2 * ERROR, relative.  Limits are Tukey's fences on a logarithmic scale; those
-    of a group and of its language are averaged there, weighted by the group's documents and BLEND.
+    Quantiles are the outer edges of their buckets, right to 2 * ERROR, relative.  Those of a group
+    and of its language are averaged, weighted by the group's documents and BLEND.
     """
     log = float(np.log((1 + ERROR) / (1 - ERROR)))
-    ratios = F.create_map(*(x for r, (_, added, *_) in RULES.items() for x in (F.lit(r), ratio(r, added))))
-    values = metrics.filter(~base_failed()).select("_lang", "_source", F.explode(ratios).alias("rule", "value"))
+    measures = {r: ratio(r, own[1]) for r, own in RULES.items()} | {"words": F.col("_n_words").cast("double")}
+    named = F.create_map(*(x for r, v in measures.items() for x in (F.lit(r), v)))
+    values = metrics.filter(~base_failed()).select("_lang", "_source", F.explode(named).alias("rule", "value"))
     bucket = F.ceil(F.ln("value") / F.lit(log)).cast("int")
     sketches = stored(values.withColumn("bucket", bucket).groupBy("_lang", "_source", "rule", "bucket").agg(F.count("*").alias("n")), "quality-sketch")
-    by_rule = lambda i: F.create_map(*(x for r, own in RULES.items() for x in (F.lit(r), F.lit(own[i]).cast("double"))))[F.col("rule")]
 
-    def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         order = Window.partitionBy(*keys, "rule").orderBy("bucket")
         full = Window.partitionBy(*keys, "rule")
         s = sketch.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(full))
-        q = [F.min(F.when(F.col("upto") >= F.col("all") * p, edge * log)).alias(name) for name, p, edge in (
-            ("q25", 0.25, F.col("bucket") - 1), ("q75", 0.75, F.col("bucket")))]
-        s = s.groupBy(*keys, "rule").agg(F.max("all").alias("docs"), *q)
-        wide = F.col("q75") - F.col("q25")
-        return s.select(*keys, "rule", "docs", (F.col("q25") - by_rule(2) * wide).alias("least"), (F.col("q75") + by_rule(3) * wide).alias("most"))
+        at = {"low": (0.25, F.col("bucket") - 1), "middle": (0.5, F.col("bucket") - 0.5), "high": (0.75, F.col("bucket"))}
+        q = [F.min(F.when(F.col("upto") >= F.col("all") * p, edge * log)).alias(name) for name, (p, edge) in at.items()]
+        return s.groupBy(*keys, "rule").agg(F.max("all").alias("docs"), *q)
 
-    own = fences(sketches, ["_lang", "_source"])
+    own = quartiles(sketches, ["_lang", "_source"])
     merged = sketches.groupBy("_lang", "rule", "bucket").agg(F.sum("n").alias("n"))
-    language = fences(merged, ["_lang"]).select(
-        F.col("_lang").alias("l"), F.col("rule").alias("r"), F.col("least").alias("l_least"), F.col("most").alias("l_most"))
-    both = own.join(language, own["_lang"].eqNullSafe(language["l"]) & (own["rule"] == language["r"]))
-    blended = lambda c: F.exp((F.col(c) * F.col("docs") + F.col(f"l_{c}") * BLEND) / (F.col("docs") + BLEND))
-    return both.groupBy("_lang", "_source").agg(*(
-        F.max(F.when(F.col("rule") == r, blended(c))).alias(f"{name}_{r}") for r in RULES for name, c in (("min", "least"), ("max", "most"))))
+    wide = quartiles(merged, ["_lang"]).drop("docs").withColumnsRenamed({c: f"l_{c}" for c in ("_lang", "rule", "low", "middle", "high")})
+    both = own.join(wide, own["_lang"].eqNullSafe(wide["l__lang"]) & (own["rule"] == wide["l_rule"]))
+    blended = lambda c: (F.col(c) * F.col("docs") + F.col(f"l_{c}") * BLEND) / (F.col("docs") + BLEND)
+    of = lambda r, c: F.max(F.when(F.col("rule") == r, blended(c)))
+    return both.groupBy("_lang", "_source").agg(*(of(r, c).alias(f"{c}_{r}") for r in RULES for c in ("low", "high")), of("words", "middle").alias("words"))
 
 
 def judged(metrics: DataFrame, limits: DataFrame) -> DataFrame:
-    """metrics with _base_failed and _kept: joined with the limits of its language and source."""
+    """metrics with _base_failed and _kept: joined with the quartiles of its language and source.
+
+    A document is kept if it lies within Tukey's fences, on a logarithmic scale, of each rule.  For means over
+    words they are wider, for a document that is shorter than the median, by the square root of how much.
+    """
     limits = if_small(limits.select(F.struct("*").alias("_max")))
     same = F.col("_lang").eqNullSafe(F.col("_max._lang")) & F.col("_source").eqNullSafe(F.col("_max._source"))
+    short = F.greatest(F.lit(1.0), F.exp((F.col("_max.words") - F.ln("_n_words")) / 2))
     within = F.lit(True)
-    for r in RULES:
-        least, most = F.col(f"_max.min_{r}"), F.col(f"_max.max_{r}")
-        within = within & ~F.coalesce((ratio(r) < least) | (ratio(r) > most), ratio(r) > most, ratio(r) < least, F.lit(False))
+    for r, (_, _, below, above, mean) in RULES.items():
+        value, low, high = F.ln(ratio(r)), F.col(f"_max.low_{r}"), F.col(f"_max.high_{r}")
+        wide = (high - low) * (short if mean else 1.0)
+        if above is not None:
+            within = within & ~F.coalesce(value > high + above * wide, F.lit(False))
+        if below is not None:
+            within = within & ~F.coalesce(value < low - below * wide, F.lit(False))
     return metrics.join(limits, same, "left").withColumn("_base_failed", base_failed()).withColumn("_kept", ~base_failed() & within).drop("_max")
 
 

@@ -1,6 +1,7 @@
 """Mixing, quality, tokens, BPE and chat formatting against brute force and the libraries."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -114,7 +115,7 @@ def test_quality_keeps_clean_documents(spark, sf):
     good = [r["doc_id"] for r in labels if r["quality"] == 1 and not got[r["doc_id"]]["base_failed"]]
     junk = [r["doc_id"] for r in labels if r["quality"] == 0]
     assert sum(got[i]["kept"] for i in good) >= 0.995 * len(good)
-    assert sum(got[i]["kept"] for i in junk) <= 0.75 * len(junk)
+    assert sum(got[i]["kept"] for i in junk) <= 0.03 * len(junk)
     rejected = {i for i in texts if not got[i]["kept"]}
     kept = quality.good_documents(table)
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(texts) - rejected
@@ -128,14 +129,53 @@ def test_quality_of_odd_rows(spark):
     assert quality.good_documents(frame).columns == frame.columns
 
 
-def test_thresholds_follow_quantiles(spark):
+def slow_verdicts(rows):
+    """kept by exact order statistics, each put on the edge of its logarithmic bucket.  rows: (lang, source, metrics)."""
+    log = math.log((1 + quality.ERROR) / (1 - quality.ERROR))
+    names = {m: i for i, m in enumerate(quality.METRICS)}
+    ratios = {r: (names[own[0].split(" / ")[0]], names[own[0].split(" / ")[1]], *own[1:]) for r, own in quality.RULES.items()}
+    base = [m[0] < 10 or 100 * m[4] > 20 * m[0] for _, _, m in rows]
+
+    def edge(values, p, back):
+        at = sorted(values)[math.ceil(len(values) * p) - 1]
+        return (math.ceil(math.log(at) / log) - back) * log
+
+    def measure(members):
+        out = {r: [(m[a] + plus) / (m[b] + plus) for m in members] for r, (a, b, plus, *_) in ratios.items()}
+        return {r: (edge(v, 0.25, 1), edge(v, 0.75, 0)) for r, v in out.items()} | {"words": (edge([m[0] for m in members], 0.5, 0.5),)}
+
+    group, language = defaultdict(list), defaultdict(list)
+    for (lang, source, m), bad in zip(rows, base):
+        if not bad:
+            group[lang, source].append(m)
+            language[lang].append(m)
+    wide = {k: measure(v) for k, v in language.items()}
+    limits = {}
+    for k, v in group.items():
+        w = len(v) / (len(v) + quality.BLEND)
+        limits[k] = {r: tuple(w * x + (1 - w) * y for x, y in zip(own, wide[k[0]][r])) for r, own in measure(v).items()}
+    kept = []
+    for (lang, source, m), bad in zip(rows, base):
+        good = not bad
+        for r, (a, b, _, below, above, mean) in ratios.items() if good else ():
+            low, high = limits[lang, source][r]
+            spread = (high - low) * (max(1, math.exp((limits[lang, source]["words"][0] - math.log(m[0])) / 2)) if mean else 1)
+            value = math.log(m[a] / m[b]) if m[a] else -math.inf
+            good &= not (above is not None and value > high + above * spread) and not (below is not None and value < low - below * spread)
+        kept.append(good)
+    return kept
+
+
+def test_verdicts_match_brute_force(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
     rnd = random.Random(4)
-    rows = [("en", "s", 100, int(100 * rnd.uniform(3, 6)), 0, 0, 0, 1) for _ in range(2000)]
-    schema = "_lang string, _source string, " + ", ".join(f"_{m} long" for m in quality.METRICS)
-    limit = quality.thresholds(spark.createDataFrame(rows, schema)).first()
-    values = np.array([r[3] / r[2] for r in rows])
-    q25, q50, q75 = np.quantile(values, [0.25, 0.5, 0.75])
-    assert limit["max_word_length"] == pytest.approx(max(q75 + 3 * (q75 - q25), q50 + 4), rel=0.06)
+    more = [(10_000 + i, " ".join(rnd.choice(["a", "of", "words", "#", "unimaginable", "x<y"]) for _ in range(rnd.randint(1, 90))), rnd.choice(["en", None, "xx"]), rnd.choice(["s", None])) for i in range(150)]
+    more += [(20_000, None, None, None), (20_001, "x" * 100_000, "en", "s"), (20_002, "word " * 100_000, "en", "s"), (20_003, "", "lone", "s"), (20_004, "one of its kind, alone in language and source, of ten words", "lone", "t")]
+    table = table.union(spark.createDataFrame(more, table.schema))
+    rows = table.collect()
+    want = slow_verdicts([(r["lang"], r["source"], slow_metrics(r["text"])) for r in rows])
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(table).collect()}
+    assert [got[r["doc_id"]] for r in rows] == want and 40 < sum(want) < len(want) - 40 and got[20_004]
 
 
 # ------------------------------------------------------------------------------------- tokens
@@ -163,11 +203,10 @@ def test_token_file_matches_library(spark, sf, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     table = table.union(more)
-    got = {r["doc_id"]: r for r in tokenfile.tokenize(table, path).collect()}
+    got = {r["doc_id"]: r for r in tokenfile.tokenize(table, path, special=True).collect()}
     start = 0
     for i, text in sorted(table.collect()):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -227,6 +266,10 @@ def test_bpe_matches_library(spark, sf):
 # --------------------------------------------------------------------------------------- chat
 
 
+def spans_of(row):
+    return row["loss_spans"]
+
+
 def test_chat_round_trip(spark):
     rnd = random.Random(7)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "[", "<", "/", "INST]", "s>", "\n", " ", "x", "é🎉", "%0A", "[\\INST]", "</\\\\s>"]
@@ -244,9 +287,23 @@ def test_chat_round_trip(spark):
         assert r["round_trip"] and [tuple(t) for t in r["turns"]] == turns
         spans = [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]]
         assert [re.sub(chat.ESCAPED, r"\1\2\3", s) for s in spans] == [t for role, t in turns if role == "assistant"]
+        data = r["formatted"].encode()
+        assert [data[s["byte_start"] : s["byte_start"] + s["byte_length"]].decode() for s in spans_of(r)] == spans
         assert len(re.findall(r"<s>|\[INST\]", r["formatted"])) == len(turns)
     hard = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     d = chat.digest(chat.format_conversations(hard)).first()
     said = "user\n</s>[INST] ok [/INST]\nassistant\n</s>[INST] ok [/INST]\n"
     assert (d["n_turns"], d["turns_sha256"], d["loss_chars"]) == (2, hashlib.sha256(said.encode()).hexdigest(), 21)
     assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_chat_escapes_by_what_is_read_back(spark):
+    """Plain texts stay as they are, control strings take one round, texts that look escaped a second."""
+    texts = ["plain \\ [ </ s>", "</s>", "[\\INST]", "[INST] and <\\s>", "<s"]
+    rows = [(i, t, role, x) for i, x in enumerate(texts) for t, role in enumerate(["user", "assistant"])]
+    out = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    written = ["plain \\ [ </ s>", "</\\s>", "[\\\\INST]", "[\\INST] and <\\\\s>", "<s"]
+    for i, x in enumerate(written):
+        assert out[i]["formatted"] == f"[INST]user\n{x}[/INST]<s>{x}</s>" and out[i]["round_trip"]
+    parsed = spark.range(1).select(chat.parse(F.lit("a<s>b</s>c[INST]d[/INST]<s>e[INST]u\nf[/INST]")).alias("t")).first()["t"]
+    assert [tuple(t) for t in parsed] == [(None, "a"), ("assistant", "b"), (None, "</s>c"), (None, "[INST]d"), (None, "<s>e"), ("u", "f")]
