@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ESCAPE = 15
 WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 GROUP = 128
 BLOCK_IDS = 1 << 18
+#: Characters and rows of a shard, on average, at most: what one task sorts and encodes.
+SHARD_CHARS, SHARD_ROWS = 1 << 27, 1 << 20
 
 FILE_SCHEMA = (
     "shard int, block int, first long, doc_ids array<long>, lens array<int>, words binary, offsets array<int>, escapes binary"
@@ -101,19 +104,21 @@ def unpack(words: np.ndarray, offsets: np.ndarray, escapes: np.ndarray, n: int)
 
 
 class ChunkEncoder:
-    """A tokenizers vocabulary, asked once for each distinct piece of text.
+    """A tokenizers vocabulary, asked once for each distinct run of text.
 
     White space splits a text before the vocabulary's own pattern does, and normalisation does
     not reach across it, so a text's ids are those of its runs of other characters in turn.
-    Runs of ASCII and Latin letters, digits and marks are cut by that pattern here, and their
-    new pieces encoded many at a time, spaces between: each piece ends with an end-of-word id.
-    Other runs are encoded one by one.
+    Runs of ASCII and Latin letters, digits and marks are
+    cut by the pattern, and their new pieces encoded many at a time, spaces between: each piece
+    ends with an end-of-word id.  Other runs are encoded one by one.  Runs are numbered, and a
+    table has the ids of each; texts become numbers, and numbers ids, in arrays.
 
     With `special`, the vocabulary's special tokens in a text are their own ids, as is the
     library's default: texts are split at them first.  Without it they are text like any other.
     """
 
-    KEEP = 600_000
+    #: Runs remembered at most.
+    KEEP = 500_000
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
 
@@ -125,58 +130,108 @@ class ChunkEncoder:
         added = self.tokenizer.get_added_tokens_decoder() if special else {}
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("special tokens that take the text around them into account are not supported")
-        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.special = {t.content.encode(): i for i, t in added.items()}
         self.split = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if added else None
         self.tokenizer.encode_special_tokens = True  # for what is left between them
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.sizes, self.begins, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)
+        self.held = 0
+        self._add([b""], np.zeros(1, np.int64), np.zeros(0, np.uint32))
+
+    def _add(self, runs: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.number)
+        self.number.update(zip(runs, range(first, first + len(runs))))
+        while len(self.sizes) < len(self.number):
+            self.sizes, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.begins))
+        while len(self.ids) < self.held + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.sizes[first : first + len(runs)] = sizes
+        self.begins[first : first + len(runs)] = self.held + np.cumsum(sizes) - sizes
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs by number -> their ids one after another, and where each run's begin and the last one's end."""
+        sizes = self.sizes[number]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(self.begins[number] - upto[:-1], sizes) + np.arange(upto[-1])], upto
+
+    def _add_each(self, runs: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False)]
+        self._add(runs, np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32))
+
+    def _learn(self, runs: list[bytes]) -> None:
+        whole, cut, other = {}, {}, []
+        for run in runs:
+            if run.isalpha():  # of ASCII letters
+                whole[run] = None
+            elif run[:-1].isalpha() and run[-1:] in b".,:;!?":
+                cut[run] = (run[:-1], run[-1:])
+            elif self.PLAIN.fullmatch(text := run.decode()):
+                pieces = self.PIECES.findall(text.lower())
+                if len(pieces) > 1:
+                    cut[run] = [x.encode() for x in pieces]
+                else:
+                    whole[run] = None
+            else:
+                other.append(run)
+        whole.update(dict.fromkeys(p for pieces in cut.values() for p in pieces if p not in self.number))
+        pieces = list(whole)
         for i in range(0, len(pieces), 2000):
             some = pieces[i : i + 2000]
-            ids = self._ask([" ".join(some)])[0]
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            data = ids.tobytes()
-            found = [data[a:b] for a, b in zip([0, *ends], ends)] if len(ends) == len(some) else [x.tobytes() for x in self._ask(some)]
-            self.pieces.update(zip(some, found))
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        plain, other = {}, {}
-        for c in chunks:
-            text = c.decode()
-            if self.PLAIN.fullmatch(text):
-                plain[c] = self.PIECES.findall(text.lower())
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                self._add(some, np.diff(ends, prepend=0), ids)
             else:
-                other[c] = text
-        new = dict.fromkeys(p for pieces in plain.values() for p in pieces)
-        self._learn_pieces([p for p in new if p not in self.pieces])
-        piece = self.pieces.__getitem__
-        self.chunks.update((c, piece(p[0]) if len(p) == 1 else b"".join(map(piece, p))) for c, p in plain.items())
-        self.chunks.update(zip(other, [x.tobytes() for x in self._ask(list(other.values()))]))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """UTF-8 texts -> ids of each as little-endian unsigned 32-bit integers."""
-        if self.split and any(map(self.split.search, texts)):
-            parts = [self.split.split(t) for t in texts]  # text, token, text, ...
-            plain = iter(self._plain([x for p in parts for x in p[::2]]))
-            return [b"".join(self.special[x] if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
-        return self._plain(texts)
-
-    def _plain(self, texts: list[bytes]) -> list[bytes]:
+                self._add_each(some)
+        if cut:
+            counts = np.fromiter(map(len, cut.values()), np.int64, len(cut))
+            flat = np.fromiter((self.number[p] for pieces in cut.values() for p in pieces), np.int64, int(counts.sum()))
+            ids, upto = self._gather(flat)
+            self._add(list(cut), np.diff(upto[np.concatenate([[0], np.cumsum(counts)])]), ids)
+        if other:
+            self._add_each(other)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 texts -> all their ids (uint32), and how many each has."""
+        if not self.split or not any(map(self.split.search, texts)):
+            return self._plain(texts)
+        parts = [self.split.split(t) for t in texts]  # text, token, text, ...
+        ids, sizes = self._plain([x for p in parts for x in p[::2]])
+        tokens = [[self.special[x] for x in p[1::2]] for p in parts]
+        pieces = np.array([len(p) // 2 + 1 for p in parts])
+        ends, last = np.cumsum(sizes), np.cumsum(pieces) - 1
+        at = np.delete(ends, last)  # a token stands after each text but a document's last
+        begins = np.concatenate([[0], ends[last[:-1]]])
+        sizes = ends[last] - begins + pieces - 1
+        return np.insert(ids, at, np.array([i for own in tokens for i in own], np.uint32)), sizes
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """encode() of texts whose special tokens, if any, are text."""
-        runs = [(t.lower() if t.isascii() else t).split() for t in texts]
-        if len(self.chunks) > self.KEEP:
-            self.chunks.clear()
-        if len(self.pieces) > self.KEEP:
-            self.pieces.clear()
-        self._learn([c for c in set().union(*runs) if c not in self.chunks])
-        return [b"".join(map(self.chunks.__getitem__, r)) for r in runs]
+        if len(self.number) > self.KEEP:
+            self._forget()
+        # with no combining mark that could be part of one character with a letter, its case may go first
+        texts = [t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+        runs = pyarrow.compute.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = runs.flatten().dictionary_encode()
+        _, places, data = coded.dictionary.buffers()
+        places, data = np.frombuffer(places, np.int64)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes() if data else b""
+        words = [data[a:b] for a, b in zip(places, places[1:])]
+        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(number < 0).tolist()
+        if new:
+            self._learn([words[i] for i in new])
+            number[new] = [self.number[words[i]] for i in new]
+        ids, upto = self._gather(number[np.asarray(coded.indices)])
+        offsets = np.asarray(runs.offsets)
+        return ids, np.diff(upto[offsets - offsets[0]])
 
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -189,7 +244,7 @@ def _encoder(path: str, special: bool) -> ChunkEncoder:
     return _ENCODERS[path, special]
 
 
-def _texts(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterator[tuple[int, list[bytes]]]:
+def _texts(batch: pa.RecordBatch, name: str, rows: int = 1024) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch as UTF-8 (null: empty), some at a time."""
     col = batch.column(name).cast(pa.large_binary())
     for i in range(0, len(col), rows):
@@ -197,34 +252,40 @@ def _texts(batch: pa.RecordBatch, name: str, rows: int = 256) -> Iterator[tuple[
 
 
 def _blocks(tokenizer_path: str, end_id: int | None, special: bool):
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, shard = _encoder(tokenizer_path, special), TaskContext.get().partitionId()
         block = first = held = 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lens: list[np.ndarray] = []
         docs: list[int | None] = []
 
         def close() -> pa.RecordBatch:
-            nonlocal block, first, held, ids, docs
-            lens = [len(x) // 4 for x in ids]
-            words, offsets, escapes = pack(np.frombuffer(b"".join(ids), "<u4"))
-            row = [[shard], [block], [first], [docs], [lens], [words.astype("<u8").tobytes()], [offsets], [escapes.astype("<u8").tobytes()]]
+            nonlocal block, first, held, ids, lens, docs
+            words, offsets, escapes = pack(np.concatenate(ids))
+            row = [[shard], [block], [first], [docs], [np.concatenate(lens)], [words.astype("<u8").tobytes()], [offsets], [escapes.astype("<u8").tobytes()]]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()), pa.binary()]
             out = pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, types)], names=[x.split()[0] for x in FILE_SCHEMA.split(", ")])
-            block, first, held, ids, docs = block + 1, first + sum(lens), 0, [], []
+            block, first, held, ids, lens, docs = block + 1, first + held, 0, [], [], []
             return out
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
             for i, texts in _texts(batch, "text"):
-                for name, x in zip(names[i : i + len(texts)], encoder.encode(texts)):
-                    ids.append(x + end)
-                    docs.append(name)
-                    held += len(x) // 4
+                found, sizes = encoder.encode(texts)
+                if end_id is not None:
+                    found, sizes = np.insert(found, np.cumsum(sizes), end_id), sizes + 1
+                ends, a = np.cumsum(sizes), 0
+                while a < len(texts):  # a block ends with the document that fills it
+                    begin = ends[a] - sizes[a]
+                    b = min(int(np.searchsorted(ends, begin + BLOCK_IDS - held)) + 1, len(texts))
+                    ids.append(found[begin : ends[b - 1]])
+                    lens.append(sizes[a:b])
+                    docs += names[i + a : i + b]
+                    held += int(ends[b - 1] - begin)
+                    a = b
                     if held >= BLOCK_IDS:
                         yield close()
         if docs:
@@ -246,7 +307,8 @@ def write_tokens(
     a lost executor's shard is written again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = shuffle_partitions(docs.sparkSession)
+    count, size = rows.select(F.count("*"), F.sum(F.length("text"))).first()
+    parts = max(shuffle_partitions(docs.sparkSession), (size or 0) // SHARD_CHARS, count // SHARD_ROWS)
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer_path, end_id, special), FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
@@ -277,7 +339,7 @@ def read_tokens(spark, path: str) -> DataFrame:
     shards = blocks.select("shard", F.expr("first + aggregate(lens, 0L, (a, x) -> a + x)").alias("ids")).groupBy("shard").agg(F.max("ids").alias("ids"))
     starts = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("before"))
     docs = blocks.mapInArrow(_documents, "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
-    return docs.join(if_small(starts, 16), "shard").select(
+    return docs.join(if_small(starts), "shard").select(
         "doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 
