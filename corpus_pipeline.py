@@ -14,20 +14,21 @@ from cadenza.llm.common import bounded_batches, stored
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    bounded_batches(spark)
-    return quality.good_documents(docs)
+    with bounded_batches(spark):
+        return quality.good_documents(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat others go; n_chars is that of the text that stays."""
-    bounded_batches(spark)
-    return linededup.dedup_lines(docs).selectExpr(*("CAST(char_length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
+    with bounded_batches(spark):
+        left = linededup.dedup_lines(docs)
+    return left.selectExpr(*("CAST(char_length(text) AS BIGINT) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    bounded_batches(spark)
-    return simhash.without_near_duplicates(docs)
+    with bounded_batches(spark):
+        return simhash.without_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +37,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and round trip of each text, as digests."""
-    bounded_batches(spark)
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The corpus as ids: doc_id, n_tokens, ids_sha256, decoded_sha256, ids; a row for each time
+    that the mixture takes a document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with bounded_batches(spark):
+        return stored(bpe.encode_decode(docs, path, public_tokenizers.PATTERN, with_ids=True), "pipeline-ids")
 
 
 STAGES = [
