@@ -1,8 +1,9 @@
-"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--output DIR]"""
+"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--midi DIR | --keep-midi] [--output DIR] [--quiet]"""
 
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,15 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--confidence", type=float, default=0.3)
     p.add_argument("--min-duration", type=float, default=0.1)
     p.add_argument("--max-duration", type=float, default=4.0)
+    p.add_argument("--midi", help="folder for the transcriptions of audio files as MIDI")
+    p.add_argument("--keep-midi", action="store_true", help="transcriptions as MIDI beside the audio files")
     p.add_argument("--output", help="folder for the results as Parquet")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("cadenza").getOrCreate()
-    run = Pipeline(TranscriptionSettings(a.confidence, a.min_duration, a.max_duration), a.window_size)
+    run = Pipeline(
+        TranscriptionSettings(a.confidence, a.min_duration, a.max_duration), a.window_size, midi_folder=a.midi, cleanup_midi=not a.keep_midi)
+    begun = time.perf_counter()
     try:
         rows = run.analyze_paths(spark, *a.paths)
     except FileNotFoundError as e:
@@ -41,8 +46,9 @@ def main(args: list[str] | None = None) -> int:
         rows.write.mode("overwrite").parquet(a.output)
         rows = spark.read.parquet(a.output)
     if not a.quiet:
-        rows.select("path", "key", F.array_join("chord_events.chord", " ").alias("chords"), "error").show(50, truncate=100)
+        rows.select("path", "key", F.array_join("chord_events.chord", " ").alias("chords"), "midi_file", "conversion_time", "error").show(50, truncate=100)
         successes(rows).show()
+        print(f"{time.perf_counter() - begun:.1f} s")
     return 0
 
 

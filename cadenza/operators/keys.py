@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.music import PITCH_CLASSES, key_templates, pitch_class
+from cadenza.functions.music import KEY_TEMPLATES, PITCH_CLASSES, key_templates, pitch_class
 
 UNKNOWN = "Unknown"
 
 
+def plays(events: DataFrame) -> DataFrame:
+    """recording_id, chord, n, first: how often a chord is played, and when first."""
+    return events.groupBy("recording_id", "chord").agg(F.count("*").alias("n"), F.min("start").alias("first"))
+
+
 def key_scores(events: DataFrame) -> DataFrame:
     """Score of each key that has one of a recording's chords: the sum of squares of their plays.
 
     (recording_id, key, key_order, score)
     """
-    counts = events.groupBy("recording_id", "chord").agg(F.count("*").alias("n"))
-    scores = counts.join(F.broadcast(key_templates(events.sparkSession)), "chord")  # 79 rows, fixed
+    scores = plays(events).join(F.broadcast(key_templates(events.sparkSession)), "chord")  # 79 rows, fixed
     return scores.groupBy("recording_id", "key", "key_order").agg(F.sum(F.col("n") * F.col("n")).alias("score"))
 
 
 def key_from_chords(events: DataFrame) -> DataFrame:
     """The key of the highest score, the earlier one if two are as high; without any score, the
-    minor of the most frequent chord (the one heard first, if tied) if that is a minor chord."""
-    best = key_scores(events).groupBy("recording_id").agg(F.max_by("key", F.struct("score", -F.col("key_order"))).alias("best"))
-    counts = events.groupBy("recording_id", "chord").agg(F.count("*").alias("n"), F.min("start").alias("first"))
-    common = counts.groupBy("recording_id").agg(F.max_by("chord", F.struct("n", -F.col("first"))).alias("common"))
+    minor of the most frequent chord (the one heard first, if tied) if that is a minor chord.
+
+    Both come from one count: a recording's plays by chord, of which there are 46 at most.
+    """
+    p = plays(events).groupBy("recording_id").agg(
+        F.max_by("chord", F.struct("n", -F.col("first"))).alias("common"), F.collect_list(F.struct("chord", "n")).alias("_plays"))
+    score = lambda chords: F.aggregate(
+        F.filter("_plays", lambda x: x["chord"].isin(chords)), F.lit(0).cast("long"), lambda s, x: s + x["n"] * x["n"])
+    keys = F.array(*(F.struct(score(c.split()).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("key")) for i, (k, c) in enumerate(KEY_TEMPLATES)))
+    best = p.withColumn("_best", F.array_max(keys))
     minor = F.when(F.endswith("common", F.lit("m")), F.concat(F.expr("left(common, length(common) - 1)"), F.lit(" minor"))).otherwise(UNKNOWN)
-    return common.join(best, "recording_id", "left").select("recording_id", F.coalesce("best", minor).alias("key"))
+    return best.select("recording_id", F.when(F.col("_best.score") > 0, F.col("_best.key")).otherwise(minor).alias("key"))
 
 
 def key_from_notes(notes: DataFrame) -> DataFrame:

@@ -88,3 +88,15 @@ def auto_window(notes: DataFrame) -> DataFrame:
     size = F.when(gap.isNull(), F.lit(2.0)).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(3.0), gap * 0.8)))
     pace = F.when(gap.isNull(), "single").when(size < 1.0, "fast").when(size > 2.0, "slow").otherwise("medium")
     return s.select("recording_id", "strikes", gap.alias("avg_gap"), size.alias("window_size"), pace.alias("pace"))
+
+
+def reasoning(sizes: DataFrame) -> DataFrame:
+    """Rows of auto_window() with reasoning, lines of text that say why."""
+    pace = F.col("pace")
+    why = (
+        F.when(pace == "single", "One chord strike: windows of 2 s").when(pace == "fast", "Fast playing: small windows for precision")
+        .when(pace == "slow", "Slow playing: larger windows").otherwise("Medium pace: balanced windows")
+    )
+    found = F.format_string("Chord strikes found: %d", "strikes")
+    gap = F.when(F.col("avg_gap").isNotNull(), F.format_string("Average gap between strikes: %.1fs", "avg_gap"))
+    return sizes.withColumn("reasoning", F.array_compact(F.array(found, gap, why)))

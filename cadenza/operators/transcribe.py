@@ -24,13 +24,14 @@ def frame_pitches(frames: DataFrame, min_confidence: float = 0.3) -> DataFrame:
 def next_onsets(frames: DataFrame, onsets: DataFrame, buffer: float = 0.05) -> DataFrame:
     """As-of join forward: each frame with next_onset, the first onset over `buffer` seconds on.
 
-    Frames and onsets of a track are put in one order of time; of equal times frames come after
-    onsets, so that an onset exactly `buffer` on is not taken.
+    Frames and onsets of a track are put in one order of time, the last first, and each frame
+    takes the onset met last: one pass, as what is met only grows.  Of equal times frames come
+    before onsets, so that an onset exactly `buffer` on is not taken.
     """
     f = frames.select(F.struct(*frames.columns).alias("_row"), "track_id", (F.col("time") + buffer).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_onset"))
     o = onsets.select(F.lit(None).cast(f.schema["_row"].dataType).alias("_row"), "track_id", F.col("onset_time").alias("_at"), F.lit(0).alias("_kind"), F.col("onset_time").alias("_onset"))
-    order = Window.partitionBy("track_id").orderBy("_at", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    rows = f.union(o).withColumn("next_onset", F.first("_onset", ignorenulls=True).over(order))
+    order = Window.partitionBy("track_id").orderBy(F.col("_at").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = f.union(o).withColumn("next_onset", F.last("_onset", ignorenulls=True).over(order))
     return rows.filter("_kind = 1").select("_row.*", "next_onset")
 
 
@@ -59,17 +60,23 @@ def dedupe(notes: DataFrame, within: float = 0.1) -> DataFrame:
     """Of notes of one pitch that begin within 0.1 s of a survivor, the more confident survives.
 
     Order matters: a note is held against the last survivor of its pitch only, replaces it if it
-    is more confident, and goes if not.  That fold runs over each (track, pitch) group's sorted
-    notes, inside the JVM.
+    is more confident, and goes if not.  A note that begins 0.1 s or more after the note before
+    it is in nobody's way, so that each run of closer ones is a group of its own, folded inside the
+    JVM.  Survivors are gathered in lists of up to 256, as adding to a list copies it.
     """
     kind = "struct<start:double,frame_idx:bigint,end:double,velocity:int,confidence:double>"
-    group = notes.groupBy("track_id", "pitch").agg(F.array_sort(F.collect_list(F.struct("start", "frame_idx", "end", "velocity", "confidence"))).alias("_notes"))
-    state = f"named_struct('done', CAST(array() AS array<{kind}>), 'last', CAST(NULL AS {kind}))"
-    fold = F.expr(f"""aggregate(_notes, {state}, (s, x) -> CASE
-        WHEN s.last IS NULL THEN named_struct('done', s.done, 'last', CAST(x AS {kind}))
-        WHEN abs(s.last.start - x.start) >= {within}D THEN named_struct('done', array_append(s.done, s.last), 'last', CAST(x AS {kind}))
-        WHEN x.confidence > s.last.confidence THEN named_struct('done', s.done, 'last', CAST(x AS {kind}))
-        ELSE s END, s -> array_append(s.done, s.last))""")
+    order = Window.partitionBy("track_id", "pitch").orderBy("start", "frame_idx")
+    far = F.when(F.col("start") - F.lag("start").over(order) < within, 0).otherwise(1)
+    rows = notes.withColumn("_far", far).withColumn("_run", F.sum("_far").over(order))
+    group = rows.groupBy("track_id", "pitch", "_run").agg(F.array_sort(F.collect_list(F.struct("start", "frame_idx", "end", "velocity", "confidence"))).alias("_notes"))
+    state = f"named_struct('full', CAST(array() AS array<array<{kind}>>), 'done', CAST(array() AS array<{kind}>), 'last', CAST(NULL AS {kind}))"
+    fold = F.expr(f"""flatten(aggregate(_notes, {state}, (s, x) -> CASE
+        WHEN s.last IS NULL THEN named_struct('full', s.full, 'done', s.done, 'last', CAST(x AS {kind}))
+        WHEN abs(s.last.start - x.start) >= {within}D AND size(s.done) >= 255
+            THEN named_struct('full', array_append(s.full, array_append(s.done, s.last)), 'done', CAST(array() AS array<{kind}>), 'last', CAST(x AS {kind}))
+        WHEN abs(s.last.start - x.start) >= {within}D THEN named_struct('full', s.full, 'done', array_append(s.done, s.last), 'last', CAST(x AS {kind}))
+        WHEN x.confidence > s.last.confidence THEN named_struct('full', s.full, 'done', s.done, 'last', CAST(x AS {kind}))
+        ELSE s END, s -> array_append(s.full, array_append(s.done, s.last))))""")
     return group.select("track_id", "pitch", F.explode(fold).alias("_n")).select("track_id", "_n.frame_idx", "pitch", "_n.start", "_n.end", "_n.velocity", "_n.confidence")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import file_name, file_stem
+from cadenza.storage import stored
 
-AUDIO = ["wav", "mp3", "flac", "aiff"]
+#: Audio files that are listed; those that are not WAV give an error row.
+AUDIO = ["wav", "mp3", "flac", "m4a", "aiff"]
 LISTING = "path string, length long, name string, stem string"
 
 
@@ -49,5 +51,10 @@ def companions(files: DataFrame, audio: DataFrame, order: Iterable[str] = ("wav"
 
 
 def in_turn(files: DataFrame) -> DataFrame:
-    """Files with their position by path, for reports."""
-    return files.withColumn("position", F.row_number().over(Window.orderBy("path")))
+    """Files with their position by path, for reports: each range of paths is numbered by itself,
+    after those before it have been counted."""
+    ranged = stored(files.repartitionByRange("path").withColumn("_range", F.spark_partition_id()), "files-in-turn")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("path"))
+    return ranged.join(before, "_range").withColumn("position", (own + F.col("_before")).cast("int")).drop("_range", "_before")

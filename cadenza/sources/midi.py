@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadenza.functions.music import file_stem, transcribed_path
 from cadenza.sources.files import list_files
 
 TICKS = 480
@@ -75,8 +78,10 @@ def decode(data: bytes) -> list[tuple[int, float, float, int, int]]:
         last, seconds, old = marks[-1]
         marks.append((tick, seconds + (tick - last) * old / division / 1e6, tempo))
 
+    ticks = [m[0] for m in marks]
+
     def seconds(tick: int) -> float:
-        mark = next(m for m in reversed(marks) if m[0] <= tick)
+        mark = marks[bisect.bisect_right(ticks, tick) - 1]
         return mark[1] + (tick - mark[0]) * mark[2] / division / 1e6
 
     notes, instruments = [], {}
@@ -139,13 +144,55 @@ def read_notes(spark: SparkSession, *folders: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("recording_id"), "path", "note_id", "instrument", "start", "end", "pitch", "velocity")
 
 
+def _rows(group: pd.DataFrame) -> bytes:
+    notes = group.dropna(subset=["pitch"]).sort_values(["start", "note_id"])
+    return encode(list(zip(notes["start"], notes["end"], notes["pitch"].astype(int), notes["velocity"].astype(int))))
+
+
 def _encoded(group: pd.DataFrame) -> pd.DataFrame:
-    notes = group.sort_values(["start", "note_id"])
-    rows = list(zip(notes["start"], notes["end"], notes["pitch"], notes["velocity"]))
-    return pd.DataFrame({"recording_id": [group["recording_id"].iloc[0]], "content": [encode(rows)]})
+    return pd.DataFrame({"recording_id": [group["recording_id"].iloc[0]], "content": [_rows(group)]})
 
 
 def encode_files(notes: DataFrame) -> DataFrame:
     """Notes -> (recording_id, content): a MIDI file for each recording, as bytes."""
     columns = notes.select("recording_id", "note_id", "start", "end", "pitch", "velocity")
     return columns.groupBy("recording_id").applyInPandas(_encoded, "recording_id long, content binary")
+
+
+def targets(files: DataFrame, folder: str | None = None) -> DataFrame:
+    """path, recording_id, midi_file: where the transcription of each file goes.
+
+    Without a folder that is beside the file, <stem>_transcribed.mid; in a folder <stem>.mid, or
+    <stem>-<hash of the path>.mid where several files have that stem.
+    """
+    rows = files.select("path", F.xxhash64("path").alias("recording_id"), file_stem(F.col("path")).alias("_stem")).distinct()
+    if folder is None:
+        return rows.select("path", "recording_id", transcribed_path(F.col("path")).alias("midi_file"))
+    shared = F.count("*").over(Window.partitionBy("_stem")) > 1
+    name = F.when(shared, F.concat("_stem", F.lit("-"), F.lower(F.hex("recording_id")))).otherwise(F.col("_stem"))
+    return rows.select("path", "recording_id", F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(".mid")).alias("midi_file"))
+
+
+def _written(group: pd.DataFrame) -> pd.DataFrame:
+    from pyarrow.fs import FileSystem
+
+    target, data = group["midi_file"].iloc[0], _rows(group)
+    fs, path = FileSystem.from_uri(target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target)
+    folder, _, name = path.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"  # a task that is run again replaces what it wrote
+    with fs.open_output_stream(part) as out:
+        out.write(data)
+    fs.move(part, path)
+    return pd.DataFrame({"path": [group["path"].iloc[0]], "midi_file": [target], "midi_bytes": [len(data)]})
+
+
+def write_files(notes: DataFrame, places: DataFrame) -> DataFrame:
+    """Write the notes of each of targets() as a MIDI file: path, midi_file, midi_bytes.
+
+    The tasks write, to any store that pyarrow knows and all machines share; one recording at
+    a time.  A recording without notes gives a file without notes.
+    """
+    columns = notes.select("recording_id", "note_id", "start", "end", "pitch", "velocity")
+    rows = places.join(columns, "recording_id", "left")
+    return rows.groupBy("path").applyInPandas(_written, "path string, midi_file string, midi_bytes long")

@@ -1,6 +1,7 @@
 """Golden vectors, traps and sequential restatements of the music operators."""
 
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -261,3 +262,16 @@ def test_random_recordings_stay_apart(spark):
     all_at_once = rows(analyze(make_notes(spark, *parts), 1.0).events, "recording_id", "start", "end", "chord", "play_number")
     each = [x for r in (1, 2, 3) for x in rows(analyze(make_notes(spark, *(p for p in parts if p[4] == r)), 1.0).events, "recording_id", "start", "end", "chord", "play_number")]
     assert all_at_once == sorted(each)
+
+
+def test_long_tracks_take_time_in_proportion(spark):
+    """One track of an hour and more of frames, a drone of one pitch, without any onset after its beginning."""
+    n = 360_000
+    frames = spark.range(n).select(
+        F.lit(1).cast("long").alias("track_id"), F.col("id").alias("frame_idx"), (F.col("id") * 0.0232).alias("time"), F.lit(440.0).alias("f0_hz"),
+        (0.5 + F.col("id") % 7 / 20).alias("confidence"))
+    onsets = spark.createDataFrame([(1, 0.5)], schemas.ONSETS)
+    out = transcribe.clean(transcribe.raw_notes(frames, onsets, None))
+    begun = time.perf_counter()
+    assert out.agg(F.max("end")).first()[0] > n * 0.0232
+    assert time.perf_counter() - begun < 60
