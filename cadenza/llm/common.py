@@ -18,7 +18,7 @@ __all__ = [
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of up to this many bytes may be broadcast.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 48 << 20
 
 #: Rows and bytes of an Arrow batch at most, where the session doesn't say otherwise.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}

@@ -5,105 +5,185 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from cadenza.llm.common import blocks, connected_components, if_small, stored
+from cadenza.llm.common import blocks, carried, connected_components, if_small, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines of similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.997 at 0.8.
-#: Unrelated lines of a language share some runs of five; with many rows few of them meet.
-BANDS, ROWS = 15, 5
-#: Lines that one task compares with each other at most.
-BLOCK = 2048
+#: Lines of similarity s meet in a band with probability 1 - (1 - s^ROWS)^BANDS: 0.994 at 0.8.
+#: Unrelated lines of a language share some runs of five (0.03 on average here, seldom over 0.1):
+#: with each row more, a tenth as many of them meet, and their number grows with the table's square.
+BANDS, ROWS = 22, 7
+#: What one task compares with each other at most: a line counts 1, and 1 more for each 1,024 characters.
+BLOCK, UNIT = 2048, 1024
 #: Blocks of up to so many lines are compared pair by pair, larger ones by an inverted index.
 FEW = 32
-SEED = 42
-
-_CHARS = 1 << 20  # characters hashed at a time
-
-
-def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(SEED).integers(1, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Seeds of a line's two hashes, those of xxhash64(line) and xxhash64(1, line) in SQL.
+SEEDS = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+
+_BINS = BANDS * ROWS
+_EMPTY = np.uint32(0xFFFFFFFF)
+#: Signatures with at most so many filled bins fill the others by rank, those with more by trial.
+_SPARSE = 32
+#: Characters and lines hashed at a time; lines that a task remembers.
+_CHARS, _LINES, _SEEN = 1 << 18, 1 << 12, 200_000
+
+# For each bin a random order of all bins; and the place of each bin in that order.
+_ORDER = np.random.default_rng(42).permuted(np.tile(np.arange(_BINS), (_BINS, 1)), axis=1)
+_RANK = np.argsort(_ORDER, axis=1).astype(np.uint16)
+
+
+def _filled(least: np.ndarray) -> np.ndarray:
+    """Signatures whose empty bins take the value of another one: of the first that is not empty in
+    the bin's own random order, which is the same for all lines."""
+    full = least != _EMPTY
+    counts = full.sum(axis=1)
+    out = least.copy()
+    for m in np.unique(counts[counts <= _SPARSE]).tolist():
+        rows = np.flatnonzero(counts == m)
+        bins = np.nonzero(full[rows])[1].reshape(len(rows), m)
+        for i in range(0, len(rows), 512):
+            some, own = rows[i : i + 512], bins[i : i + 512]
+            first = _RANK[:, own].argmin(axis=2).T  # bins by lines by filled bins
+            out[some] = np.take_along_axis(least[some], np.take_along_axis(own, first, axis=1), axis=1)
+    rows, cols = np.nonzero(~full & (counts > _SPARSE)[:, None])
+    for trial in range(_BINS):
+        if not len(rows):
+            break
+        source = _ORDER[cols, trial]
+        found = full[rows, source]
+        out[rows[found], cols[found]] = least[rows[found], source[found]]
+        rows, cols = rows[~found], cols[~found]
+    return out
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """Band hashes of lines: one row for each line, BANDS columns of int64.
+    """Band hashes of lines: one row for each line, BANDS columns of uint32.
 
-    A shingle's hash is a polynomial of its SHINGLE code points; multiplied by odd numbers it
-    gives the permutations whose minima make the signature.  A shorter line counts as one
-    shingle, filled up with line feeds, which no line has.
+    One permutation serves all of a signature's values: a shingle's hash, a polynomial of its
+    SHINGLE code points, names one of BANDS * ROWS bins and the value that it has there, and each
+    bin keeps its least.  Two lines agree in a bin with the probability of their similarity.  A
+    shorter line counts as one shingle, filled up with line feeds, which no line has.
     """
     padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
     base = np.uint64(0x9E3779B97F4A7C15)
     n = len(points) - SHINGLE + 1
-    codes = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        codes = codes * base + points[i : i + n]
+    codes = points[:n].astype(np.uint64)
+    for i in range(1, SHINGLE):
+        codes *= base
+        codes += points[i : i + n]
     codes ^= codes >> np.uint64(29)
     codes *= np.uint64(0xBF58476D1CE4E5B9)
-    hashes = (codes >> np.uint64(32)).astype(np.uint32)
-    begins = np.cumsum(lengths) - lengths
-    edges = np.stack([begins, begins + lengths - SHINGLE + 1], axis=1).ravel()[:-1]  # each line's shingles, then those across lines
-    least = np.stack([np.minimum.reduceat(hashes * m, edges)[::2] for m in _multipliers(BANDS * ROWS)], axis=1).astype(np.uint64)
+    codes ^= codes >> np.uint64(32)
+    counts = lengths - SHINGLE + 1
+    inside = np.ones(n, bool)  # shingles that reach from one line into the next are none
+    ends = np.cumsum(lengths)[:-1]
+    for i in range(1, SHINGLE):
+        inside[ends - i] = False
+    codes = codes[inside]
+    at = np.repeat(np.arange(len(lines)) * _BINS, counts) + (codes >> np.uint64(32)).astype(np.uint32) % np.uint32(_BINS)
+    least = np.full(len(lines) * _BINS, _EMPTY)
+    np.minimum.at(least, at, np.minimum(codes.astype(np.uint32), _EMPTY - np.uint32(1)))
+    least = _filled(least.reshape(len(lines), _BINS)).astype(np.uint64)
     bands = np.zeros((len(lines), BANDS), np.uint64)
     for r in range(ROWS):
         bands = (bands ^ least[:, r::ROWS]) * base
         bands ^= bands >> np.uint64(31)
-    return (bands + np.arange(BANDS, dtype=np.uint64) * base).view(np.int64)
+    return (bands >> np.uint64(32)).astype(np.uint32)
 
 
-_LINES = ", ".join(["_key long", "_doc long", "_line int", "_hash long", *(f"_b{i} long" for i in range(BANDS))])
+#: Columns of two band hashes each.
+_PAIRS = [f"_b{i}" for i in range(BANDS // 2)]
+_PLACES = ", ".join(["_k1 long, _k2 long, _doc long, _line int, _h1 long, _h2 long", *(f"{c} long" for c in _PAIRS)])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that has a word: where it stands, its XXH64 and its band hashes."""
-    names = [x.split()[0] for x in _LINES.split(", ")]
-
-    def flush(keys, docs, numbers, lines):
-        bands = signatures(lines)
-        hashes = np.array([xxhash.xxh64_intdigest(x.encode(), SEED) for x in lines], np.uint64).view(np.int64)
-        cols = [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes)]
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS))], names=names)
-
+    """Every line that has a word: where it stands and its two hashes; and its band hashes where the
+    task first meets it, or meets it again after it has forgotten what it has seen."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            held, keys, docs, numbers, lines = 0, [], [], [], []
-            for key, doc, text in zip(*(part.column(c).to_pylist() for c in ("_key", "_doc", "_text"))):
+            rows, numbers, hashes, new, lines, held, bands = [], [], [], [], [], 0, []
+            for row, text in enumerate(part.column("_text").to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
                     if line.strip(" \t\r\x0b\x0c"):
-                        keys.append(key)
-                        docs.append(doc)
+                        data = line.encode()
+                        own = xxhash.xxh64_intdigest(data, SEEDS[0]), xxhash.xxh64_intdigest(data, SEEDS[1])
+                        if own not in seen:
+                            seen.add(own)
+                            new.append(len(rows))
+                            lines.append(line)
+                            held += len(line)
+                            if held >= _CHARS or len(lines) >= _LINES:
+                                bands.append(signatures(lines))
+                                lines, held = [], 0
+                        rows.append(row)
                         numbers.append(number)
-                        lines.append(line)
-                        held += len(line)
-                        if held >= _CHARS:
-                            yield flush(keys, docs, numbers, lines)
-                            held, keys, docs, numbers, lines = 0, [], [], [], []
+                        hashes.append(own)
             if lines:
-                yield flush(keys, docs, numbers, lines)
+                bands.append(signatures(lines))
+            if len(seen) > _SEEN:
+                seen.clear()
+            if rows:
+                both, pairs = np.array(hashes, np.uint64).view(np.int64), np.zeros((len(rows), len(_PAIRS)), np.int64)
+                known = np.ones(len(rows), bool)
+                if new:
+                    pairs[new], known[new] = np.concatenate(bands).view(np.int64), False
+                cols = [part.column(c).take(pa.array(rows, pa.int32())) for c in ("_k1", "_k2", "_doc")]
+                cols += [pa.array(numbers, pa.int32()), *(pa.array(both[:, j].copy()) for j in range(2)), *(pa.array(pairs[:, j].copy(), mask=known) for j in range(len(_PAIRS)))]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PLACES.split(", ")])
 
 
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
+def _coded(lines: list[str]) -> list[np.ndarray] | None:
+    """The shingles of lines as sorted integers, code points of 12 bits each; None if a line has
+    others.  A short line is filled up with line feeds."""
+    out = []
+    for line in lines:
+        points = np.frombuffer(line.ljust(SHINGLE, "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        if points.max() >> 12:
+            return None
+        n = len(points) - SHINGLE + 1
+        codes = points[:n].copy()
+        for i in range(1, SHINGLE):
+            codes <<= 12
+            codes |= points[i : i + n]
+        codes.sort()
+        first = np.ones(n, bool)
+        np.not_equal(codes[1:], codes[:-1], out=first[1:])
+        out.append(codes[first])
+    return out
+
+
 def _similar(shared, one, others):
     """Whether sets of these sizes that share so many members are similar."""
     return shared >= SIMILARITY * (one + others - shared) - 1e-9
 
 
-def _few(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+def _shared(a, b) -> int:
+    """How many members two sets share, which are sets or sorted arrays of distinct integers."""
+    if isinstance(a, set):
+        return len(a & b)
+    both = np.concatenate((a, b))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _few(lines: list[str]) -> Iterator[tuple[int, int]]:
     """Links of a small block, found by intersecting sets of about the same size."""
+    coded = _coded(lines)
+    sets = list(map(shingles, lines)) if coded is None else coded
     left = list(range(len(sets)))
     while len(left) > 1:
         queue = [left.pop(0)]
@@ -112,22 +192,26 @@ def _few(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
             mine, size = sets[x], len(sets[x])
             found = [
                 y for y in left
-                if _similar(min(size, len(sets[y])), size, len(sets[y])) and _similar(len(mine & sets[y]), size, len(sets[y]))]
+                if _similar(min(size, len(sets[y])), size, len(sets[y])) and _similar(_shared(mine, sets[y]), size, len(sets[y]))]
             if found:
                 left = [y for y in left if y not in found]
                 queue += found
                 yield from ((x, y) for y in found)
 
 
-def _many(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
+def _many(lines: list[str]) -> Iterator[tuple[int, int]]:
     """Links of a large block: the numbers of shingles that a line shares with all others come
     from the block's inverted index at once."""
     number: dict[str, int] = {}
-    ids = [np.fromiter((number.setdefault(s, len(number)) for s in x), np.int64, len(x)) for x in sets]
+    if (coded := _coded(lines)) is None:
+        ids = [np.array([number.setdefault(s, len(number)) for s in shingles(x)], np.int64) for x in lines]
+        flat, count = np.concatenate(ids), len(number)
+    else:
+        known, flat = np.unique(np.concatenate(coded), return_inverse=True)
+        ids, count = np.split(flat, np.cumsum([len(x) for x in coded])[:-1]), len(known)
     sizes = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids)
-    owner = np.repeat(np.arange(len(ids)), sizes)[np.argsort(flat, kind="stable")]
-    held = np.bincount(flat, minlength=len(number))
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[np.argsort(flat, kind="stable")]
+    held = np.bincount(flat, minlength=count)
     begins = np.cumsum(held) - held
     free = np.ones(len(ids), bool)
     for start in range(len(ids)):
@@ -138,8 +222,11 @@ def _many(sets: list[set[str]]) -> Iterator[tuple[int, int]]:
         while queue and free.any():
             x = queue.pop()
             counts = held[ids[x]]
-            places = np.repeat(begins[ids[x]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-            shared = np.bincount(owner[places], minlength=len(ids))
+            shared = np.zeros(len(ids), np.int64)
+            for i in range(0, len(counts), 4096):
+                some = counts[i : i + 4096]
+                places = np.repeat(begins[ids[x][i : i + 4096]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+                shared += np.bincount(owner[places], minlength=len(ids))
             found = np.flatnonzero(free & _similar(shared, sizes[x], sizes))
             free[found] = False
             queue += found.tolist()
@@ -152,69 +239,79 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A search goes out from each line to those not yet reached.
     """
     for batch in batches:
+        lists = batch.column("lines")
+        ends, flat = np.asarray(lists.offsets).tolist(), lists.values
+        texts, h1, h2 = (flat.field(c) for c in ("line", "_h1", "_h2"))
         a, b = [], []
-        for members in batch.column("lines").to_pylist():
-            hashes = [m["_hash"] for m in members]
-            for x, y in (_few if len(members) <= FEW else _many)([shingles(m["line"]) for m in members]):
-                a.append(hashes[x])
-                b.append(hashes[y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for begin, end in zip(ends, ends[1:]):
+            lines = texts.slice(begin, end - begin).to_pylist()
+            for x, y in (_few if len(lines) <= FEW else _many)(lines):
+                a.append(begin + x)
+                b.append(begin + y)
+        cols = [h.take(pa.array(i, pa.int64())) for i in (a, b) for h in (h1, h2)]
+        yield pa.RecordBatch.from_arrays(cols, names=["a1", "a2", "b1", "b2"])
 
 
 def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct lines (_hash, _b0 ...) and texts (_hash, line) of all lines -> links (a, b) that
-    connect all similar lines that share a band.
+    """Distinct lines (_h1, _h2, _b0 ...) and texts (_h1, _h2, line) of all lines -> links (a, b) that
+    connect all similar lines that share a band; a line is named by struct(_h1, _h2).
 
     Lines meet in the buckets of their bands; buckets of the same lines are compared once, and
-    only lines that share a bucket have their text fetched.
+    only lines that share a bucket have their text fetched.  Until then one hash stands for a
+    line: should two share it, both are fetched.
     """
-    rows = lines.select("_hash", F.explode(F.array(*(f"_b{i}" for i in range(BANDS)))).alias("band"))
-    full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "lines-buckets")
-    members = rows.join(if_small(full, 16), "band")
-    dealt = blocks(members, "band", "n", "_hash", BLOCK)
-    sets = dealt.groupBy("block").agg(F.array_sort(F.collect_set("_hash")).alias("set")).select("set").distinct()
-    sets = stored(sets.select(F.xxhash64("set").alias("block"), "set").dropDuplicates(["block"]), "lines-blocks")
-    rows = sets.select("block", F.explode("set").alias("_hash"))
-    wanted = stored(rows.select("_hash").distinct(), "lines-wanted")
-    found = texts.join(if_small(wanted, 8), "_hash").dropDuplicates(["_hash"])
-    return (
-        rows.join(found, "_hash").groupBy("block").agg(F.collect_list(F.struct("_hash", "line")).alias("lines"))
-        .select("lines").mapInArrow(_trees, "a long, b long").distinct()
-    )
+    low, number = F.lit((1 << 32) - 1), lambda i: F.lit(i << 32)
+    bands = [x for i, c in enumerate(_PAIRS) for x in (
+        F.col(c).bitwiseAND(low).bitwiseOR(number(2 * i)), F.shiftrightunsigned(c, 32).bitwiseOR(number(2 * i + 1)))]
+    rows = lines.select("_h1", F.explode(F.array(*bands)).alias("band"))
+    members = rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).filter("n > 1")
+    members = stored(members, "lines-members")
+    wanted = stored(members.select("_h1").distinct(), "lines-wanted")
+    found = stored(texts.join(if_small(wanted), "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
+    long = found.filter(F.length("line") >= UNIT).groupBy("_h1").agg(F.max(F.floor(F.length("line") / UNIT)).alias("more"))
+    heavy = members.join(if_small(stored(long, "lines-long")), "_h1").groupBy("band").agg(F.sum("more").alias("more"))
+    members = members.join(if_small(stored(heavy, "lines-heavy")), "band", "left").withColumn("weight", F.col("n") + F.coalesce("more", F.lit(0)))
+    dealt = blocks(members, "band", "weight", "_h1", BLOCK)
+    sets = dealt.groupBy("block").agg(F.array_sort(F.collect_set("_h1")).alias("set")).select("set").distinct()
+    sets = stored(sets.select(F.struct(*long_hash(F.col("set"))).alias("block"), "set"), "lines-blocks")
+    placed = sets.select("block", F.explode("set").alias("_h1")).join(if_small(found), "_h1")
+    lines = placed.groupBy("block").agg(F.collect_list(F.struct("_h1", "_h2", "line")).alias("lines"))
+    links = lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return links.select(F.struct(F.col("a1").alias("_h1"), F.col("a2").alias("_h2")).alias("a"), F.struct(F.col("b1").alias("_h1"), F.col("b2").alias("_h2")).alias("b"))
+
+
+def long_hash(*cols: Column) -> tuple[Column, Column]:
+    """128 bits that name a row, as two longs."""
+    return F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(1), *cols).alias("_k2")
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_key, _drop array<int>): the lines that go, for each document that loses some.
+    """(_k1, _k2, _drop array<int>): the lines that go, for each document that loses some.
 
-    _key is row_key() of the document.
+    _k1 and _k2 are long_hash() of the document's id and text.
     """
     rows = docs.select(
-        row_key(docs, id_col, text_col).alias("_key"), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
-    lines = stored(rows.mapInArrow(_lines, _LINES), "lines")
-    distinct = lines.groupBy("_hash").agg(*(F.first(f"_b{i}").alias(f"_b{i}") for i in range(BANDS)))
-    texts = rows.select(F.explode(F.split("_text", "\n")).alias("line")).select(F.xxhash64("line").alias("_hash"), "line")
+        *long_hash(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
+    lines = stored(rows.mapInArrow(_lines, _PLACES), "lines")
+    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS))
+    texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
+    texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
     parts = stored(connected_components(stored(line_links(distinct, texts), "lines-links")), "lines-parts")
-    placed = lines.select("_key", "_doc", "_line", "_hash").join(if_small(parts, 16), F.col("_hash") == F.col("node"), "left")
-    placed = placed.select(F.coalesce("component", "_hash").alias("_part"), F.struct(F.col("_doc").isNull(), "_doc", "_line", "_key").alias("_at"))
+    name = F.struct("_h1", "_h2")
+    placed = lines.select("_k1", "_k2", "_doc", "_line", name.alias("_name")).join(if_small(parts), F.col("_name") == F.col("node"), "left")
+    placed = placed.select(
+        F.coalesce("component", "_name").alias("_part"), F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2").alias("_at"))
     placed = stored(placed, "lines-placed")
     kept = placed.groupBy("_part").agg(F.min("_at").alias("_kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = placed.join(kept, "_part").filter("_at <> _kept")
-    return gone.groupBy("_at._key").agg(F.collect_set("_at._line").alias("_drop"))
+    gone = placed.join(if_small(stored(kept, "lines-kept")), "_part").filter("_at <> _kept")
+    return gone.groupBy("_at._k1", "_at._k2").agg(F.collect_set("_at._line").alias("_drop"))
 
 
-def row_key(docs: DataFrame, id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
-@F.pandas_udf(StringType())
-def _without(texts: pd.Series, drop: pd.Series) -> pd.Series:
-    out = []
-    for text, gone in zip(texts, drop):
-        if gone is not None and text is not None:
-            gone = set(gone)
-            text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
-        out.append(text)
-    return pd.Series(out, dtype=object)
+def _without(lines: Column, drop: Column) -> Column:
+    """Lines but for those of these numbers, by hashing numbers: in proportion to the lines.  lines
+    is a column of its own, as what an element is computed from is computed for each element."""
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+    return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,11 +323,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text stays null, and a document whose lines all go has an empty text.  Rows equal in
     id and text count as one document: a line kept in one is kept in all of them.  Ids may
-    repeat or be null.  An empty table gives an empty one; other columns are carried along.
+    repeat or be null.  An empty table gives an empty one; other columns are carried along, but
+    for one named n_dropped_lines, which gives way.
     """
-    drop = if_small(stored(repeated_lines(docs, id_col, text_col), "lines-gone"), 64)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(docs, id_col, text_col).alias("_key"))
-    rows = rows.join(drop, "_key", "left")
-    text = F.when(F.col("_drop").isNull(), F.col(f"_row.{text_col}")).otherwise(_without(F.col(f"_row.{text_col}"), F.col("_drop")))
-    columns = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns]
+    drop = if_small(stored(repeated_lines(docs, id_col, text_col), "lines-gone"))
+    names = carried(docs, "n_dropped_lines")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *long_hash(F.col(id_col), F.col(text_col)))
+    whole = F.col(f"_row.`{text_col}`").cast("string")
+    rows = rows.join(drop, ["_k1", "_k2"], "left").withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split(whole, "\n", -1)))
+    text = F.when(F.col("_drop").isNull(), whole).otherwise(_without(F.col("_lines"), F.col("_drop")))
+    columns = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in names]
     return rows.select(*columns, F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped_lines"))

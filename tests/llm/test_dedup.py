@@ -5,6 +5,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from cadenza.llm import linededup, simhash
 from cadenza.llm.common import blocks, connected_components
@@ -104,9 +105,13 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert got == {i: 100 for i in range(100, 161)} | {1000 + i: 7 for i in range(40)} | {7: 7}
 
 
+def shingles_of(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
 def slow_lines(rows):
     lines = [(d, i, x) for d, t in rows for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r\x0b\x0c")]
-    sets = [linededup.shingles(x) for _, _, x in lines]
+    sets = [shingles_of(x) for _, _, x in lines]
     part = components(len(lines), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     gone = {(d, i) for (d, i, _), p, k in zip(lines, part, range(len(lines))) if p != k}
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
@@ -139,3 +144,68 @@ def test_dedup_lines_links_short_lines_with_one_edit(spark):
         rows += [(2 * i, line), (2 * i + 1, line[:35] + "X" + line[36:])]
     out = linededup.dedup_lines(spark.createDataFrame([(i, t, None, "k", "f") for i, t in rows], DOCS)).collect()
     assert {r["doc_id"]: r["text"] for r in out} == {i: "" if i % 2 else t for i, t in rows}
+
+
+def test_banding_recall_and_exact_comparison():
+    """Nearly all similar lines share a band, short and long, with few and many letters; and both ways to
+    compare a block link what brute force does."""
+    rnd = random.Random(21)
+    pairs = met = 0
+    for length in (6, 12, 30, 70, 150, 400, 1500):
+        for letters in ("abcdefghijklmnop qrst uvw", "ab cdé", "日本語一二三四五六七八九十"):
+            lines = []
+            for _ in range(40):
+                base = [rnd.choice(letters) for _ in range(length)]
+                for edits in range(5):
+                    own = list(base)
+                    for _ in range(edits * max(1, length // 70)):
+                        own[rnd.randrange(length)] = rnd.choice(letters)
+                    lines.append("".join(own))
+            lines = list(dict.fromkeys(lines))
+            sets, bands = [shingles_of(x) for x in lines], linededup.signatures(lines)
+            linked = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+            pairs += len(linked)
+            met += sum(bool((bands[a] == bands[b]).any()) for a, b in linked)
+            some = lines[:60]
+            want = components(len(some), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+            for way in (linededup._few, linededup._many):
+                links = set(way(some))
+                assert components(len(some), lambda a, b: (a, b) in links or (b, a) in links) == want
+    assert pairs > 500 and met >= 0.99 * pairs, (met, pairs)
+
+
+def test_line_hashes_are_those_of_sql(spark):
+    rows = spark.createDataFrame([("a line",), ("é日🎉",)], "line string").select("line", *linededup.long_hash(F.col("line"))).collect()
+    for line, *own in rows:
+        assert [x & (1 << 64) - 1 for x in own] == [xxhash.xxh64_intdigest(line.encode(), s) for s in linededup.SEEDS]
+
+
+def test_joins_beyond_the_broadcast_limit_give_the_same(spark, monkeypatch):
+    from cadenza.llm import common
+
+    rnd = random.Random(5)
+    rows = [(i, "\n".join(rnd.choice(["one line of words that comes again", "another line of words here", f"own line number {i} of these"]) for _ in range(4)), None, "k", "f") for i in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = sorted(map(str, linededup.dedup_lines(docs).collect()))
+    groups = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, linededup.dedup_lines(docs).collect())) == want
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == groups
+
+
+def test_own_columns_replace_those_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e\na b c d e", "s", "x")], "doc_id long, text string, source string, n_dropped_lines string")
+    out = linededup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "text", "source", "n_dropped_lines"] and [tuple(r) for r in out.collect()] == [(1, "a b c d e", "s", 1)]
+
+
+def test_grids_of_any_number_of_groups_lose_no_link(spark, monkeypatch):
+    assert [simhash.grid_groups(n) for n in (1, 1 << 24, 1 << 25, 1 << 40)] == [6, 6, 7, 12]
+    rnd = random.Random(9)
+    fps = [rnd.getrandbits(63) for _ in range(30)]
+    fps = list(dict.fromkeys(fps + [x ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) for x in fps]))
+    monkeypatch.setattr(simhash, "grid_groups", lambda n: 9)
+    parts = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"))).collect()}
+    near = components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    for i, c in enumerate(near):
+        assert parts.get(fps[i], fps[i]) == parts.get(fps[c], fps[c])

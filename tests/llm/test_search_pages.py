@@ -173,3 +173,38 @@ def test_parse_survives_damage():
     for page in ["<", "<p", "<p class=\"x", "</div></p>", "<!--", "<script>never", "<a href='>'>x", "<div" * 2000, "<b>" * 3000 + "x"]:
         root = htmlwrap.parse(page)
         htmlwrap.extract(root, {("",)})
+
+
+def test_the_hosts_wrapper_decides():
+    """With a page's own wrapper alone its template text stays; with its host's it goes, without any article."""
+    pages = [f"<body><div class='x'>Daily paper of our town</div><h2>Story {i}</h2><div class='x'>Text {i}</div><div class='y'>Printed on paper</div></body>" for i in range(5)]
+    wrapper = htmlwrap.slots_of(wrapper_of(pages))
+    for i, page in enumerate(pages):
+        assert htmlwrap.page_text(page, htmlwrap.slots_of(wrapper_of([page]))).count("\n") == 3
+        assert htmlwrap.page_text(page, wrapper) == f"Story {i}\nText {i}"
+
+
+def test_deeply_nested_pages(spark):
+    """Main text and menus are told apart however deep they are; also very long pages."""
+    rows, want = [], {}
+    for i, depth in enumerate((150, 250, 1500, 4000)):
+        open_, shut = "<div>" * depth, "</div>" * depth
+        rows.append((i, "http://deep.example/", f"<body>{open_}<p>Text {i}</p><aside><p>Side {i}</p></aside><nav>{open_}<p>Menu {i}</p>{shut}</nav>{shut}</body>"))
+        want[i] = f"Text {i}"
+    rows += [(9, "http://long.example/", "<article>" + "<p>word</p>" * 50_000 + "</article>"), (10, "http://long.example/", "<article><p>" + "x" * 3_000_000 + "</p></article>")]
+    want |= {9: "\n".join(["word"] * 50_000), 10: "x" * 3_000_000}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in htmlwrap.main_text(frame).collect()} == want
+
+
+def test_wrappers_of_many_tasks_are_merged_in_two_steps(spark):
+    rows = [(i, "http://h.example/", f"<body><div class='x'>Same</div><p>Story {i}</p>{'<hr>' * (i % 2)}</body>") for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    assert {r["page_id"]: r["text"] for r in htmlwrap.main_text(frame).collect()} == {i: f"Story {i}" for i in range(60)}
+
+
+def test_url_columns_replace_those_of_their_names(spark):
+    entries = spark.createDataFrame([("a.ex", "2024-01-01", "add")], "entry string, dated string, action string")
+    c = spark.createDataFrame([("https://a.ex/", "2024-01-02", "own", 1), ("https://ex/", "2024-01-02", "own", 1)], "url string, fetched string, url_blocked string, url_rules int")
+    out = urlfilter.filter_urls(c, entries)
+    assert out.columns == ["url", "fetched", "url_blocked", "url_rules"] and sorted(r["url_blocked"] for r in out.collect()) == [False, True]

@@ -307,3 +307,17 @@ def test_chat_escapes_by_what_is_read_back(spark):
         assert out[i]["formatted"] == f"[INST]user\n{x}[/INST]<s>{x}</s>" and out[i]["round_trip"]
     parsed = spark.range(1).select(chat.parse(F.lit("a<s>b</s>c[INST]d[/INST]<s>e[INST]u\nf[/INST]")).alias("t")).first()["t"]
     assert [tuple(t) for t in parsed] == [(None, "a"), ("assistant", "b"), (None, "</s>c"), (None, "[INST]d"), (None, "<s>e"), ("u", "f")]
+
+
+def test_mixing_columns_replace_those_of_their_names(spark):
+    frame = docs(spark, ["a b", "c d e", None]).withColumns({"mix_taken": F.lit("own"), "mix_size": F.lit(7), "MIX_EPOCHS": F.lit(1)})
+    out = mixing.mix(frame)
+    assert [r["mix_taken"] for r in out.orderBy("doc_id").collect()] == [2, 3, 0] and len(set(map(str.lower, out.columns))) == len(out.columns)
+    assert mixing.mixed_documents(frame).columns == frame.columns and {r["mix_taken"] for r in mixing.mixed_documents(frame).collect()} == {"own"}
+
+
+def test_mixing_with_many_ranges(spark, monkeypatch):
+    frame = docs(spark, [" ".join(["w"] * (i % 9)) for i in range(500)], ["a", "a", "b", None])
+    want = sorted(map(str, mixing.mix(frame).collect()))
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)
+    assert sorted(map(str, mixing.mix(frame).collect())) == want
