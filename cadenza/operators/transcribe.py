@@ -62,22 +62,23 @@ def dedupe(notes: DataFrame, within: float = 0.1) -> DataFrame:
     Order matters: a note is held against the last survivor of its pitch only, replaces it if it
     is more confident, and goes if not.  A note that begins 0.1 s or more after the note before
     it is in nobody's way, so that each run of closer ones is a group of its own, folded inside the
-    JVM.  Survivors are gathered in lists of up to 256, as adding to a list copies it.
+    JVM.  The fold gathers the survivors' places, in lists of up to 256, as adding to a list copies it.
     """
-    kind = "struct<start:double,frame_idx:bigint,end:double,velocity:int,confidence:double>"
     order = Window.partitionBy("track_id", "pitch").orderBy("start", "frame_idx")
     far = F.when(F.col("start") - F.lag("start").over(order) < within, 0).otherwise(1)
     rows = notes.withColumn("_far", far).withColumn("_run", F.sum("_far").over(order))
     group = rows.groupBy("track_id", "pitch", "_run").agg(F.array_sort(F.collect_list(F.struct("start", "frame_idx", "end", "velocity", "confidence"))).alias("_notes"))
-    state = f"named_struct('full', CAST(array() AS array<array<{kind}>>), 'done', CAST(array() AS array<{kind}>), 'last', CAST(NULL AS {kind}))"
-    fold = F.expr(f"""flatten(aggregate(_notes, {state}, (s, x) -> CASE
-        WHEN s.last IS NULL THEN named_struct('full', s.full, 'done', s.done, 'last', CAST(x AS {kind}))
-        WHEN abs(s.last.start - x.start) >= {within}D AND size(s.done) >= 255
-            THEN named_struct('full', array_append(s.full, array_append(s.done, s.last)), 'done', CAST(array() AS array<{kind}>), 'last', CAST(x AS {kind}))
-        WHEN abs(s.last.start - x.start) >= {within}D THEN named_struct('full', s.full, 'done', array_append(s.done, s.last), 'last', CAST(x AS {kind}))
-        WHEN x.confidence > s.last.confidence THEN named_struct('full', s.full, 'done', s.done, 'last', CAST(x AS {kind}))
-        ELSE s END, s -> array_append(s.full, array_append(s.done, s.last))))""")
-    return group.select("track_id", "pitch", F.explode(fold).alias("_n")).select("track_id", "_n.frame_idx", "pitch", "_n.start", "_n.end", "_n.velocity", "_n.confidence")
+    state = "named_struct('full', CAST(array() AS array<array<int>>), 'done', CAST(array() AS array<int>), 'at', CAST(NULL AS double), 'by', CAST(NULL AS double), 'i', CAST(NULL AS int))"
+    new = "'at', x.start, 'by', x.confidence, 'i', x.i"
+    fold = F.expr(f"""flatten(aggregate(
+        transform(_notes, (x, i) -> named_struct('i', i, 'start', x.start, 'confidence', x.confidence)), {state}, (s, x) -> CASE
+        WHEN s.i IS NULL THEN named_struct('full', s.full, 'done', s.done, {new})
+        WHEN abs(s.at - x.start) >= {within}D AND size(s.done) < 255 THEN named_struct('full', s.full, 'done', array_append(s.done, s.i), {new})
+        WHEN abs(s.at - x.start) >= {within}D THEN named_struct('full', array_append(s.full, s.done), 'done', array(s.i), {new})
+        WHEN x.confidence > s.by THEN named_struct('full', s.full, 'done', s.done, {new})
+        ELSE s END, s -> array_append(s.full, array_append(s.done, s.i))))""")
+    kept = group.withColumn("_kept", fold).select("track_id", "pitch", F.explode(F.expr("transform(_kept, i -> _notes[i])")).alias("_n"))
+    return kept.select("track_id", "_n.frame_idx", "pitch", "_n.start", "_n.end", "_n.velocity", "_n.confidence")
 
 
 def merge(notes: DataFrame, gap: float = 0.1) -> DataFrame:
