@@ -35,7 +35,7 @@ def slow_mix(docs):
         whole, budget = sum(size[i] for _, i in own), math.floor(targets[s] + 0.5)
         left = budget - budget // whole * whole
         for _, i in sorted(own):
-            taken[i] = budget // whole + (size[i] > 0 and left > 0 and 2 * left >= size[i])
+            taken[i] = (budget // whole + (left > 0 and 2 * left >= size[i])) * (size[i] > 0)  # nothing is taken of a text without words
             left -= size[i]
     return taken
 
