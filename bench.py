@@ -1,16 +1,40 @@
-"""Times the headline queries; prints one line of JSON."""
+"""Times the headline queries, and two jobs that the tables can't show; prints one line of JSON."""
 
 import json
 import os
+import tempfile
 import time
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cadenza import schemas
+from cadenza.operators import transcribe
 from cadenza.plans import queries as own
+from cadenza.plans.pipeline import Pipeline
+from cadenza.sources import midi
+from cadenza.sources.files import list_files
 
 HEADLINES = ["segments", "chord_events", "key_signature", "segments_auto", "note_stats", "pitch_top5", "window_activity", "clean_notes", "onset_pitch"]
 
 
+def long_track(spark: SparkSession, frames: int = 155_000) -> DataFrame:
+    """Clean notes of one track of an hour, a drone with onsets in its first second only."""
+    f = spark.range(frames).select(
+        F.lit(1).cast("long").alias("track_id"), F.col("id").alias("frame_idx"), (F.col("id") * 512 / 22050).alias("time"), F.lit(440.0).alias("f0_hz"),
+        (0.5 + F.col("id") % 7 / 20).alias("confidence"))
+    return transcribe.clean(transcribe.raw_notes(f, spark.createDataFrame([(1, 0.5)], schemas.ONSETS), None))
+
+
+def midi_files(spark: SparkSession, folder: str, files: int = 200) -> DataFrame:
+    """Results of MIDI files of 400 notes each, from decoding on."""
+    for k in range(files):
+        notes = [(i // 3 * 0.8, i // 3 * 0.8 + 0.7, (55, 60, 62)[i // 3 % 3] + (0, 4, 7)[i % 3], 90) for i in range(399 + k % 3)]
+        Path(folder, f"{k}.mid").write_bytes(midi.encode(notes))
+    return Pipeline().analyze_midi(list_files(spark, [folder], ["mid"], content=True)).results
+
+
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -27,7 +51,14 @@ def main() -> None:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             best = min(best, time.perf_counter() - start)
         took[name] = round(best, 3)
-    print(json.dumps({"metric": "headline queries, best of two", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir}))
+    more = {}
+    with tempfile.TemporaryDirectory() as folder:
+        for name, job in (("long_track", lambda: long_track(spark)), ("midi_files", lambda: midi_files(spark, folder))):
+            start = time.perf_counter()
+            job().write.format("noop").mode("overwrite").save()
+            more[name] = round(time.perf_counter() - start, 3)
+    total = round(sum(took.values()), 3)
+    print(json.dumps({"metric": "headline queries, best of two", "value": total, "unit": "sec", "queries": took | more, "not_in_value": list(more), "sf": sf_dir}))
 
 
 if __name__ == "__main__":
