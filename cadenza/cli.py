@@ -1,4 +1,4 @@
-"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--midi DIR | --keep-midi] [--output DIR] [--quiet]"""
+"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--midi DIR | --keep-midi] [--output DIR] [--report] [--statistics] [--quiet]"""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.plans.analysis import TranscriptionSettings
-from cadenza.plans.pipeline import Pipeline, successes
+from cadenza.plans.pipeline import Pipeline, midi_report
+from cadenza.plans.report import reports
+from cadenza.sources.files import AUDIO, list_files
 
 
 def window_size(text: str) -> float | None:
@@ -31,6 +33,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--midi", help="folder for the transcriptions of audio files as MIDI")
     p.add_argument("--keep-midi", action="store_true", help="transcriptions as MIDI beside the audio files")
     p.add_argument("--output", help="folder for the results as Parquet")
+    p.add_argument("--report", action="store_true", help="segments, chord events, plays and key of each file as text")
+    p.add_argument("--statistics", action="store_true", help="statistics of MIDI files, beside those of audio files of the same names")
     p.add_argument("--quiet", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("cadenza").getOrCreate()
@@ -38,17 +42,25 @@ def main(args: list[str] | None = None) -> int:
         TranscriptionSettings(a.confidence, a.min_duration, a.max_duration), a.window_size, midi_folder=a.midi, cleanup_midi=not a.keep_midi)
     begun = time.perf_counter()
     try:
-        rows = run.analyze_paths(spark, *a.paths)
+        runs = run.runs(spark, *a.paths)
     except FileNotFoundError as e:
         print(f"no such file: {e}")
         return 1
+    rows = runs[0].results.unionByName(runs[1].results)
     if a.output:
         rows.write.mode("overwrite").parquet(a.output)
         rows = spark.read.parquet(a.output)
     if not a.quiet:
         rows.select("path", "key", F.array_join("chord_events.chord", " ").alias("chords"), "midi_file", "conversion_time", "error").show(50, truncate=100)
-        successes(rows).show()
-        print(f"{time.perf_counter() - begun:.1f} s")
+        if a.report:
+            for row in reports(runs[0]).unionByName(reports(runs[1])).orderBy("path").toLocalIterator():
+                print(row["report"] + "\n")
+        if a.statistics:
+            listed = midi_report(list_files(spark, a.paths, ["mid", "midi"], content=True), list_files(spark, a.paths, AUDIO, content=True))
+            listed.select("file_name", "total_notes", *(F.round(c, 1).alias(c) for c in ("duration", "note_density", "file_size_kb")), "audio_path", "duration_match").show(50, truncate=60)
+        counts = [r.counts for r in runs]
+        peak = max((c["peak_mb"] or 0 for c in counts), default=0)
+        print(f"{sum(c['processed'] for c in counts)} of {sum(c['files'] for c in counts)} files, {time.perf_counter() - begun:.1f} s, {peak:.0f} MB")
     return 0
 
 

@@ -41,6 +41,11 @@ KEY_TEMPLATES = [
     ("G minor", "Gm Eb F Bb Cm Dm D"),
 ]
 
+# How well each pitch class, counted from the keynote, was found to fit a major and a minor key (the
+# probe-tone ratings published by Krumhansl and Kessler in 1982), in hundredths.
+MAJOR_PROFILE = [635, 223, 348, 233, 438, 409, 252, 519, 239, 366, 229, 288]
+MINOR_PROFILE = [633, 268, 352, 538, 260, 353, 254, 475, 398, 269, 334, 317]
+
 
 def bit(name: str) -> int:
     return 1 << PITCH_CLASSES.index(name)
@@ -148,3 +153,11 @@ def register(spark: SparkSession) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION pitch_class(p INT) RETURNS STRING RETURN element_at(array({classes}), pmod(p, 12) + 1)")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION format_time(s DOUBLE) RETURNS STRING
         RETURN format_string('%02d:%02d', CAST(floor(s / 60) AS BIGINT), CAST(floor(s) % 60 AS BIGINT))""")
+
+
+def key_profiles(spark: SparkSession) -> DataFrame:
+    """key_order, key, pc, rating: the profile of each of 24 keys, majors first, 12 rows each."""
+    rows = [
+        (12 * mode + tonic, f"{PITCH_CLASSES[tonic]} {name}", (tonic + i) % 12, rating)
+        for mode, (name, profile) in enumerate((("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE))) for tonic in range(12) for i, rating in enumerate(profile)]
+    return spark.createDataFrame(rows, "key_order int, key string, pc int, rating long")

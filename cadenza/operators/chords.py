@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import chord_lut, chord_patterns, mask_of, time_range
+from cadenza.operators.scans import Chunks
 
 MINOR_A = ("Am", "Am7")
 
@@ -33,10 +34,18 @@ def label(windows: DataFrame, mask: str = "mask", name: str = "label") -> DataFr
     return windows.join(lut, F.col(mask) == F.col("_mask")).drop("_mask")
 
 
-def neighbours(labelled: DataFrame) -> DataFrame:
+def neighbours(labelled: DataFrame, chunk: int | None = None) -> DataFrame:
     """Labelled windows with the labels before and after, and the pitches of all three.
 
-    Neighbours are those of the recording's list of active windows, however far in time."""
+    Neighbours are those of the recording's list of active windows, however far in time.  With
+    `chunk`, so many windows of a recording are a task; without it a recording is one."""
+    if chunk is not None:
+        rows = Chunks(labelled, ["recording_id"], ["window_idx"], F.floor(F.col("window_idx") / chunk)).with_neighbours(["label", "pitches", "mask"], after=True)
+        pitches = F.flatten(F.array_compact(F.array("_prev.pitches", "pitches", "_next.pitches")))
+        heard = F.coalesce("_prev.mask", F.lit(0)).bitwiseOR(F.col("mask")).bitwiseOR(F.coalesce("_next.mask", F.lit(0)))
+        return rows.withColumns({
+            "prev": F.col("_prev.label"), "next": F.col("_next.label"), "region": F.array_sort(F.array_distinct(pitches)), "region_mask": heard,
+        }).drop("_prev", "_next", "_chunk")
     order = Window.partitionBy("recording_id").orderBy("window_idx")
     near = order.rowsBetween(-1, 1)
     return labelled.withColumns({
@@ -68,9 +77,9 @@ def in_context(near: DataFrame) -> DataFrame:
     return near.withColumn("chord", chord)
 
 
-def segments(windows: DataFrame) -> DataFrame:
+def segments(windows: DataFrame, chunk: int | None = None) -> DataFrame:
     """Active windows -> segments: window, times, chord in context, counts, time range."""
-    out = in_context(neighbours(label(windows)))
+    out = in_context(neighbours(label(windows), chunk))
     return out.select(
         "recording_id", "window_idx", "start", "end", "chord", "note_count", F.size("pitches").cast("long").alias("unique_pitches"),
         time_range(F.col("start"), F.col("end")).alias("time_range"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.music import KEY_TEMPLATES, PITCH_CLASSES, key_templates, pitch_class
+from cadenza.functions.music import KEY_TEMPLATES, PITCH_CLASSES, key_profiles, key_templates, pitch_class
+from cadenza.operators.notes import capped_pitch_histogram
 
 UNKNOWN = "Unknown"
 
@@ -59,6 +60,33 @@ def key_from_notes(notes: DataFrame) -> DataFrame:
     return wide.select("recording_id", key.alias("key"))
 
 
+def profile_scores(notes: DataFrame, cap: int = 10) -> DataFrame:
+    """recording_id, key, key_order, correlation: of the histogram of a recording's pitch classes, in
+    which a pitch counts `cap` at most, with the profile of each of 24 keys.
+
+    Null where the histogram is the same for all classes.  Sums are of whole numbers, so that
+    equal correlations are equal to the last bit.
+    """
+    weights = capped_pitch_histogram(notes, cap).groupBy("recording_id", F.pmod("pitch", F.lit(12)).alias("pc")).agg(F.sum("weight").alias("x"))
+    both = weights.join(F.broadcast(key_profiles(notes.sparkSession)), "pc")  # 288 rows, fixed
+    x, y = F.col("x"), F.col("rating")
+    s = both.groupBy("recording_id", "key", "key_order").agg(
+        F.sum(x * y).alias("xy"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"))
+    profiles = key_profiles(notes.sparkSession).groupBy("key_order").agg(F.sum("rating").alias("sy"), F.sum(y * y).alias("syy"))
+    s = s.join(F.broadcast(profiles), "key_order")
+    spread = (12 * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double") * (12 * F.col("syy") - F.col("sy") * F.col("sy")).cast("double")
+    r = F.when(spread > 0, (12 * F.col("xy") - F.col("sx") * F.col("sy")).cast("double") / F.sqrt(spread))
+    return s.select("recording_id", "key", "key_order", r.alias("correlation"))
+
+
+def key_by_profile(notes: DataFrame, cap: int = 10) -> DataFrame:
+    """The key whose profile correlates best with a recording's notes, the earlier one of equals:
+    recording_id, key, correlation.  A recording in which all classes are as frequent has the key Unknown."""
+    best = profile_scores(notes, cap).groupBy("recording_id").agg(
+        F.max(F.when(F.col("correlation").isNotNull(), F.struct("correlation", (-F.col("key_order")).alias("order"), "key"))).alias("b"))
+    return best.select("recording_id", F.coalesce("b.key", F.lit(UNKNOWN)).alias("key"), F.col("b.correlation").alias("correlation"))
+
+
 def key_signature(events: DataFrame, notes: DataFrame) -> DataFrame:
     """The key from chords, or else from all notes."""
     a = key_from_chords(events).select("recording_id", F.nullif("key", F.lit(UNKNOWN)).alias("_chords"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import note_name, pitch_class
+from cadenza.operators.scans import Chunks
 
 MIN_VELOCITY, MIN_DURATION = 45, 0.1
 STRIKE_GAP = 0.3
@@ -72,18 +73,22 @@ def capped_pitch_histogram(notes: DataFrame, cap: int = 10) -> DataFrame:
     return notes.groupBy("recording_id", "pitch").agg(F.least(F.count("*"), F.lit(cap)).alias("weight"))
 
 
-def strikes(notes: DataFrame, gap: float = STRIKE_GAP) -> DataFrame:
-    """Onsets of chord strikes: notes that begin over `gap` seconds after the note before."""
+def strikes(notes: DataFrame, gap: float = STRIKE_GAP, seconds: float | None = None) -> DataFrame:
+    """Onsets of chord strikes: notes that begin over `gap` seconds after the note before.  With
+    `seconds`, so much of a recording is a task."""
+    if seconds is not None:
+        rows = Chunks(notes, ["recording_id"], ["start", "note_id"], F.floor(F.col("start") / seconds)).with_neighbours(["start"])
+        return rows.filter(F.col("_prev").isNull() | (F.col("start") - F.col("_prev.start") > gap)).drop("_prev", "_chunk")
     before = F.lag("start").over(by_start())
     return notes.withColumn("_new", before.isNull() | (F.col("start") - before > gap)).filter("_new").drop("_new")
 
 
-def auto_window(notes: DataFrame) -> DataFrame:
+def auto_window(notes: DataFrame, seconds: float | None = None) -> DataFrame:
     """Window size of each recording: 0.8 of the mean gap between strikes, 0.5 to 3 seconds.
 
     The gaps between strikes add up to the last strike less the first, so no second sort is due.
     """
-    s = strikes(notes).groupBy("recording_id").agg(F.count("*").alias("strikes"), F.min("start").alias("_a"), F.max("start").alias("_b"))
+    s = strikes(notes, seconds=seconds).groupBy("recording_id").agg(F.count("*").alias("strikes"), F.min("start").alias("_a"), F.max("start").alias("_b"))
     gap = F.when(F.col("strikes") > 1, (F.col("_b") - F.col("_a")) / (F.col("strikes") - 1))
     size = F.when(gap.isNull(), F.lit(2.0)).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(3.0), gap * 0.8)))
     pace = F.when(gap.isNull(), "single").when(size < 1.0, "fast").when(size > 2.0, "slow").otherwise("medium")

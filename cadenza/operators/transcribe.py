@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import confidence_velocity, energy_velocity, hz_to_midi
+from cadenza.operators.scans import Chunks, joined
+from cadenza.storage import stored
 
 LOW, HIGH = 21, 108
 
@@ -21,16 +24,25 @@ def frame_pitches(frames: DataFrame, min_confidence: float = 0.3) -> DataFrame:
     return rows.filter(F.col("_midi").between(LOW, HIGH)).withColumn("pitch", F.bround("_midi").cast("int"))
 
 
-def next_onsets(frames: DataFrame, onsets: DataFrame, buffer: float = 0.05) -> DataFrame:
+def next_onsets(frames: DataFrame, onsets: DataFrame, buffer: float = 0.05, seconds: float | None = None) -> DataFrame:
     """As-of join forward: each frame with next_onset, the first onset over `buffer` seconds on.
 
     Frames and onsets of a track are put in one order of time, the last first, and each frame
     takes the onset met last: one pass, as what is met only grows.  Of equal times frames come
-    before onsets, so that an onset exactly `buffer` on is not taken.
+    before onsets, so that an onset exactly `buffer` on is not taken.  With `seconds`, so much of a
+    track is a task, and what finds no onset in it takes the first one of the later ones.
     """
     f = frames.select(F.struct(*frames.columns).alias("_row"), "track_id", (F.col("time") + buffer).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_onset"))
     o = onsets.select(F.lit(None).cast(f.schema["_row"].dataType).alias("_row"), "track_id", F.col("onset_time").alias("_at"), F.lit(0).alias("_kind"), F.col("onset_time").alias("_onset"))
-    order = Window.partitionBy("track_id").orderBy(F.col("_at").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    backwards = F.col("_at").desc(), F.col("_kind").desc()
+    if seconds is not None:
+        chunks = Chunks(f.union(o), ["track_id"], ["_at"], F.floor(F.col("_at") / seconds))
+        firsts = chunks.rows.groupBy(*chunks.by).agg(F.min("_onset").alias("_earliest"))
+        later = F.first("_earliest", ignorenulls=True).over(chunks.along.rowsBetween(1, Window.unboundedFollowing))
+        rows = joined(chunks.rows, firsts.select(*chunks.by, later.alias("_later")), chunks.by)
+        near = F.last("_onset", ignorenulls=True).over(Window.partitionBy(*chunks.by).orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("next_onset", F.coalesce(near, "_later")).filter("_kind = 1").select("_row.*", "next_onset")
+    order = Window.partitionBy("track_id").orderBy(*backwards).rowsBetween(Window.unboundedPreceding, 0)
     rows = f.union(o).withColumn("next_onset", F.last("_onset", ignorenulls=True).over(order))
     return rows.filter("_kind = 1").select("_row.*", "next_onset")
 
@@ -43,48 +55,112 @@ def frame_energy(frames: DataFrame, rms: DataFrame) -> DataFrame:
     return at.join(e, (F.col("track_id") == F.col("_track")) & (F.col("_at") == F.col("_idx")), "left").drop("_last", "_at", "_track", "_idx")
 
 
-def raw_notes(frames: DataFrame, onsets: DataFrame, rms: DataFrame | None, min_confidence: float = 0.3, min_duration: float = 0.1, max_duration: float = 4.0) -> DataFrame:
+def raw_notes(frames: DataFrame, onsets: DataFrame, rms: DataFrame | None, min_confidence: float = 0.3, min_duration: float = 0.1, max_duration: float = 4.0, seconds: float | None = None) -> DataFrame:
     """A note for each voiced frame, up to the next onset.
 
     Durations are at most max_duration, 0.5 where no onset follows (whatever the maximum), and
     then at least min_duration.  Without energies, velocity comes from confidence.
     """
-    rows = next_onsets(frame_pitches(frames, min_confidence), onsets)
+    rows = next_onsets(frame_pitches(frames, min_confidence), onsets, seconds=seconds)
     rows = rows.withColumn("velocity", confidence_velocity(F.col("confidence"))) if rms is None else frame_energy(rows, rms).withColumn("velocity", energy_velocity(F.col("energy")))
     length = F.when(F.col("next_onset").isNull(), F.lit(0.5)).otherwise(F.least(F.col("next_onset") - F.col("time"), F.lit(max_duration)))
     length = F.greatest(length, F.lit(min_duration))
     return rows.select("track_id", "frame_idx", "pitch", F.col("time").alias("start"), (F.col("time") + length).alias("end"), "velocity", "confidence")
 
 
-def dedupe(notes: DataFrame, within: float = 0.1) -> DataFrame:
+_NOTE = ("start", "frame_idx", "end", "velocity", "confidence")
+
+
+def _survivors(within: float, at: str = "CAST(NULL AS double)", by: str = "CAST(NULL AS double)", i: str = "CAST(NULL AS int)") -> Column:
+    """Places of the survivors among _notes, the last one still open; at, by and i are the start,
+    confidence and place of one that is open before the first.  Places are gathered in lists of
+    up to 256, as adding to a list copies it."""
+    state = f"named_struct('full', CAST(array() AS array<array<int>>), 'done', CAST(array() AS array<int>), 'at', {at}, 'by', {by}, 'i', {i})"
+    new = "'at', x.start, 'by', x.confidence, 'i', x.i"
+    return F.expr(f"""flatten(aggregate(
+        transform(_notes, (x, i) -> named_struct('i', i, 'start', x.start, 'confidence', x.confidence)), {state}, (s, x) -> CASE
+        WHEN s.i IS NULL THEN named_struct('full', s.full, 'done', s.done, {new})
+        WHEN abs(s.at - x.start) >= {within}D AND size(s.done) < 255 THEN named_struct('full', s.full, 'done', array_append(s.done, s.i), {new})
+        WHEN abs(s.at - x.start) >= {within}D THEN named_struct('full', array_append(s.full, array_append(s.done, s.i)), 'done', CAST(array() AS array<int>), {new})
+        WHEN x.confidence > s.by THEN named_struct('full', s.full, 'done', s.done, {new})
+        ELSE s END, s -> array_append(s.full, array_append(s.done, s.i))))""")
+
+
+def dedupe(notes: DataFrame, within: float = 0.1, seconds: float | None = None) -> DataFrame:
     """Of notes of one pitch that begin within 0.1 s of a survivor, the more confident survives.
 
     Order matters: a note is held against the last survivor of its pitch only, replaces it if it
     is more confident, and goes if not.  A note that begins 0.1 s or more after the note before
     it is in nobody's way, so that each run of closer ones is a group of its own, folded inside the
-    JVM.  The fold gathers the survivors' places, in lists of up to 256, as adding to a list copies it.
+    JVM.  With `seconds`, which must be over `within`, so much of a track is a task, however long a run is.
     """
+    if seconds is not None:
+        return _dedupe_by_chunk(notes, within, seconds)
     order = Window.partitionBy("track_id", "pitch").orderBy("start", "frame_idx")
     far = F.when(F.col("start") - F.lag("start").over(order) < within, 0).otherwise(1)
     rows = notes.withColumn("_far", far).withColumn("_run", F.sum("_far").over(order))
-    group = rows.groupBy("track_id", "pitch", "_run").agg(F.array_sort(F.collect_list(F.struct("start", "frame_idx", "end", "velocity", "confidence"))).alias("_notes"))
-    state = "named_struct('full', CAST(array() AS array<array<int>>), 'done', CAST(array() AS array<int>), 'at', CAST(NULL AS double), 'by', CAST(NULL AS double), 'i', CAST(NULL AS int))"
-    new = "'at', x.start, 'by', x.confidence, 'i', x.i"
-    fold = F.expr(f"""flatten(aggregate(
-        transform(_notes, (x, i) -> named_struct('i', i, 'start', x.start, 'confidence', x.confidence)), {state}, (s, x) -> CASE
-        WHEN s.i IS NULL THEN named_struct('full', s.full, 'done', s.done, {new})
-        WHEN abs(s.at - x.start) >= {within}D AND size(s.done) < 255 THEN named_struct('full', s.full, 'done', array_append(s.done, s.i), {new})
-        WHEN abs(s.at - x.start) >= {within}D THEN named_struct('full', array_append(s.full, s.done), 'done', array(s.i), {new})
-        WHEN x.confidence > s.by THEN named_struct('full', s.full, 'done', s.done, {new})
-        ELSE s END, s -> array_append(s.full, array_append(s.done, s.i))))""")
-    kept = group.withColumn("_kept", fold).select("track_id", "pitch", F.explode(F.expr("transform(_kept, i -> _notes[i])")).alias("_n"))
+    group = rows.groupBy("track_id", "pitch", "_run").agg(F.array_sort(F.collect_list(F.struct(*_NOTE))).alias("_notes"))
+    return _unpacked(group.withColumn("_kept", _survivors(within)))
+
+
+def _unpacked(group: DataFrame) -> DataFrame:
+    kept = group.select("track_id", "pitch", F.explode(F.expr("transform(_kept, i -> _notes[i])")).alias("_n"))
     return kept.select("track_id", "_n.frame_idx", "pitch", "_n.start", "_n.end", "_n.velocity", "_n.confidence")
 
 
-def merge(notes: DataFrame, gap: float = 0.1) -> DataFrame:
+def _chained(group: pd.DataFrame) -> pd.DataFrame:
+    """Chunks of a track's pitch, in what each may be entered with and is then left with -> what it
+    is entered with, and whether that goes; one short row for each chunk."""
+    group, now, entered, gone = group.sort_values("_chunk"), None, [], []
+    for ins, outs, replaced, fresh in zip(group["_ins"], group["_outs"], group["_replaced"], group["_fresh"]):
+        at = list(ins).index(now) if now is not None and now in ins else -1
+        entered.append(None if at < 0 else now)
+        gone.append(bool(at >= 0 and replaced[at]))
+        now = fresh if at < 0 else outs[at]
+    out = group[["track_id", "pitch", "_chunk"]].copy()
+    out["_entered"], out["_gone"] = pd.array(entered, "Int64"), gone
+    return out
+
+
+def _dedupe_by_chunk(notes: DataFrame, within: float, seconds: float) -> DataFrame:
+    """A chunk can only be entered with a survivor from the last `within` seconds before its first
+    note, of which there are few.  It is folded for each of them, and without any; these tables of
+    what goes in and out are chained along the track, and then each chunk is folded once more
+    with what does enter it.  Its last survivor stays unless the next chunk replaces it.
+    """
+    if seconds <= within:
+        raise ValueError("a chunk must be longer than the time in which notes are duplicates")
+    by = ["track_id", "pitch", "_chunk"]
+    rows = notes.withColumn("_chunk", F.floor(F.col("start") / seconds).cast("long"))
+    groups = stored(rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*_NOTE))).alias("_notes")), "dedupe-chunks")
+    along = Window.partitionBy("track_id", "pitch").orderBy("_chunk")
+    edges = groups.select(
+        *by, F.expr("_notes[0].start").alias("_first"),
+        F.expr(f"filter(_notes, x -> element_at(_notes, -1).start - x.start < {2 * within}D)").alias("_tail"))  # of neighbours, more than can enter
+    edges = edges.withColumn("_tail", F.lag("_tail").over(along))
+    entering = F.expr(f"filter(coalesce(_tail, array()), x -> abs(x.start - _first) < {within}D)")
+    groups = stored(joined(groups, edges.select(*by, entering.alias("_ins")), by), "dedupe-tables")
+    left = lambda s: f"aggregate(_notes, {s}, (a, x) -> CASE WHEN abs(a.start - x.start) >= {within}D OR x.confidence > a.confidence THEN x ELSE a END)"
+    first_other = f"filter(_notes, x -> abs(s.start - x.start) >= {within}D OR x.confidence > s.confidence)"
+    tables = groups.select(
+        *by, F.expr("transform(_ins, s -> s.frame_idx)").alias("_ins"), F.expr(f"transform(_ins, s -> {left('s')}.frame_idx)").alias("_outs"),
+        F.expr(f"transform(_ins, s -> coalesce(abs(s.start - get({first_other}, 0).start) < {within}D, false))").alias("_replaced"), F.expr(f"{left('_notes[0]')}.frame_idx").alias("_fresh"))
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+    chain = tables.groupBy("track_id", "pitch").applyInPandas(_chained, f"track_id {kinds['track_id']}, pitch {kinds['pitch']}, _chunk long, _entered long, _gone boolean")
+    chain = stored(chain, "dedupe-chain")
+    chain = chain.withColumn("_gone", F.coalesce(F.lead("_gone").over(along), F.lit(False)))
+    groups = joined(groups, chain, by).withColumn("_s", F.expr("get(filter(_ins, x -> x.frame_idx = _entered), 0)"))
+    groups = groups.withColumn("_all", _survivors(within, "_s.start", "_s.confidence", "IF(_s IS NULL, CAST(NULL AS int), -1)"))
+    left_over = F.when(F.col("_gone"), F.expr("slice(_all, 1, size(_all) - 1)")).otherwise(F.col("_all"))
+    return _unpacked(groups.withColumn("_kept", F.filter(left_over, lambda i: i >= 0)))
+
+
+def merge(notes: DataFrame, gap: float = 0.1, seconds: float | None = None) -> DataFrame:
     """Notes that follow each other at one pitch without a gap of 0.1 s become one: the first's
     start and confidence, the latest end, the highest velocity.  Another pitch between them, in
-    the track's order of starts, keeps them apart."""
+    the track's order of starts, keeps them apart.  With `seconds`, so much of a track is a task."""
+    if seconds is not None:
+        return _merge_by_chunk(notes, gap, seconds)
     order = Window.partitionBy("track_id").orderBy("start", "frame_idx")
     rows = notes.withColumn("_change", F.when(F.lag("pitch").over(order) == F.col("pitch"), 0).otherwise(1))
     rows = rows.withColumn("_same", F.sum("_change").over(order))
@@ -97,8 +173,28 @@ def merge(notes: DataFrame, gap: float = 0.1) -> DataFrame:
         F.max("velocity").alias("velocity"), F.min_by("confidence", first).alias("confidence")).drop("_run")
 
 
-def clean(notes: DataFrame) -> DataFrame:
-    return merge(dedupe(notes))
+def _merge_by_chunk(notes: DataFrame, gap: float, seconds: float) -> DataFrame:
+    """What a chunk's first notes may go on from is the latest end of the notes of their pitch before
+    it, back to where the pitch last changed: a running maximum over the chunks since then."""
+    chunks = Chunks(notes, ["track_id"], ["start", "frame_idx"], F.floor(F.col("start") / seconds))
+    rows = chunks.with_neighbours(["pitch"])
+    rows = rows.withColumn("_same", F.sum(F.when(F.col("_prev.pitch") == F.col("pitch"), 0).otherwise(1)).over(chunks.own))
+    last = rows.groupBy(*chunks.by, "_same").agg(F.max("end").alias("_end")).groupBy(*chunks.by).agg(F.max("_same").alias("_changes"), F.max_by("_end", "_same").alias("_end"))
+    last = stored(last, "merge-chunks").withColumn("_since", F.sum(F.when(F.col("_changes") > 0, 1).otherwise(0)).over(chunks.along))
+    last = last.withColumn("_reach", F.max("_end").over(Window.partitionBy("track_id", "_since").orderBy("_chunk")))
+    rows = joined(rows, last.select(*chunks.by, F.lag("_reach").over(chunks.along).alias("_open")), chunks.by)
+    before = Window.partitionBy(*chunks.by, "_same").orderBy("start", "frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max("end").over(before), F.when(F.col("_same") == 0, F.col("_open")))
+    parts = {
+        "frame_idx": F.min("frame_idx"), "pitch": F.min("pitch"), "first": F.min(F.struct("start", "frame_idx", "confidence")),
+        "end": F.max("end"), "velocity": F.max("velocity")}
+    whole = lambda c: {n: (F.max if n in ("end", "velocity") else F.min)(c[n]) for n in parts}
+    runs = chunks.runs(rows.withColumn("_new", ~F.coalesce(F.col("start") - reach < gap, F.lit(False))), F.col("_new"), parts, whole)
+    return runs.select("track_id", "frame_idx", "pitch", "first.start", "end", "velocity", "first.confidence")
+
+
+def clean(notes: DataFrame, seconds: float | None = None) -> DataFrame:
+    return merge(dedupe(notes, seconds=seconds), seconds=seconds)
 
 
 def onset_durations(onsets: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import notes as note_ops
@@ -24,12 +24,14 @@ from cadenza.storage import stored
 @dataclass
 class Run:
     """What a run found: results() with one row for each file, the notes, the tables of the
-    analysis, and seconds by step."""
+    analysis, seconds by step; and files, processed (those without an error) and peak_mb (of a
+    worker), which are counted while the results are written."""
 
     results: DataFrame
     notes: DataFrame
     analysis: Analysis
     seconds: dict[str, float] = field(default_factory=dict)
+    counts: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ class Pipeline:
         signals = self.signals(files)
         notes = self._transcribed(signals, frames)
         converted = time.perf_counter()
-        made = signals.filter("kind = 'file'").select("path", F.col("seconds").alias("conversion_time"), F.col("offset").alias("trim_offset"))
+        made = signals.filter("kind = 'file'").select("path", F.col("seconds").alias("conversion_time"), F.col("offset").alias("trim_offset"), "peak_mb")
         if self.midi_folder is not None or not self.cleanup_midi:
             places = midi.targets(files.join(_errors(signals), "path", "left_anti"), self.midi_folder)
             made = made.join(stored(midi.write_files(notes, places), "midi-files").select("path", "midi_file"), "path", "left")
@@ -85,21 +87,31 @@ class Pipeline:
         begun = time.perf_counter()
         rows = stored(midi.decode_files(files), "midi-notes")
         notes = rows.filter("error IS NULL").withColumn("recording_id", F.xxhash64("path"))
-        made = files.select("path", F.col("path").alias("midi_file"))
+        read = rows.filter("peak_mb IS NOT NULL").select("path", F.col("seconds").alias("conversion_time"), "peak_mb")
+        made = files.select("path", F.col("path").alias("midi_file")).join(read, "path", "left")
         return self._analyzed(files, rows.filter("error IS NOT NULL").select("path", "error"), notes, made, begun, time.perf_counter())
 
     def _analyzed(self, files: DataFrame, errors: DataFrame, notes: DataFrame, made: DataFrame, begun: float, converted: float) -> Run:
         found = analyze(notes, self.window_size)
-        rows = stored(results(files, errors, found, made), "results")
+        seen = Observation("files")
+        counted = results(files, errors, found, made).observe(
+            seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNull()).alias("processed"), F.max("peak_mb").alias("peak_mb"))
+        rows = stored(counted, "results")
         ended = time.perf_counter()
-        return Run(rows, notes, found, {"conversion": converted - begun, "analysis": ended - converted, "total": ended - begun})
+        return Run(rows, notes, found, {"conversion": converted - begun, "analysis": ended - converted, "total": ended - begun}, seen.get)
 
-    def analyze_paths(self, spark: SparkSession, *paths: str) -> DataFrame:
-        """results() of audio and MIDI files or folders; a path that doesn't exist raises at once."""
+    def runs(self, spark: SparkSession, *paths: str) -> list[Run]:
+        """The runs of the audio and of the MIDI files among files or folders; a path that doesn't
+        exist raises at once."""
         require(spark, paths)
         sound = list_files(spark, paths, AUDIO, content=True)
         scores = list_files(spark, paths, ["mid", "midi"], content=True)
-        return self.analyze_audio(sound).results.unionByName(self.analyze_midi(scores).results)
+        return [self.analyze_audio(sound), self.analyze_midi(scores)]
+
+    def analyze_paths(self, spark: SparkSession, *paths: str) -> DataFrame:
+        """results() of audio and MIDI files or folders."""
+        sound, scores = self.runs(spark, *paths)
+        return sound.results.unionByName(scores.results)
 
 
 def _errors(signals: DataFrame) -> DataFrame:
@@ -108,7 +120,8 @@ def _errors(signals: DataFrame) -> DataFrame:
 
 def results(files: DataFrame, errors: DataFrame, found: Analysis, made: DataFrame | None = None) -> DataFrame:
     """One row for each file: its chords, events, key and counts, or its error; and of made (by path) its
-    midi_file, conversion_time (seconds of decoding and tracking it) and trim_offset, where known.
+    midi_file, conversion_time (seconds of decoding and tracking it), trim_offset and peak_mb (the most memory
+    that the worker that decoded it had held by then), where known.
 
     A file without notes has the error "no notes"; one with notes but without active windows
     has empty lists.
@@ -120,7 +133,7 @@ def results(files: DataFrame, errors: DataFrame, found: Analysis, made: DataFram
     rows = files.select("path", F.xxhash64("path").alias("recording_id")).join(errors.dropDuplicates(["path"]), "path", "left")
     for part in (chords, played, stats, found.key):
         rows = rows.join(part, "recording_id", "left")
-    known = {"midi_file": "string", "conversion_time": "double", "trim_offset": "double"}
+    known = {"midi_file": "string", "conversion_time": "double", "trim_offset": "double", "peak_mb": "double"}
     if made is not None:
         rows = rows.join(made.dropDuplicates(["path"]), "path", "left")
     rows = rows.withColumns({c: F.lit(None).cast(kind) for c, kind in known.items() if c not in rows.columns})

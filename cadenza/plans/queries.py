@@ -222,6 +222,24 @@ def window_pitch_sets(spark, sf):
     return windows.pitch_sets(windows.active_windows(fixtures.notes(spark, sf), WS))
 
 
+# Repeated addition, one step after another; the sizes are no sums of a few powers of two.
+def exact_windows_sql(ws: str) -> str:
+    return MUSICAL + f""", tot AS (SELECT recording_id, max(e) AS total FROM musical GROUP BY recording_id),
+  stp(i, w) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION ALL SELECT i + 1, w + {ws}::DOUBLE FROM stp WHERE w < (SELECT max(total) FROM tot)),
+  bounds AS (SELECT recording_id, i AS window_idx, w AS w_start, least(w + {ws}::DOUBLE, total) AS w_end FROM stp JOIN tot ON w < total)"""
+
+
+@query(exact_windows_sql("0.1") + " SELECT recording_id, window_idx, w_start, w_end FROM bounds")
+def window_starts_exact(spark, sf):
+    return windows.window_starts(windows.window_ends(note_ops.filter_musical(fixtures.notes(spark, sf)), 0.1))
+
+
+@query(exact_windows_sql("0.7") + """ SELECT recording_id, window_idx, note_id, w_start, w_end
+  FROM musical JOIN bounds USING (recording_id) WHERE s < w_end AND e > w_start""")
+def window_notes_exact(spark, sf):
+    return windows.window_notes(fixtures.notes(spark, sf), 0.7, exact=True).select("recording_id", "window_idx", "note_id", "w_start", "w_end")
+
+
 PAT = ", pat AS (SELECT * FROM (VALUES " + ", ".join(f"({p}, {m}, {z}, '{n}')" for p, m, z, n in pattern_rows()) + ") t(priority, pattern, size, name))"
 
 
@@ -303,6 +321,21 @@ def key_from_notes(spark, sf):
     return keys.key_from_notes(fixtures.notes(spark, sf))
 
 
+@query(NOTES + """, w AS (SELECT recording_id, pitch % 12 AS pc, least(count(*), 10) AS n FROM notes GROUP BY recording_id, pitch),
+  h AS (SELECT recording_id, pc, sum(n)::BIGINT AS x FROM w GROUP BY ALL),
+  profile AS (SELECT 0 AS mode, unnest([6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]) AS y, unnest(range(12)) AS step
+    UNION ALL SELECT 1, unnest([6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]), unnest(range(12))),
+  k AS (SELECT mode * 12 + t AS key_order, (step + t) % 12 AS pc, round(y * 100)::BIGINT AS y,
+          ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][t + 1] || CASE WHEN mode = 0 THEN ' major' ELSE ' minor' END AS key FROM profile, range(12) r(t)),
+  g AS (SELECT r.recording_id, k.key, k.key_order, k.y, coalesce(h.x, 0) AS x FROM (SELECT DISTINCT recording_id FROM h) r CROSS JOIN k LEFT JOIN h ON h.recording_id = r.recording_id AND h.pc = k.pc),
+  c AS (SELECT recording_id, key, key_order, (12 * sum(x * y) - sum(x) * sum(y))::DOUBLE AS up,
+          (12 * sum(x * x) - sum(x) * sum(x))::DOUBLE * (12 * sum(y * y) - sum(y) * sum(y))::DOUBLE AS spread FROM g GROUP BY ALL),
+  best AS (SELECT *, CASE WHEN spread > 0 THEN up / sqrt(spread) END AS r FROM c QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY r DESC NULLS LAST, key_order) = 1)
+  SELECT recording_id, CASE WHEN r IS NULL THEN 'Unknown' ELSE key END AS key, round(r, 6) AS correlation FROM best""")
+def key_by_profile(spark, sf):
+    return keys.key_by_profile(fixtures.notes(spark, sf)).withColumn("correlation", F.round("correlation", 6))
+
+
 @query(events_sql() + CHORD_KEY + NOTE_KEY + " SELECT n.recording_id, coalesce(nullif(c.key, 'Unknown'), n.key) AS key FROM nkey n LEFT JOIN ckey c USING (recording_id)")
 def key_signature(spark, sf):
     return analyze(fixtures.notes(spark, sf), WS).key
@@ -351,6 +384,55 @@ def clean_notes(spark, sf):
     return transcribe.clean(raw_notes(spark, sf))
 
 
+# The same rows by chunk and stitch: chunks far shorter than a job would take, so that recordings have several.
+CHUNK, SECONDS = 5, 0.5
+
+
+def _segments_by_chunk(spark, sf):
+    return chords.segments(windows.active_windows(fixtures.notes(spark, sf), WS), CHUNK)
+
+
+@query(_SQL["segments"])
+def segments_by_chunk(spark, sf):
+    return _segments_by_chunk(spark, sf)
+
+
+@query(_SQL["event_islands"])
+def event_islands_by_chunk(spark, sf):
+    return events.islands(_segments_by_chunk(spark, sf), CHUNK)
+
+
+@query(_SQL["chord_events"])
+def chord_events_by_chunk(spark, sf):
+    return analyze(fixtures.notes(spark, sf), WS, CHUNK).events
+
+
+@query(_SQL["strike_onsets"])
+def strike_onsets_by_chunk(spark, sf):
+    return note_ops.strikes(fixtures.notes(spark, sf), seconds=CHUNK).select("recording_id", "note_id", "start")
+
+
+@query(_SQL["next_onset"])
+def next_onset_by_chunk(spark, sf):
+    pitches = transcribe.frame_pitches(fixtures.frames(spark, sf))
+    return transcribe.next_onsets(pitches, fixtures.onsets(spark, sf), seconds=SECONDS).select("track_id", "frame_idx", "next_onset")
+
+
+@query(_SQL["dedupe_notes"])
+def dedupe_notes_by_chunk(spark, sf):
+    return transcribe.dedupe(raw_notes(spark, sf), seconds=SECONDS)
+
+
+@query(_SQL["merge_notes"])
+def merge_notes_by_chunk(spark, sf):
+    return transcribe.merge(raw_notes(spark, sf), seconds=SECONDS)
+
+
+@query(_SQL["clean_notes"])
+def clean_notes_by_chunk(spark, sf):
+    return transcribe.clean(raw_notes(spark, sf), SECONDS)
+
+
 LENGTHS = ", len AS (SELECT track_id, (max(frame_idx) + 1) * 512 / 22050.0::DOUBLE AS audio_length FROM fr GROUP BY track_id)"
 ONSET_LENGTHS = FRAMES + LENGTHS + """, dur AS (SELECT track_id, onset, coalesce(lead(onset) OVER (PARTITION BY track_id ORDER BY onset), audio_length) - onset AS duration
   FROM ons JOIN len USING (track_id))"""

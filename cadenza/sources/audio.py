@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.sources.files import peak_mb
+
 #: Frames that are worked on at a time; rows that are emitted at a time.
 CHUNK, ROWS = 256, 8192
 
@@ -44,7 +46,7 @@ PLAIN = Signal(low=65.4, high=2093.0, delta=0.07, normalise=False, harmonic=Fals
 
 SIGNALS = (
     "path string, kind string, frame_idx long, time double, f0_hz double, confidence double, energy double, length double, offset double,"
-    " seconds double, error string")
+    " seconds double, peak_mb double, error string")
 _NAMES = [x.split()[0] for x in SIGNALS.split(", ")]
 
 
@@ -198,7 +200,7 @@ def onset_times(y: np.ndarray, s: Signal = Signal()) -> np.ndarray:
 
 def _rows(path: str, kind: str, n: int, **columns) -> Iterator[pd.DataFrame]:
     frame = pd.DataFrame({"path": path, "kind": kind, **columns}, index=range(n)).reindex(columns=_NAMES)
-    floats = {c: float for c in ("time", "f0_hz", "confidence", "energy", "length", "offset", "seconds")}
+    floats = {c: float for c in ("time", "f0_hz", "confidence", "energy", "length", "offset", "seconds", "peak_mb")}
     frame = frame.astype(floats | {"frame_idx": "Int64", "error": object})
     for i in range(0, n, ROWS):
         yield frame.iloc[i : i + ROWS]
@@ -223,7 +225,7 @@ def _signals(s: Signal):
                 n, length = len(f0), len(y) / s.rate
                 yield from _rows(path, "frame", n, frame_idx=np.arange(n), time=np.arange(n) * s.hop / s.rate, f0_hz=f0, confidence=confidence, energy=energy)
                 yield from _rows(path, "onset", len(onsets), frame_idx=np.arange(len(onsets)), time=onsets)
-                yield from _rows(path, "file", 1, length=length, offset=offset, seconds=time.perf_counter() - begun)
+                yield from _rows(path, "file", 1, length=length, offset=offset, seconds=time.perf_counter() - begun, peak_mb=peak_mb())
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import resource
+import sys
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +17,11 @@ AUDIO = ["wav", "mp3", "flac", "m4a", "aiff"]
 LISTING = "path string, length long, name string, stem string"
 
 
+def peak_mb() -> float:
+    """The most memory that this process, a task's worker, has held so far, in MB."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * (1 if sys.platform == "darwin" else 1024) / 1e6
+
+
 def _exists(spark: SparkSession, folder: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import struct
-import uuid
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import file_stem, transcribed_path
-from cadenza.sources.files import list_files
+from cadenza.sources.files import list_files, peak_mb
+from cadenza.storage import stored
 
 TICKS = 480
 TEMPO = 500_000  # microseconds a quarter, where a file sets none
 
-FILE_NOTES = "path string, note_id long, instrument int, start double, end double, pitch int, velocity int, error string"
+FILE_NOTES = "path string, note_id long, instrument int, start double, end double, pitch int, velocity int, error string, seconds double, peak_mb double"
 
 
 def _varlen(data: bytes, at: int) -> tuple[int, int]:
@@ -110,12 +111,12 @@ def encode(notes: list[tuple[float, float, int, int]], name: str = "Audio Transc
         return bytes(reversed(out))
 
     title = name.encode()
-    body, last = b"\x00\xff\x03" + varlen(len(title)) + title + b"\x00\xc0\x00", 0
+    body, last = bytearray(b"\x00\xff\x03" + varlen(len(title)) + title + b"\x00\xc0\x00"), 0
     for tick, _, status, pitch, velocity in sorted(events):
         body += varlen(tick - last) + bytes([status, pitch, velocity])
         last = tick
     body += b"\x00\xff\x2f\x00"
-    return b"MThd" + struct.pack(">IHHH", 6, 0, 1, TICKS) + b"MTrk" + struct.pack(">I", len(body)) + body
+    return b"MThd" + struct.pack(">IHHH", 6, 0, 1, TICKS) + b"MTrk" + struct.pack(">I", len(body)) + bytes(body)
 
 
 def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,18 +124,22 @@ def _decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, content in zip(batch["path"], batch["content"]):
+            begun, first = time.perf_counter(), len(rows)
             try:
                 notes = sorted(enumerate(decode(bytes(content))), key=lambda n: n[1][1])
-                rows += [(path, i, n[0], n[1], n[2], n[3], n[4], None) for i, (_, n) in enumerate(notes)]
+                rows += [(path, i, n[0], n[1], n[2], n[3], n[4], None, None, None) for i, (_, n) in enumerate(notes)]
             except (ValueError, IndexError, struct.error) as e:
-                rows.append((path, None, None, None, None, None, None, str(e) or "damaged file"))
+                rows.append((path, None, None, None, None, None, None, str(e) or "damaged file", None, None))
+            if len(rows) > first:
+                rows[first] = (*rows[first][:-2], time.perf_counter() - begun, peak_mb())
         out = pd.DataFrame(rows, columns=names)
-        yield out.astype({"note_id": "Int64", "instrument": "Int32", "pitch": "Int32", "velocity": "Int32"})
+        yield out.astype({"note_id": "Int64", "instrument": "Int32", "pitch": "Int32", "velocity": "Int32", "start": float, "end": float, "seconds": float, "peak_mb": float, "error": object})
 
 
 def decode_files(files: DataFrame) -> DataFrame:
     """Binary files (path, content) -> their notes, sorted by start within a file; a file that
-    can't be read gives one row with its error and nothing else."""
+    can't be read gives one row with its error and nothing else.  The first row of a file has the
+    seconds that decoding it took and the most memory that its worker had held by then."""
     return files.select("path", "content").mapInPandas(_decoded, FILE_NOTES)
 
 
@@ -173,26 +178,21 @@ def targets(files: DataFrame, folder: str | None = None) -> DataFrame:
     return rows.select("path", "recording_id", F.concat(F.lit(folder.rstrip("/") + "/"), name, F.lit(".mid")).alias("midi_file"))
 
 
-def _written(group: pd.DataFrame) -> pd.DataFrame:
-    from pyarrow.fs import FileSystem
-
-    target, data = group["midi_file"].iloc[0], _rows(group)
-    fs, path = FileSystem.from_uri(target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target)
-    folder, _, name = path.rpartition("/")
-    fs.create_dir(folder, recursive=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"  # a task that is run again replaces what it wrote
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
-    return pd.DataFrame({"path": [group["path"].iloc[0]], "midi_file": [target], "midi_bytes": [len(data)]})
-
-
 def write_files(notes: DataFrame, places: DataFrame) -> DataFrame:
     """Write the notes of each of targets() as a MIDI file: path, midi_file, midi_bytes.
 
-    The tasks write, to any store that pyarrow knows and all machines share; one recording at
-    a time.  A recording without notes gives a file without notes.
+    Recordings become files by themselves, which are stored, written beside where they belong, to any
+    store that pyarrow knows and all machines share, and moved there when all are written.  A
+    recording without notes gives a file without notes.
     """
+    from cadenza.sources import midi_format
+
     columns = notes.select("recording_id", "note_id", "start", "end", "pitch", "velocity")
     rows = places.join(columns, "recording_id", "left")
-    return rows.groupBy("path").applyInPandas(_written, "path string, midi_file string, midi_bytes long")
+    files = stored(rows.groupBy("path", "midi_file").applyInPandas(_file, "path string, midi_file string, content binary"), "midi-content")
+    midi_format.save(files)
+    return files.select("path", "midi_file", F.length("content").cast("long").alias("midi_bytes"))
+
+
+def _file(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"path": [group["path"].iloc[0]], "midi_file": [group["midi_file"].iloc[0]], "content": [_rows(group)]})
