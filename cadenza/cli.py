@@ -1,4 +1,4 @@
-"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--midi DIR | --keep-midi] [--output DIR] [--report] [--statistics] [--quiet]"""
+"""python -m cadenza.cli PATH... [--window-size auto|SECONDS] [--confidence X] [--min-duration S] [--max-duration S] [--midi DIR | --keep-midi] [--long] [--output DIR] [--report] [--statistics] [--quiet]"""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import scans
 from cadenza.plans.analysis import TranscriptionSettings
 from cadenza.plans.pipeline import Pipeline, midi_report
 from cadenza.plans.report import reports
@@ -32,6 +33,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--max-duration", type=float, default=4.0)
     p.add_argument("--midi", help="folder for the transcriptions of audio files as MIDI")
     p.add_argument("--keep-midi", action="store_true", help="transcriptions as MIDI beside the audio files")
+    p.add_argument("--long", action="store_true", help="recordings of hours: many tasks for each")
     p.add_argument("--output", help="folder for the results as Parquet")
     p.add_argument("--report", action="store_true", help="segments, chord events, plays and key of each file as text")
     p.add_argument("--statistics", action="store_true", help="statistics of MIDI files, beside those of audio files of the same names")
@@ -39,7 +41,8 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("cadenza").getOrCreate()
     run = Pipeline(
-        TranscriptionSettings(a.confidence, a.min_duration, a.max_duration), a.window_size, midi_folder=a.midi, cleanup_midi=not a.keep_midi)
+        TranscriptionSettings(a.confidence, a.min_duration, a.max_duration), a.window_size, midi_folder=a.midi, cleanup_midi=not a.keep_midi,
+        chunk=scans.WINDOWS if a.long else None, seconds=scans.SECONDS if a.long else None)
     begun = time.perf_counter()
     try:
         runs = run.runs(spark, *a.paths)

@@ -36,14 +36,17 @@ class Run:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """Settings of a run: of the signals, the transcription, the window size (None: inferred), and
-    whether and where transcriptions are kept as MIDI files (no folder: beside the audio file)."""
+    """Settings of a run: of the signals, the transcription, the window size (None: inferred),
+    whether and where transcriptions are kept as MIDI files (no folder: beside the audio file), and
+    how many windows and seconds of a recording are a task (None: all; for recordings of hours)."""
 
     transcription: TranscriptionSettings = TranscriptionSettings()
     window_size: float | None = None
     signal: Signal = Signal()
     midi_folder: str | None = None
     cleanup_midi: bool = True
+    chunk: int | None = None
+    seconds: float | None = None
 
     def signals(self, files: DataFrame) -> DataFrame:
         return stored(audio.read_signals(files, self.signal), "signals")
@@ -61,7 +64,7 @@ class Pipeline:
         if others is not None:
             others = others.select(F.xxhash64("path").alias("track_id"), "frame_idx", "time", "f0_hz", "confidence")
             frames = frames.join(others.select("track_id").distinct(), "track_id", "left_anti").unionByName(others)
-        return stored(transcribe_frames(frames, onsets, rms, self.transcription), "notes")
+        return stored(transcribe_frames(frames, onsets, rms, self.transcription, self.seconds), "notes")
 
     def convert(self, files: DataFrame, folder: str | None = None, frames: DataFrame | None = None) -> DataFrame:
         """Audio files -> MIDI files: path, midi_file, midi_bytes, error; in a folder or beside the audio."""
@@ -92,7 +95,7 @@ class Pipeline:
         return self._analyzed(files, rows.filter("error IS NOT NULL").select("path", "error"), notes, made, begun, time.perf_counter())
 
     def _analyzed(self, files: DataFrame, errors: DataFrame, notes: DataFrame, made: DataFrame, begun: float, converted: float) -> Run:
-        found = analyze(notes, self.window_size)
+        found = analyze(notes, self.window_size, self.chunk)
         seen = Observation("files")
         counted = results(files, errors, found, made).observe(
             seen, F.count(F.lit(1)).alias("files"), F.count_if(F.col("error").isNull()).alias("processed"), F.max("peak_mb").alias("peak_mb"))

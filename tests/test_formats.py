@@ -107,11 +107,18 @@ def test_reports_as_text(spark, folder, capsys):
     assert any(x.endswith(" 1 time") for x in lines)
     drawn = [r["line"] for r in window_report(windows.active_windows(run.notes, 2.0)).orderBy("recording_id", "window_idx").collect()]
     assert len(drawn) == 48 and all(x.startswith("[00:0") and "{" in x for x in drawn)
-    assert cli.main([folder + "/0.mid", folder + "/broken.mid", "--window-size", "2.0", "--report", "--statistics"]) == 0
+    assert cli.main([folder + "/0.mid", folder + "/broken.mid", "--window-size", "2.0", "--long", "--report", "--statistics"]) == 0
     out = capsys.readouterr().out
     assert "File: 0.mid" in out and "Key: " in out and "note_density" in out and "1 of 2 files" in out
 
 
+def test_runs_by_chunk_have_the_same_results(spark, folder):
+    files = list_files(spark, [folder], ["mid"], content=True).filter("path LIKE '%/3.mid' OR path LIKE '%/4.mid'")
+    whole, parts = Pipeline(window_size=0.7).analyze_midi(files), Pipeline(window_size=0.7, chunk=2, seconds=1.0).analyze_midi(files)
+    columns = ["path", "chord_progression", "chord_events", "key", "stats", "error"]
+    assert sorted(map(str, whole.results.select(*columns).collect())) == sorted(map(str, parts.results.select(*columns).collect()))
+
+
 def test_labels_follow_a_second_statement_of_the_rule():
     """The largest pattern, of equals the one listed first; else the first root present; else the first
     class by name: from the listed chords as text, for all 4,096 sets."""
