@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 from cadenza.storage import scratch_dir, scratch_path, stored
 
 __all__ = [
-    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "if_small", "lower_hex", "scratch_path", "shuffle_partitions", "stored"]
+    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "having", "if_small", "lower_hex", "scratch_path", "shuffle_partitions", "stored"]
 
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of up to this many bytes may be broadcast.
 BROADCAST_BYTES = 48 << 20
 
+#: Words of 64 bits in a sieve at most, which is broadcast whatever its keys are.
+SIEVE_WORDS = 1 << 20
+
 #: Rows and bytes of an Arrow batch at most, where the session doesn't say otherwise.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
@@ -70,6 +73,28 @@ def if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if taken <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def having(rows: DataFrame, wanted: DataFrame, key: str, *more: str) -> DataFrame:
+    """rows joined with wanted by key (and more columns), inner, when few of many rows have a key of it.
+
+    wanted, a stored table, is broadcast if it is small.  Else rows go through a sieve first: a
+    Bloom filter of one bit a key, a table of SIEVE_WORDS words at most, which lets all rows pass that
+    have a key and few others, so that the rest are not shuffled.  With very many keys it lets most pass.
+    """
+    on = [key, *more]
+    small = if_small(wanted)
+    if small is not wanted:
+        return rows.join(small, on)
+    number = wanted.count()
+    words = min(SIEVE_WORDS, 1 << max(4, (number // 4).bit_length()))
+    place = F.xxhash64(F.lit("sieve"), key)
+    word = F.pmod(place, F.lit(words)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(place, 32), F.lit(64)).cast("int"))
+    sieve = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    passed = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(sieve), "_word")
+    passed = passed.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    return passed.join(wanted, on)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

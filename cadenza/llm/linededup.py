@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, carried, connected_components, if_small, stored
+from cadenza.llm.common import blocks, carried, connected_components, having, if_small, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -258,16 +258,17 @@ def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
 
     Lines meet in the buckets of their bands; buckets of the same lines are compared once, and
     only lines that share a bucket have their text fetched.  Until then one hash stands for a
-    line: should two share it, both are fetched.
+    line: should two share it, both are fetched.  Buckets are counted first, so that the many of
+    one line alone go no further.
     """
     low, number = F.lit((1 << 32) - 1), lambda i: F.lit(i << 32)
     bands = [x for i, c in enumerate(_PAIRS) for x in (
         F.col(c).bitwiseAND(low).bitwiseOR(number(2 * i)), F.shiftrightunsigned(c, 32).bitwiseOR(number(2 * i + 1)))]
     rows = lines.select("_h1", F.explode(F.array(*bands)).alias("band"))
-    members = rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).filter("n > 1")
-    members = stored(members, "lines-members")
+    full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "lines-bands")
+    members = stored(having(rows, full, "band"), "lines-members")
     wanted = stored(members.select("_h1").distinct(), "lines-wanted")
-    found = stored(texts.join(if_small(wanted), "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
+    found = stored(having(texts, wanted, "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
     long = found.filter(F.length("line") >= UNIT).groupBy("_h1").agg(F.max(F.floor(F.length("line") / UNIT)).alias("more"))
     heavy = members.join(if_small(stored(long, "lines-long")), "_h1").groupBy("band").agg(F.sum("more").alias("more"))
     members = members.join(if_small(stored(heavy, "lines-heavy")), "band", "left").withColumn("weight", F.col("n") + F.coalesce("more", F.lit(0)))
@@ -288,23 +289,26 @@ def long_hash(*cols: Column) -> tuple[Column, Column]:
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_k1, _k2, _drop array<int>): the lines that go, for each document that loses some.
 
-    _k1 and _k2 are long_hash() of the document's id and text.
+    _k1 and _k2 are long_hash() of the document's id and text.  Each distinct line is counted and its
+    first place found; of all lines only those that come again, or are similar to others, are
+    looked up once more.
     """
     rows = docs.select(
         *long_hash(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     lines = stored(rows.mapInArrow(_lines, _PLACES), "lines")
-    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS))
+    distinct = stored(lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS)), "lines-distinct")
     texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
     texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
     parts = stored(connected_components(stored(line_links(distinct, texts), "lines-links")), "lines-parts")
-    name = F.struct("_h1", "_h2")
-    placed = lines.select("_k1", "_k2", "_doc", "_line", name.alias("_name")).join(if_small(parts), F.col("_name") == F.col("node"), "left")
-    placed = placed.select(
-        F.coalesce("component", "_name").alias("_part"), F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2").alias("_at"))
-    placed = stored(placed, "lines-placed")
-    kept = placed.groupBy("_part").agg(F.min("_at").alias("_kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = placed.join(if_small(stored(kept, "lines-kept")), "_part").filter("_at <> _kept")
-    return gone.groupBy("_at._k1", "_at._k2").agg(F.collect_set("_at._line").alias("_drop"))
+    parts = parts.select("node._h1", "node._h2", "component")
+    at = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2")
+    counts = lines.groupBy("_h1", "_h2").agg(F.min(at).alias("_first"), F.count("*").alias("n"))
+    repeated = stored(counts.join(if_small(parts), ["_h1", "_h2"], "left").filter("n > 1 OR component IS NOT NULL"), "lines-repeated")
+    least = stored(repeated.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_kept")), "lines-least")
+    kept = repeated.join(if_small(least), "component", "left").select("_h1", "_h2", F.coalesce("_kept", "_first").alias("_kept"))
+    places = lines.select("_h1", "_h2", "_k1", "_k2", "_doc", "_line")
+    gone = having(places, stored(kept, "lines-kept"), "_h1", "_h2").filter(at != F.col("_kept"))
+    return gone.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_drop"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
