@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made in each settled() that is under way, the innermost last.
+_MADE: list[list[str]] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
@@ -30,15 +34,38 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, deleted when the session's JVM ends."""
+    """A new path in the shared folder, deleted when the session's JVM ends, if not before."""
     path = f"{scratch_dir(spark)}/cadenza-{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, fs = _place(spark, path)
+    fs.deleteOnExit(target)
+    if _MADE:
+        _MADE[-1].append(path)
     return path
 
 
+def _place(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What build() returns, stored; the tables that it stored on its way, which nothing else may
+    read, are deleted."""
+    _MADE.append([])
+    try:
+        out = stored(build(), label)
+    finally:
+        made = _MADE.pop()
+    for path in made[:-1]:
+        target, fs = _place(out.sparkSession, path)
+        fs.delete(target, True)
+    if _MADE:
+        _MADE[-1].append(made[-1])
+    return out
