@@ -5,10 +5,17 @@ is required, optional (?), repeated (+) or both (*), and stands for text slots a
 child is ever a choice of two.  Pages are aligned with the wrapper one after another: children
 that do not match become optional, neighbours that match each other become repeated.  Alignment
 of two wrappers is the same operation, so wrappers of parts of a host's pages merge to its own.
+
+Children are aligned from both ends, then between labels that both have once, and only what is left
+by a table.  An element that has gathered over FULL children is condensed: of its optional ones those
+that few pages have, and that stand next to each other, become one repeated slot for any element of
+their tag.  A wrapper thus doesn't grow with the number of pages, and folding a page takes time in
+proportion to the page.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import math
@@ -20,6 +27,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +61,12 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)(?:
 _WORDS = re.compile(r"[a-z]+")
 
 
+#: Children of a wrapper's element beyond which it is condensed; on so small a part of the pages a child is rare.
+FULL, RARE = 64, 1 / 32
+#: What stands in a label for any words of class, id and role.
+ANY = ".*"
+
+
 class Node:
     """An element of a page: its label, and children that are nodes or strings."""
 
@@ -152,11 +166,12 @@ def blocks_of(node: Node) -> tuple[str, int, int, list[Node]]:
 
 
 def skeleton(root: Node) -> list:
-    """A page as the wrapper of itself."""
+    """A page as the wrapper of itself; of menus, forms and the like, which hold no main text, the
+    element alone."""
     order, built = [(root, 0)], []
     for node, _ in order:  # grows meanwhile: an element's children come after it, next to each other
         text, chars, links, kids = blocks_of(node)
-        order.extend((kid, len(built)) for kid in kids)
+        order.extend((kid, len(built)) for kid in kids if not marked(node.label))
         built.append([node.label, "", [1, chars, links, _digest(text)], []])
     for (_, parent), own in zip(order[:0:-1], built[:0:-1]):
         own[3] = repeat(own[3][::-1])
@@ -208,33 +223,110 @@ def _same(a: list, b: list, repeated: bool = False) -> list:
     slot = [max(a[2][0], b[2][0]) if repeated else a[2][0] + b[2][0], a[2][1] + b[2][1], a[2][2] + b[2][2], a[2][3] if a[2][3] == b[2][3] else None]
     repeated = repeated or a[1] in "+*" and a[1] != "" or b[1] in "+*" and b[1] != ""
     optional = "?" in (a[1], b[1]) or "*" in (a[1], b[1])
-    return [a[0], _mark(optional, repeated), slot, align(a[3], b[3])]
+    return [a[0], _mark(optional, repeated), slot, condense(align(a[3], b[3]), slot[0])]
+
+
+def _optional(x: list) -> list:
+    return [x[0], _mark(True, x[1] in ("+", "*")), x[2], x[3]]
+
+
+def _anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of labels that a and b have once each: the longest run of them in the order of both."""
+    once_a, once_b = ({x[0]: i for i, x in enumerate(side) if count[x[0]] == 1} for side, count in ((a, Counter(x[0] for x in a)), (b, Counter(x[0] for x in b))))
+    pairs = [(i, once_b[label]) for label, i in once_a.items() if label in once_b]
+    tails: list[int] = []  # of runs by length, the last place in b
+    ends: list[int] = []  # and that pair's number
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(tails, j)
+        tails[at : at + 1], ends[at : at + 1] = [j], [n]
+        before[n] = ends[at - 1] if at else -1
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
 
 
-def align(a: list, b: list) -> list:
-    """Children of two wrappers, matched in order as far as possible; the others are optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [_same(x, y) for x, y in zip(a, b)]
+def _between(a: list, b: list, out: list) -> None:
+    """Align children of which neither side begins or ends like the other, by a table."""
+    if not a or not b:
+        out += map(_optional, a or b)
+        return
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-
-    def optional(x: list) -> list:
-        return [x[0], _mark(True, x[1] in ("+", "*")), x[2], x[3]]
-
+    i = j = 0
     while i < len(a) and j < len(b):
         if a[i][0] == b[j][0]:
             out.append(_same(a[i], b[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
+            out.append(_optional(a[i]))
             i += 1
         else:
-            out.append(optional(b[j]))
+            out.append(_optional(b[j]))
             j += 1
-    return repeat([*out, *map(optional, a[i:]), *map(optional, b[j:])])
+    out += map(_optional, a[i:] or b[j:])
+
+
+def align(a: list, b: list) -> list:
+    """Children of two wrappers, matched in order as far as possible; the others are optional."""
+    if [x[0] for x in a] == [x[0] for x in b]:
+        return [_same(x, y) for x, y in zip(a, b)]
+    if len(a) + len(b) <= FULL:
+        out: list = []
+        _between(a, b, out)
+        return repeat(out)
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i][0] != b[i][0]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i][0] != b[-1 - i][0]), n - head)
+    out = [_same(x, y) for x, y in zip(a[:head], b[:head])]
+    ends = [_same(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :])]
+    a, b, i, j = a[head : len(a) - tail], b[head : len(b) - tail], 0, 0
+    for x, y in [*_anchors(a, b), (len(a), len(b))]:
+        _between(a[i:x], b[j:y], out)
+        if x < len(a):
+            out.append(_same(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return repeat(out + ends)
+
+
+def condense(kids: list, pages: int) -> list:
+    """The children of an element that `pages` pages have, without its rare ones if there are many.
+
+    Optional children that are on few pages, hold main text by no name of theirs and stand next to
+    each other by tag become one repeated child for any label of the tag.  A child that is met
+    again later is a child of its own again, and stays one when enough pages have it.
+    """
+    if len(kids) <= FULL:
+        return kids
+    out: list = []
+    for kid in kids:
+        tag = kid[0].partition(".")[0]
+        rare = kid[1] in ("?", "*") and kid[2][0] <= max(1, pages * RARE) and not marked(kid[0]) and not is_main(kid[0])
+        if not rare and kid[0] != tag + ANY:
+            out.append(kid)
+        elif out and out[-1][0] == tag + ANY:
+            both = _same(out[-1], [tag + ANY, *kid[1:]], True)
+            out[-1] = [tag + ANY, "*", both[2], both[3]]
+        else:
+            out.append([tag + ANY, "*", kid[2], kid[3]])
+    # Those of one tag that only others kept apart are still too many where each page has its own order.
+    if len(out) > FULL:
+        first: dict[str, int] = {}
+        left: list = []
+        for kid in out:
+            if kid[0].endswith(ANY) and kid[0] in first:
+                both = _same(left[first[kid[0]]], kid, True)
+                left[first[kid[0]]] = [kid[0], "*", both[2], both[3]]
+            else:
+                if kid[0].endswith(ANY):
+                    first[kid[0]] = len(left)
+                left.append(kid)
+        out = left
+    return out
 
 
 def marked(label: str) -> bool:
@@ -266,6 +358,10 @@ class Slot:
         self.kids: list[Slot] = []
         self.at: dict[str, list[int]] = {}
 
+    def places(self, label: str) -> list[int]:
+        """The children that a child of this label may stand for: those of its label, else of its tag."""
+        return self.at.get(label) or self.at.get(label.partition(".")[0] + ANY, [])
+
 
 def slots_of(wrapper: list) -> Slot:
     """The wrapper with main and other decided for each of its elements.
@@ -325,12 +421,12 @@ def fit(kids: list[tuple[str, str]], slot: Slot) -> list[int]:
     the beginning of their turn of up to three.  Of all ways to match, that with most children
     counts, then that in which texts of the template are found where the wrapper has them.
     """
-    if all(len(slot.at.get(label, ())) == 1 for label, _ in kids):
-        return [slot.at[label][0] for label, _ in kids]
+    if all(len(slot.places(label)) == 1 for label, _ in kids):
+        return [slot.places(label)[0] for label, _ in kids]
     ends: dict[int, tuple[int, tuple | None]] = {-1: (0, None)}  # place of the last match -> score, way there
     for label, text in kids:
         after = {at: (score, (-1, way)) for at, (score, way) in ends.items()}
-        for j in slot.at.get(label, ()):
+        for j in slot.places(label):
             own = slot.kids[j]
             worth = 8 + (0 if not own.same else 2 if own.same == text else -4) + (not own.optional)
             for at, (score, way) in ends.items():
@@ -366,7 +462,7 @@ def matched(root: Node, wrapper: Slot) -> tuple[set[Node], set[Node]]:
         if slot is None:
             places = [-1] * len(parts)
         else:
-            ambiguous = any(len(slot.at.get(kid.label, ())) > 1 for kid in parts)
+            ambiguous = any(len(slot.places(kid.label)) > 1 for kid in parts)
             places = fit([(kid.label, _digest(own[0]) if ambiguous else "") for kid, own in zip(parts, inner)], slot)
         stack.extend((kid, slot.kids[at] if at >= 0 else None, own[3], open_) for kid, own, at in zip(parts, inner, places))
     return main, other
@@ -471,19 +567,24 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(_merged, "host string, wrapper string")
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots: dict[str, Slot] = {}
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            texts = []
-            for wrapper, page in zip(part.column("wrapper").to_pylist(), part.column("html").to_pylist()):
-                if wrapper not in slots:
-                    if len(slots) > 2000:
-                        slots.clear()
-                    slots[wrapper] = slots_of(loads(wrapper))
-                texts.append(page_text(page or "", slots[wrapper]))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+def _texts(known: Broadcast | None):
+    """Pages with their wrapper, or their host and the wrappers of all hosts, to main texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[str, Slot] = {}
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = []
+                for name, page in zip(part.column("of").to_pylist(), part.column("html").to_pylist()):
+                    if name not in slots:
+                        if len(slots) > 2000:
+                            slots.clear()
+                        slots[name] = slots_of(loads(name if known is None else known.value[name]))
+                    texts.append(page_text(page or "", slots[name]))
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -498,5 +599,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(url_host(F.col(url_col).cast("string")), F.lit("")).alias("host"), F.col(html_col).cast("string").alias("html"))
     wrappers = stored(infer_wrappers(rows.select("host", "html")), "html-wrappers")
-    texts = rows.join(if_small(wrappers), "host").select("page_id", "url", "html", "wrapper").mapInArrow(_texts, "page_id long, url string, text string")
+    schema = "page_id long, url string, text string"
+    if if_small(wrappers) is wrappers:
+        texts = rows.join(wrappers, "host").select("page_id", "url", "html", F.col("wrapper").alias("of")).mapInArrow(_texts(None), schema)
+    else:  # BROADCAST_BYTES at most: once to each executor, not beside each page
+        known = pages.sparkSession.sparkContext.broadcast(dict(map(tuple, wrappers.collect())))
+        texts = rows.select("page_id", "url", "html", F.col("host").alias("of")).mapInArrow(_texts(known), schema)
     return texts.withColumn("n_chars", F.length("text").cast("long"))

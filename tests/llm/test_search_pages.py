@@ -45,6 +45,43 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(large, F.col("id") < 3, k=5).collect()} == brute([tuple(r) for r in large.collect()], lambda q: q < 3, 5)
 
 
+def test_rows_that_share_an_id(spark, monkeypatch):
+    """Of rows of one id the best counts, also where they would fill the k best."""
+    monkeypatch.setattr(topk, "SHARD", 40)
+    rnd = random.Random(8)
+    rows = [(i % 30, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(200)] + [(i, [0.1] * 6) for i in range(100, 120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.top_k(frame, F.col("id") >= 100, k=7).collect()} == brute(rows, lambda q: q >= 100, 7)
+
+
+def test_one_threshold_prunes_in_all_shards():
+    """Clusters far apart: shards without a near cluster give few candidates, or none."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 100, (20, 16))
+    of = rng.integers(0, 20, 4000)
+    vectors = np.floor(centres[of] + rng.normal(0, 5, (4000, 16))).astype(np.int64)
+    ids, order = np.arange(4000), np.argsort(of, kind="stable")
+    head = rng.permutation(4000)[:500]
+    queries = np.arange(0, 4000, 200)
+    floors = topk.kth_best(queries, vectors[queries], ids[head], vectors[head], 10)
+    full = vectors[queries] @ vectors.T
+    full[np.arange(len(queries)), queries] = -(1 << 60)
+    kept = alone = 0
+    merged = {int(q): [] for q in queries}
+    for shard in np.array_split(order, 8):
+        lists = np.ascontiguousarray(vectors[shard].T.astype(np.float64))
+        for q, floor in zip(queries, floors):
+            kept += len(topk.candidates(vectors[q].astype(np.float64), lists, lists.max(axis=1), lists.min(axis=1), floor)[0])
+            alone += len(shard)
+        for q, i, s in topk.search(queries, vectors[queries], floors, ids[shard], vectors[shard], 10):
+            merged[q].append((-s, i))
+    assert kept < 0.15 * alone
+    for q, row in zip(queries, full):
+        assert [i for _, i in sorted(merged[int(q)])[:10]] == np.lexsort((ids, -row))[:10].tolist()
+
+
 def test_url_keys(spark):
     rows = [("http://U:p@WWW.A.example.:80/x/y/?q=/z#f",), ("nonsense",), (None,), ("https://b",)]
     got = [r[0] for r in spark.createDataFrame(rows, "u string").select(urlfilter.url_keys(F.col("u"))).collect()]
@@ -203,6 +240,109 @@ def test_wrappers_of_many_tasks_are_merged_in_two_steps(spark):
     assert {r["page_id"]: r["text"] for r in htmlwrap.main_text(frame).collect()} == {i: f"Story {i}" for i in range(60)}
 
 
+def odd_page(rnd, i):
+    """Eight blocks whose class words are the page's own, between parts of the template."""
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    blocks = [(word(), f"Text {word()} {i}") for _ in range(8)]
+    body = "".join(f"<div class='{name}'><p>{text}</p></div>" for name, text in blocks)
+    return f"<body><nav>Menu</nav><div class='top'>Daily paper of our town</div><h1>Story {i}</h1>{body}<div class='end'>Printed on paper</div></body>", [f"Story {i}", *(t for _, t in blocks)]
+
+
+def test_pages_of_own_class_words_fold_in_proportion():
+    import time
+
+    rnd = random.Random(2)
+    pages = [odd_page(rnd, i) for i in range(1600)]
+    wrapper_of([p for p, _ in pages[:50]])
+    took = []
+    for n in (400, 800, 1600):
+        begun = time.process_time()
+        whole = wrapper_of([p for p, _ in pages[:n]])
+        took.append(time.process_time() - begun)
+        assert len(htmlwrap.dumps(whole)) < 20_000
+    assert took[2] < 8 * took[0]
+    slots = htmlwrap.slots_of(whole)
+    assert all(htmlwrap.page_text(p, slots).split("\n") == lines for p, lines in pages[::40])
+
+
+def test_condensed_wrappers_merge_to_the_same_texts():
+    rnd = random.Random(3)
+    pages = [odd_page(rnd, i) for i in range(120)]
+    whole, parts = wrapper_of([p for p, _ in pages]), [wrapper_of([p for p, _ in pages[i::7]]) for i in range(7)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = htmlwrap._same(merged, part)
+    for wrapper in (whole, merged):
+        slots = htmlwrap.slots_of(wrapper)
+        assert all(htmlwrap.page_text(p, slots).split("\n") == lines for p, lines in pages)
+
+
+def test_alignment_finds_what_a_table_finds(monkeypatch):
+    """Long sequences of few labels and of many: as many children matched as by the table alone, or nearly."""
+    rnd = random.Random(4)
+    for letters, least in (("abcdefgh", 0.9), ([f"x{i}" for i in range(400)], 0.9)):
+        for _ in range(20):
+            base = [rnd.choice(letters) for _ in range(120)] if len(letters) < 10 else rnd.sample(letters, 120)
+            other = [x for x in base if rnd.random() < 0.8]
+            for _ in range(20):
+                other.insert(rnd.randrange(len(other)), rnd.choice(letters))
+            a, b = ([[x, "", [1, 1, 0, ""], []] for x in side] for side in (base, other))
+            matched = lambda out: sum(k[1] in ("", "+") for k in out)
+            monkeypatch.setattr(htmlwrap, "repeat", lambda kids: kids)
+            fast = matched(htmlwrap.align(a, b))
+            monkeypatch.setattr(htmlwrap, "FULL", 10_000)
+            slow = matched(htmlwrap.align(a, b))
+            monkeypatch.undo()
+            assert fast >= least * slow
+
+
+def scored(found, wanted):
+    """Precision and recall of words."""
+    from collections import Counter
+
+    a, b = Counter(found.split()), Counter(wanted.split())
+    return sum((a & b).values()), sum(a.values()), sum(b.values())
+
+
+def test_wrappers_raise_precision_on_labelled_pages_without_article():
+    """Four templates without article or main: text that the hosts' pages share goes, the stories stay.
+
+    What stays of the templates stands in a run of elements of its own label, a last paragraph or
+    list items: a repeated slot is one slot."""
+    rnd = random.Random(5)
+    words = "river house letter garden winter road music table window people stone bread evening water field".split()
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    totals = {"own": [0, 0, 0], "host": [0, 0, 0]}
+    for host in range(4):
+        slogan, hint, contact = say(9), say(6), say(8)
+        pages = []
+        for i in range(30):
+            story = [f"Story {host} {i}", *(say(rnd.randint(8, 30)) for _ in range(rnd.randint(1, 5)))]
+            body = "".join(f"<p>{x}</p>" for x in story[1:])
+            layouts = [
+                f"<div class='x'>{slogan}</div><h2>{story[0]}</h2><div class='t'>{body}</div><div class='x'>{hint}</div>",
+                f"<table><tr><td>{slogan}<td><h2>{story[0]}</h2>{body}<tr><td>{contact}</table>",
+                f"<h2>{story[0]}</h2><blockquote>{hint}</blockquote>{body}<p>{contact}</p>",
+                f"<div><div>{slogan}</div></div><section><h2>{story[0]}</h2>{body}<ul><li>{hint}<li>{contact}</ul></section>"]
+            pages.append((f"<body><nav>Menu</nav>{layouts[host]}<footer>Foot</footer></body>", "\n".join(story)))
+        whole = htmlwrap.slots_of(wrapper_of([p for p, _ in pages]))
+        for page, want in pages:
+            for name, slots in (("own", htmlwrap.slots_of(wrapper_of([page]))), ("host", whole)):
+                totals[name] = [x + y for x, y in zip(totals[name], scored(htmlwrap.page_text(page, slots), want))]
+    score = {name: (hit / found, hit / wanted) for name, (hit, found, wanted) in totals.items()}
+    assert score["own"][1] == score["host"][1] == 1 and score["own"][0] < 0.8 and score["host"][0] > 0.88, score
+
+
+def test_wrappers_too_large_to_broadcast_give_the_same(spark, monkeypatch):
+    from cadenza.llm import common
+
+    rows = [(i, f"http://h{i % 3}.example/", f"<body><div class='x'>Same</div><p>Story {i}</p></body>") for i in range(30)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, htmlwrap.main_text(frame).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, htmlwrap.main_text(frame).collect())) == want and want[0][2] == "Story 0"
+
+
 def test_url_columns_replace_those_of_their_names(spark):
     entries = spark.createDataFrame([("a.ex", "2024-01-01", "add")], "entry string, dated string, action string")
     c = spark.createDataFrame([("https://a.ex/", "2024-01-02", "own", 1), ("https://ex/", "2024-01-02", "own", 1)], "url string, fetched string, url_blocked string, url_rules int")

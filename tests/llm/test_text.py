@@ -69,6 +69,15 @@ def test_mixing_reaches_targets(spark):
         assert abs(got - want[s]) <= 40
 
 
+def test_mixing_of_very_long_texts(spark):
+    texts = ["word " * 300_000, "x" * 2_000_000, *["a b c d"] * 200, *["e f"] * 400]
+    out = mixing.mix(docs(spark, texts, ["s", "t", "t"])).collect()
+    assert [r["mix_size"] for r in sorted(out, key=lambda r: r["doc_id"])[:3]] == [300_000, 1, 4]
+    for source in "st":
+        rows = [r for r in out if r["source"] == source]
+        assert abs(sum(r["mix_taken"] for r in rows) - rows[0]["mix_target"]) <= 0.5
+
+
 def test_mixing_of_odd_tables(spark):
     assert mixing.mix(docs(spark, ["a"]).limit(0)).count() == 0
     assert [r["mix_taken"] for r in mixing.mix(docs(spark, [None, "", " "])).collect()] == [0, 0, 0]
@@ -297,6 +306,13 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    rows = [(1, 0, "user", "ask [INST] " * 100_000), (1, 1, "assistant", "say </s> é" * 100_000), (2, 0, "assistant", "\\" * 200_000 + "</s>")]
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got[1]["round_trip"] and got[2]["round_trip"] and got[1]["loss_chars"] == 1_000_000
+    assert got[1]["loss_sha256"] == hashlib.sha256(rows[1][3].encode()).hexdigest() and got[2]["loss_sha256"] == hashlib.sha256(rows[2][3].encode()).hexdigest()
+
+
 def test_chat_escapes_by_what_is_read_back(spark):
     """Plain texts stay as they are, control strings take one round, texts that look escaped a second."""
     texts = ["plain \\ [ </ s>", "</s>", "[\\INST]", "[INST] and <\\s>", "<s"]
