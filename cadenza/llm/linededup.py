@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, carried, connected_components, having, if_small, stored
+from cadenza.llm.common import blocks, carried, connected_components, having, if_small, settled, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -149,20 +149,23 @@ def shingles(line: str) -> set[str]:
 def _coded(lines: list[str]) -> list[np.ndarray] | None:
     """The shingles of lines as sorted integers, code points of 12 bits each; None if a line has
     others.  A short line is filled up with line feeds."""
-    out = []
-    for line in lines:
-        points = np.frombuffer(line.ljust(SHINGLE, "\n").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        if points.max() >> 12:
-            return None
-        n = len(points) - SHINGLE + 1
-        codes = points[:n].copy()
-        for i in range(1, SHINGLE):
-            codes <<= 12
-            codes |= points[i : i + n]
-        codes.sort()
-        first = np.ones(n, bool)
-        np.not_equal(codes[1:], codes[:-1], out=first[1:])
-        out.append(codes[first])
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if points.max() >> 12:
+        return None
+    n = len(points) - SHINGLE + 1
+    codes = points[:n].copy()
+    for i in range(1, SHINGLE):
+        codes <<= 12
+        codes |= points[i : i + n]
+    out, at = [], 0
+    for x in padded:  # shingles that reach from one line into the next are none
+        own = codes[at : at + len(x) - SHINGLE + 1]
+        own.sort()
+        first = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        out.append(own[first])
+        at += len(x)
     return out
 
 
@@ -177,7 +180,7 @@ def _shared(a, b) -> int:
         return len(a & b)
     both = np.concatenate((a, b))
     both.sort()
-    return int((both[1:] == both[:-1]).sum())
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def _few(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -296,10 +299,11 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
         *long_hash(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     lines = stored(rows.mapInArrow(_lines, _PLACES), "lines")
-    distinct = stored(lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS)), "lines-distinct")
+    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS))
     texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
     texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
-    parts = stored(connected_components(stored(line_links(distinct, texts), "lines-links")), "lines-parts")
+    links = settled(lambda: line_links(stored(distinct, "lines-distinct"), texts), "lines-links")
+    parts = stored(connected_components(links), "lines-parts")
     parts = parts.select("node._h1", "node._h2", "component")
     at = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2")
     counts = lines.groupBy("_h1", "_h2").agg(F.min(at).alias("_first"), F.count("*").alias("n"))
@@ -330,7 +334,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat or be null.  An empty table gives an empty one; other columns are carried along, but
     for one named n_dropped_lines, which gives way.
     """
-    drop = if_small(stored(repeated_lines(docs, id_col, text_col), "lines-gone"))
+    drop = if_small(settled(lambda: repeated_lines(docs, id_col, text_col), "lines-gone"))
     names = carried(docs, "n_dropped_lines")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *long_hash(F.col(id_col), F.col(text_col)))
     whole = F.col(f"_row.`{text_col}`").cast("string")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, connected_components, if_small, lower_hex, stored
+from cadenza.llm.common import blocks, connected_components, if_small, lower_hex, settled, stored
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -154,8 +154,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kw) -> Da
 
     Rows that share the smallest id of a group all stay, and so do rows without an id.
     """
-    out = near_duplicates(docs, id_col, **kw).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = if_small(stored(out, "simhash-gone"))
+    out = lambda: near_duplicates(docs, id_col, **kw).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = if_small(settled(out, "simhash-gone"))
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
 
 
