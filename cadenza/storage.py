@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -55,14 +56,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so when the driver's JVM has
+    collected what refers to them, which may else be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def settled(build: Callable[[], DataFrame], label: str) -> DataFrame:
     """What build() returns, stored; the tables that it stored on its way, which nothing else may
-    read, are deleted."""
+    read, are deleted, and its shuffle files with them."""
     _MADE.append([])
     try:
         out = stored(build(), label)
     finally:
         made = _MADE.pop()
+    release(out.sparkSession)
     for path in made[:-1]:
         target, fs = _place(out.sparkSession, path)
         fs.delete(target, True)
