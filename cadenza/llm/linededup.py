@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, carried, connected_components, having, if_small, settled, stored
+from cadenza.llm.common import blocks, carried, connected_components, having, if_small, release, settled, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -268,7 +268,9 @@ def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     bands = [x for i, c in enumerate(_PAIRS) for x in (
         F.col(c).bitwiseAND(low).bitwiseOR(number(2 * i)), F.shiftrightunsigned(c, 32).bitwiseOR(number(2 * i + 1)))]
     rows = lines.select("_h1", F.explode(F.array(*bands)).alias("band"))
+    release(lines.sparkSession)
     full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "lines-bands")
+    release(lines.sparkSession)
     members = stored(having(rows, full, "band"), "lines-members")
     wanted = stored(members.select("_h1").distinct(), "lines-wanted")
     found = stored(having(texts, wanted, "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
