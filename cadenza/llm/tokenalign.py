@@ -38,7 +38,6 @@ _CUT = re.compile(r"(?<=[^\s\x85\u180e])(?= .)", re.S)
 _UNEVEN = re.compile(r"[\s\x85\u180e] ")
 #: So much white space on end tiktoken's pattern can't backtrack over.
 _BLANKS = re.compile(r"[\s\x85\u180e]{500}")
-_WHITE_END = re.compile(r"[\s\x85\u180e]\Z")
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -62,7 +61,7 @@ class Side:
 
     def __init__(self, path: str):
         self.runs: dict[str, int] = {}
-        self.cuts = False
+        self.cuts = self.lossless = False
         if path.endswith(".json"):
             names, self.one = self._byte_level(path)
             alphabet = byte_level_alphabet()
@@ -73,13 +72,13 @@ class Side:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.token = [bytes([int(n[3:5], 16)]) if model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-            self.one: Callable[[str], list[int]] = lambda text: model.encode(text[1:], num_threads=1)
+            self.one: Callable = lambda text: model.encode(text[1:], num_threads=1)
             self.cuts = not any(re.search("[^▁]▁", n) for n in names)
         self.length = np.array([len(t) for t in self.token], np.int64)
         self.kind = np.dtype("<u2" if len(self.token) <= 1 << 16 else "<u4")
         self.forget()
 
-    def _byte_level(self, path: str) -> tuple[list[tuple[str, bool]], Callable[[str], list[int]]]:
+    def _byte_level(self, path: str) -> tuple[list[tuple[str, bool]], Callable]:
         """The names of a tokenizers file's ids, with whether they are special, and its encoder."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
@@ -95,11 +94,12 @@ class Side:
         merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
         ids = [spec["model"]["vocab"][m.replace(" ", "", 1)] for m in merges]
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and spec["normalizer"] is None
+        self.lossless = bool(plain)  # the bytes of such a vocabulary's tokens are the text's, whatever it is
         if plain and ids == list(range(256, 256 + len(ids))):
             alphabet = byte_level_alphabet()
             ranks = {bytes(alphabet[c] for c in n): i for i, (n, other) in enumerate(names) if not other}
-            fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            return names, lambda text: own.encode(text, add_special_tokens=False).ids if _BLANKS.search(text) else fast(text)
+            fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            return names, lambda text: own.encode(text, add_special_tokens=False).ids if _BLANKS.search(text) else fast(text, disallowed_special=())
         return names, lambda text: own.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
@@ -128,7 +128,7 @@ class Side:
         if len(runs) == 1:
             return ids, np.array([len(ids)]), np.array([good])
         if good:
-            sizes = np.fromiter((len(r.encode()) for r in runs), np.int64, len(runs))
+            sizes = np.fromiter(map(len, map(str.encode, runs)), np.int64, len(runs))
             last = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum(sizes))
             return ids, np.diff(last, prepend=-1), np.ones(len(runs), bool)
         half = len(runs) // 2
@@ -138,7 +138,7 @@ class Side:
         """Add runs to the table: those that end in white space each by itself."""
         apart, together = [], []
         for r in new:
-            (apart if _WHITE_END.search(r) else together).append(r)
+            (apart if r[-1].isspace() or r[-1] == "\u180e" else together).append(r)
         found = [self.ask(together[i : i + ASKED]) for i in range(0, len(together), ASKED)] + [self.ask([r]) for r in apart]
         self.runs.update(zip(together + apart, range(len(self.runs), len(self.runs) + len(new))))
         ids, counts, good = zip(*found)
@@ -153,6 +153,8 @@ class Side:
         """The ids of each text, which begins with a space; None where their bytes are not the text's."""
         if not texts:
             return []
+        if self.lossless:
+            return [np.asarray(self.one(t)).astype(self.kind) for t in texts]
         if not self.cuts:
             return [ids if self._spells(ids, t) else None for ids, t in ((np.array(self.one(t), self.kind), t) for t in texts)]
         if len(self.runs) > RUNS:
