@@ -24,7 +24,7 @@ def calibration(spark: SparkSession) -> float:
     best = float("inf")
     for _ in range(3):
         start = time.perf_counter()
-        spark.range(4_000_000).select(F.xxhash64("id").alias("x")).repartition(16, "x").sortWithinPartitions("x").groupBy((F.col("x") % 1000).alias("k")).agg(F.sum("x")).write.format("noop").mode("overwrite").save()
+        spark.range(4_000_000).select(F.xxhash64("id").alias("x")).repartition(16, "x").sortWithinPartitions("x").groupBy((F.col("x") % 1000).alias("k")).agg(F.max("x")).write.format("noop").mode("overwrite").save()
         best = min(best, time.perf_counter() - start)
     return best
 
