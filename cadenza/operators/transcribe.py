@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,25 +107,32 @@ def _unpacked(group: DataFrame) -> DataFrame:
     return kept.select("track_id", "_n.frame_idx", "pitch", "_n.start", "_n.end", "_n.velocity", "_n.confidence")
 
 
-def _chained(group: pd.DataFrame) -> pd.DataFrame:
-    """Chunks of a track's pitch, in what each may be entered with and is then left with -> what it
-    is entered with, and whether that goes; one short row for each chunk."""
-    group, now, entered, gone = group.sort_values("_chunk"), None, [], []
-    for ins, outs, replaced, fresh in zip(group["_ins"], group["_outs"], group["_replaced"], group["_fresh"]):
-        at = list(ins).index(now) if now is not None and now in ins else -1
-        entered.append(None if at < 0 else now)
-        gone.append(bool(at >= 0 and replaced[at]))
-        now = fresh if at < 0 else outs[at]
-    out = group[["track_id", "pitch", "_chunk"]].copy()
-    out["_entered"], out["_gone"] = pd.array(entered, "Int64"), gone
-    return out
+def _entered(tables: DataFrame) -> DataFrame:
+    """Chains of chunks, each with what it may be entered with and is then left with -> for each
+    chunk what it is entered with, and whether its last survivor is replaced by the next chunk.
+
+    Chains are folded inside the JVM: a Python worker takes milliseconds for each group, and most
+    have a few chunks.  Places are gathered in lists of up to 256, as in _survivors().
+    """
+    links = tables.groupBy("track_id", "pitch", "_chain").agg(F.array_sort(F.collect_list(F.struct("_chunk", "_ins", "_outs", "_replaced", "_fresh"))).alias("_links"))
+    at = "coalesce(CAST(array_position(transform(x._ins, s -> s.frame_idx), a.now) AS int), 0)"  # from 1; 0: none
+    now = f"'now', coalesce(get(x._outs, {at} - 1), x._fresh)"
+    places = F.expr(f"""flatten(aggregate(_links,
+        named_struct('full', CAST(array() AS array<array<int>>), 'done', CAST(array() AS array<int>), 'now', CAST(NULL AS bigint)), (a, x) -> CASE
+        WHEN size(a.done) < 255 THEN named_struct('full', a.full, 'done', array_append(a.done, {at}), {now})
+        ELSE named_struct('full', array_append(a.full, array_append(a.done, {at})), 'done', CAST(array() AS array<int>), {now}) END,
+        a -> array_append(a.full, a.done)))""")
+    chunk = """transform(_links, (x, i) -> named_struct('_chunk', x._chunk, '_s', get(x._ins, get(_at, i) - 1),
+        '_gone', coalesce(get(get(_links, i + 1)._replaced, get(_at, i + 1) - 1), false)))"""
+    return links.withColumn("_at", places).select("track_id", "pitch", F.inline(F.expr(chunk)))
 
 
 def _dedupe_by_chunk(notes: DataFrame, within: float, seconds: float) -> DataFrame:
     """A chunk can only be entered with a survivor from the last `within` seconds before its first
-    note, of which there are few.  It is folded for each of them, and without any; these tables of
-    what goes in and out are chained along the track, and then each chunk is folded once more
-    with what does enter it.  Its last survivor stays unless the next chunk replaces it.
+    note, of which there are few, and mostly none.  Where there are some it is folded for each of
+    them, and without any; these tables of what goes in and out are chained, from a chunk that
+    nothing enters to the next such, and then each chunk is folded with what does enter it.  Its
+    last survivor stays unless the next chunk replaces it.
     """
     if seconds <= within:
         raise ValueError("a chunk must be longer than the time in which notes are duplicates")
@@ -137,19 +143,16 @@ def _dedupe_by_chunk(notes: DataFrame, within: float, seconds: float) -> DataFra
     edges = groups.select(
         *by, F.expr("_notes[0].start").alias("_first"),
         F.expr(f"filter(_notes, x -> element_at(_notes, -1).start - x.start < {2 * within}D)").alias("_tail"))  # of neighbours, more than can enter
-    edges = edges.withColumn("_tail", F.lag("_tail").over(along))
     entering = F.expr(f"filter(coalesce(_tail, array()), x -> abs(x.start - _first) < {within}D)")
-    groups = stored(joined(groups, edges.select(*by, entering.alias("_ins")), by), "dedupe-tables")
+    edges = edges.withColumn("_tail", F.lag("_tail").over(along)).select(*by, entering.alias("_ins")).withColumn("_open", F.size("_ins") > 0)
+    edges = edges.withColumn("_chain", F.count_if(~F.col("_open")).over(along)).withColumn("_next", F.lead("_open", 1, False).over(along))
+    linked = joined(edges.filter("_open OR _next").drop("_open", "_next"), groups, by)
     left = lambda s: f"aggregate(_notes, {s}, (a, x) -> CASE WHEN abs(a.start - x.start) >= {within}D OR x.confidence > a.confidence THEN x ELSE a END)"
     first_other = f"filter(_notes, x -> abs(s.start - x.start) >= {within}D OR x.confidence > s.confidence)"
-    tables = groups.select(
-        *by, F.expr("transform(_ins, s -> s.frame_idx)").alias("_ins"), F.expr(f"transform(_ins, s -> {left('s')}.frame_idx)").alias("_outs"),
+    tables = linked.select(
+        *by, "_chain", "_ins", F.expr(f"transform(_ins, s -> {left('s')}.frame_idx)").alias("_outs"),
         F.expr(f"transform(_ins, s -> coalesce(abs(s.start - get({first_other}, 0).start) < {within}D, false))").alias("_replaced"), F.expr(f"{left('_notes[0]')}.frame_idx").alias("_fresh"))
-    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    chain = tables.groupBy("track_id", "pitch").applyInPandas(_chained, f"track_id {kinds['track_id']}, pitch {kinds['pitch']}, _chunk long, _entered long, _gone boolean")
-    chain = stored(chain, "dedupe-chain")
-    chain = chain.withColumn("_gone", F.coalesce(F.lead("_gone").over(along), F.lit(False)))
-    groups = joined(groups, chain, by).withColumn("_s", F.expr("get(filter(_ins, x -> x.frame_idx = _entered), 0)"))
+    groups = joined(groups, _entered(tables), by)
     groups = groups.withColumn("_all", _survivors(within, "_s.start", "_s.confidence", "IF(_s IS NULL, CAST(NULL AS int), -1)"))
     left_over = F.when(F.col("_gone"), F.expr("slice(_all, 1, size(_all) - 1)")).otherwise(F.col("_all"))
     return _unpacked(groups.withColumn("_kept", F.filter(left_over, lambda i: i >= 0)))

@@ -142,3 +142,28 @@ def test_exact_starts_are_repeated_sums(spark):
         inside = windows.window_notes(table, size, exact=True).filter("recording_id = 1").collect()
         want = {(i, n) for i, (a, b) in enumerate(starts) for n, s, e in ((0, 0.0, total), (1, 0.05, 0.4)) if s < b and e > a}
         assert {(r["window_idx"], r["note_id"]) for r in inside} == want and len(inside) == len(want)
+
+
+def dense_track(spark, step=1):
+    """A track of one pitch whose notes, but for those left out by `step`, are near duplicates of their neighbours."""
+    i = F.col("id")
+    return spark.range(0, 1500, step).select(
+        F.lit(1).cast("long").alias("track_id"), i.alias("frame_idx"), F.lit(60).alias("pitch"), (i * 0.07).alias("start"),
+        (i * 0.07 + 0.1).alias("end"), F.lit(80).alias("velocity"), (F.pmod(F.xxhash64("id"), F.lit(5)) / 5).alias("confidence"))
+
+
+def entered(monkeypatch, track):
+    """What chunks of 0.11 s are entered with."""
+    made, own = [], transcribe._entered
+    monkeypatch.setattr(transcribe, "_entered", lambda tables: made.append(own(tables)) or made[-1])
+    transcribe.dedupe(track, seconds=0.11)
+    return made[0]
+
+
+def test_chains_of_chunks_are_folded_in_the_jvm(spark, monkeypatch):
+    """No group of a track's pitch costs a call of Python, and a chain of over 256 chunks is one."""
+    track = dense_track(spark)
+    assert rows(transcribe.clean(track, 0.11)) == rows(transcribe.clean(track))
+    chain = entered(monkeypatch, track)
+    assert "InPandas" not in chain._jdf.queryExecution().optimizedPlan().toString()
+    assert chain.count() == chain.select("_chunk").distinct().count() > 256
