@@ -167,3 +167,9 @@ def test_chains_of_chunks_are_folded_in_the_jvm(spark, monkeypatch):
     chain = entered(monkeypatch, track)
     assert "InPandas" not in chain._jdf.queryExecution().optimizedPlan().toString()
     assert chain.count() == chain.select("_chunk").distinct().count() > 256
+
+
+def test_chunks_that_nothing_enters_are_not_chained(spark, monkeypatch):
+    track = dense_track(spark, 2)
+    assert entered(monkeypatch, track).count() == 0
+    assert rows(transcribe.dedupe(track, seconds=0.11)) == rows(track)
