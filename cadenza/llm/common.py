@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from cadenza.storage import release, scratch_dir, scratch_path, settled, stored
+from cadenza.storage import discard, release, scratch_dir, scratch_path, settled, stored
 
 __all__ = [
-    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "having", "if_small", "lower_hex", "release", "scratch_path", "settled", "shuffle_partitions", "stored"]
+    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "discard", "having", "if_small", "lower_hex", "release", "scratch_path", "settled", "shuffle_partitions", "stored"]
 
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

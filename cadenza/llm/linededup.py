@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, carried, connected_components, having, if_small, release, settled, stored
+from cadenza.llm.common import blocks, bounded_batches, carried, connected_components, discard, having, if_small, release, settled, shuffle_partitions, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -26,6 +26,9 @@ FEW = 32
 #: Seeds of a line's two hashes, those of xxhash64(line) and xxhash64(1, line) in SQL.
 SEEDS = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
 
+#: Bands that are counted together, by one group of a task, and lines whose bands a task sends at a time.
+SHARD, _FLUSH = 1 << 20, 1 << 15
+
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: Signatures with at most so many filled bins fill the others by rank, those with more by trial.
@@ -142,6 +145,70 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PLACES.split(", ")])
 
 
+def _packed(bands: np.ndarray) -> bytes:
+    """Bands, which are numbers of 40 bits, in five bytes each."""
+    return bands.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<i8").ravel()
+
+
+def _sharded(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Band hashes of distinct lines -> for each shard, a range of hashes, the bands in it: those
+    met once, packed, and those met more often, with how often."""
+    edges = (np.arange(1, shards, dtype=np.int64) << 32) // shards << 8
+
+    def sent(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.ascontiguousarray(np.concatenate(pairs)).view(np.uint32)
+        bands, n = np.unique((hashes.astype(np.int64) << 8 | np.arange(BANDS)).ravel(), return_counts=True)
+        ends = np.searchsorted(bands, edges).tolist()
+        rows = []
+        for shard, (a, b) in enumerate(zip([0, *ends], [*ends, len(bands)])):
+            if a < b:
+                own, held = bands[a:b], n[a:b]
+                rows.append((shard, _packed(own[held == 1]), np.stack((own, held), axis=1)[held > 1].astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "once", "more"])
+
+    held, lines = [], 0
+    for batch in batches:
+        held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1))
+        lines += batch.num_rows
+        if lines >= _FLUSH:
+            yield sent(held)
+            held, lines = [], 0
+    if lines:
+        yield sent(held)
+
+
+def _full(shard: pa.Table) -> pa.Table:
+    """The bands of one shard that more than one line has, and how many."""
+    bands, n = np.unique(_unpacked(b"".join(shard.column("once").to_pylist())), return_counts=True)
+    more = np.frombuffer(b"".join(shard.column("more").to_pylist()), "<i8").reshape(-1, 2)
+    often, which = np.unique(more[:, 0], return_inverse=True)
+    count = np.zeros(len(often), np.int64)
+    np.add.at(count, which, more[:, 1])
+    at = np.searchsorted(bands, often)
+    both = np.flatnonzero(at < len(bands))
+    both = both[bands[at[both]] == often[both]]
+    count[both] += n[at[both]]
+    n[at[both]] = 0
+    return pa.table({"band": np.concatenate((bands[n > 1], often)), "n": np.concatenate((n[n > 1], count))})
+
+
+def full_bands(lines: DataFrame) -> DataFrame:
+    """(band, n): the bands that n distinct lines have, two or more; a band is named by its hash and
+    its number.  Nearly all have one line: to sort packed ones takes a fraction of what an
+    aggregate of a row for each does."""
+    spark = lines.sparkSession
+    shards = max(shuffle_partitions(spark), -(-lines.count() * BANDS // SHARD))
+    sent = lines.select(*_PAIRS).mapInArrow(lambda batches: _sharded(batches, shards), "shard int, once binary, more binary")
+    with bounded_batches(spark):
+        return stored(sent.groupBy("shard").applyInArrow(_full, "band long, n long"), "lines-bands")
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -264,14 +331,22 @@ def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     line: should two share it, both are fetched.  Buckets are counted first, so that the many of
     one line alone go no further.
     """
-    low, number = F.lit((1 << 32) - 1), lambda i: F.lit(i << 32)
+    return _member_links(_members(lines), texts)
+
+
+def _members(lines: DataFrame) -> DataFrame:
+    """(band, n, _h1): the lines of all bands that n of them share."""
+    low, named = F.lit((1 << 32) - 1), lambda h, i: F.shiftleft(h, 8).bitwiseOR(F.lit(i).cast("long"))
     bands = [x for i, c in enumerate(_PAIRS) for x in (
-        F.col(c).bitwiseAND(low).bitwiseOR(number(2 * i)), F.shiftrightunsigned(c, 32).bitwiseOR(number(2 * i + 1)))]
+        named(F.col(c).bitwiseAND(low), 2 * i), named(F.shiftrightunsigned(c, 32), 2 * i + 1))]
     rows = lines.select("_h1", F.explode(F.array(*bands)).alias("band"))
     release(lines.sparkSession)
-    full = stored(rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "lines-bands")
+    full = full_bands(lines)
     release(lines.sparkSession)
-    members = stored(having(rows, full, "band"), "lines-members")
+    return stored(having(rows, full, "band"), "lines-members")
+
+
+def _member_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = stored(members.select("_h1").distinct(), "lines-wanted")
     found = stored(having(texts, wanted, "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
     long = found.filter(F.length("line") >= UNIT).groupBy("_h1").agg(F.max(F.floor(F.length("line") / UNIT)).alias("more"))
@@ -280,6 +355,7 @@ def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = blocks(members, "band", "weight", "_h1", BLOCK)
     sets = dealt.groupBy("block").agg(F.array_sort(F.collect_set("_h1")).alias("set")).select("set").distinct()
     sets = stored(sets.select(F.struct(*long_hash(F.col("set"))).alias("block"), "set"), "lines-blocks")
+    release(members.sparkSession)
     placed = sets.select("block", F.explode("set").alias("_h1")).join(if_small(found), "_h1")
     lines = placed.groupBy("block").agg(F.collect_list(F.struct("_h1", "_h2", "line")).alias("lines"))
     links = lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long").distinct()
@@ -294,26 +370,30 @@ def long_hash(*cols: Column) -> tuple[Column, Column]:
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_k1, _k2, _drop array<int>): the lines that go, for each document that loses some.
 
-    _k1 and _k2 are long_hash() of the document's id and text.  Each distinct line is counted and its
-    first place found; of all lines only those that come again, or are similar to others, are
-    looked up once more.
+    _k1 and _k2 are long_hash() of the document's id and text.  Each distinct line is counted; of all
+    lines only those that come again, or are similar to others, are looked up once more, and
+    the first place of each group of them is kept.
     """
     rows = docs.select(
         *long_hash(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     lines = stored(rows.mapInArrow(_lines, _PLACES), "lines")
-    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS))
+    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS), F.count("*").alias("n"))
+    distinct = stored(distinct, "lines-distinct")
     texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
     texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
-    links = settled(lambda: line_links(stored(distinct, "lines-distinct"), texts), "lines-links")
+    again = stored(distinct.filter("n > 1").select("_h1", "_h2"), "lines-again")
+    members = _members(distinct)
+    discard(distinct)
+    links = settled(lambda: _member_links(members, texts), "lines-links")
+    discard(members)
     parts = stored(connected_components(links), "lines-parts")
     parts = parts.select("node._h1", "node._h2", "component")
-    at = F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2")
-    counts = lines.groupBy("_h1", "_h2").agg(F.min(at).alias("_first"), F.count("*").alias("n"))
-    repeated = stored(counts.join(if_small(parts), ["_h1", "_h2"], "left").filter("n > 1 OR component IS NOT NULL"), "lines-repeated")
-    least = stored(repeated.filter("component IS NOT NULL").groupBy("component").agg(F.min("_first").alias("_kept")), "lines-least")
-    kept = repeated.join(if_small(least), "component", "left").select("_h1", "_h2", F.coalesce("_kept", "_first").alias("_kept"))
-    places = lines.select("_h1", "_h2", "_k1", "_k2", "_doc", "_line")
-    gone = having(places, stored(kept, "lines-kept"), "_h1", "_h2").filter(at != F.col("_kept"))
+    repeated = again.join(parts, ["_h1", "_h2"], "full")
+    repeated = stored(repeated.select("_h1", "_h2", F.coalesce("component", F.struct("_h1", "_h2")).alias("_group")), "lines-repeated")
+    places = having(lines.select("_h1", "_h2", "_k1", "_k2", "_doc", "_line"), repeated, "_h1", "_h2")
+    places = stored(places.select("_group", F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2").alias("_at")), "lines-places")
+    kept = stored(places.groupBy("_group").agg(F.min("_at").alias("_kept")), "lines-kept")
+    gone = places.join(if_small(kept), "_group").filter("_at != _kept").select("_at.*")
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_drop"))
 
 

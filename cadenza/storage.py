@@ -56,6 +56,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that stored() returned, which nothing may read any more."""
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        target, fs = _place(df.sparkSession, folder)
+        fs.delete(target, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so when the driver's JVM has
     collected what refers to them, which may else be long after."""

@@ -3,7 +3,11 @@
 import itertools
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
@@ -209,3 +213,24 @@ def test_grids_of_any_number_of_groups_lose_no_link(spark, monkeypatch):
     near = components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
     for i, c in enumerate(near):
         assert parts.get(fps[i], fps[i]) == parts.get(fps[c], fps[c])
+
+
+def test_bands_are_counted_as_an_aggregate_counts_them(spark, monkeypatch):
+    """Bands of lines: many of one line, some of two, one of all, in shards that tasks send in several parts."""
+    rnd = np.random.default_rng(5)
+    hashes = rnd.integers(0, 1 << 32, (4000, linededup.BANDS), dtype=np.uint64).astype(np.uint32)
+    hashes[:1500:2, 3:] = hashes[1:1500:2, 3:]
+    hashes[:, 1] = 77
+    hashes[0, 0], hashes[1, 21] = 0, (1 << 32) - 1
+    want = Counter((int(h) << 8 | i) for row in hashes for i, h in enumerate(row))
+    want = sorted((b, n) for b, n in want.items() if n > 1)
+    pairs = np.ascontiguousarray(hashes).view(np.int64)
+    table = spark.createDataFrame([(i, *map(int, p)) for i, p in enumerate(pairs)], ", ".join(["_h1 long", *(f"{c} long" for c in linededup._PAIRS)]))
+    assert sorted(tuple(r) for r in linededup.full_bands(table.repartition(3)).collect()) == want
+    assert linededup.full_bands(table.limit(0)).count() == 0
+    monkeypatch.setattr(linededup, "_FLUSH", 500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in part.T.copy()], names=linededup._PAIRS) for part in np.split(pairs, 40)]
+    sent = pa.Table.from_batches(linededup._sharded(iter(batches), 5))
+    assert sent.num_rows == 8 * 5
+    got = [linededup._full(sent.filter(pc.equal(sent["shard"], k))) for k in range(5)]
+    assert sorted((b, n) for x in got for b, n in zip(x["band"].to_pylist(), x["n"].to_pylist())) == want

@@ -1,5 +1,6 @@
 """Tables between the steps of a job: what a finished step leaves behind."""
 
+import os
 import pathlib
 
 import pytest
@@ -28,3 +29,12 @@ def test_a_step_that_fails_leaves_later_ones_alone(spark):
         storage.settled(lambda: 1 / 0, "t-bad")
     kept = storage.stored(spark.range(3), "t-kept")
     assert storage.settled(lambda: kept.filter("id > 0"), "t-next").count() == 2 and kept.count() == 3
+
+
+def test_discarded_tables_leave_no_files(spark):
+    table = storage.stored(spark.range(5), "discarded")
+    folder = table.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    folder = "/" + folder.lstrip("/")
+    assert os.path.isdir(folder)
+    storage.discard(table)
+    assert not os.path.exists(folder)
