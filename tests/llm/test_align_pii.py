@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 
@@ -185,6 +186,26 @@ def model(spark):
     return pii.fit(frame.filter("doc_id < 300")), docs[300:]
 
 
+def test_emissions_take_no_new_memory_for_each_batch():
+    """Scores are those of gates written out plainly, saturated ones too, and the arrays of a batch serve the next."""
+    rng = np.random.default_rng(8)
+    m = pii.Tagger(rng)
+    m.o, m.c, m.b[0, 0] = rng.normal(size=m.o.shape), rng.normal(size=pii.LABELS), -200.0
+    d, sigmoid = pii.Decoder(m), lambda v: 0.5 * (1 + np.tanh(0.5 * v))
+    for count, length in ((5, 40), (3, 17), (7, 40)):
+        x = rng.integers(0, pii.SIZE, (count, length)).astype(np.uint8)
+        h, c, states = np.zeros((count, 2 * pii.HIDDEN)), np.zeros((count, 2 * pii.HIDDEN)), []
+        for t in range(length):
+            z = (m.inputs()[x[:, t].astype(int) * pii.SIZE + x[:, length - 1 - t]] + h @ m.recurrent()).reshape(count, 4, -1)
+            c = sigmoid(z[:, 1]) * c + sigmoid(z[:, 0]) * np.tanh(z[:, 3])
+            h = sigmoid(z[:, 2]) * np.tanh(c)
+            states.append(h)
+        both = np.concatenate([np.array(states)[:, :, : pii.HIDDEN], np.array(states)[::-1, :, pii.HIDDEN :]], axis=2)
+        assert np.allclose(d.emissions(x), (both @ m.o + m.c).transpose(2, 0, 1), atol=1e-4)
+    assert np.shares_memory(d.emissions(x), d.emissions(x))
+    assert not pickle.loads(pickle.dumps(d)).rooms  # executors get the weights alone
+
+
 def test_tagger_on_held_out_documents(model):
     tagger, held_out = model
     found = pii.tagged(tagger, [t for _, t in held_out])
