@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, Struc
 from cadenza.storage import discard, release, scratch_dir, scratch_path, settled, stored
 
 __all__ = [
-    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "discard", "having", "if_small", "lower_hex", "release", "scratch_path", "settled", "shuffle_partitions", "stored"]
+    "WORD", "blocks", "bounded_batches", "carried", "connected_components", "discard", "having", "if_small", "lower_hex", "release", "scratch_path", "settled", "shuffle_partitions", "sieved", "stored"]
 
 #: A word of every contract: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,15 +84,20 @@ def having(rows: DataFrame, wanted: DataFrame, key: str, *more: str) -> DataFram
     small = if_small(wanted)
     if small is not wanted:
         return rows.join(small, on)
+    passed = sieved(rows, wanted, key).filter("_maybe").drop("_maybe")
+    return passed.join(wanted, on)
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with _maybe: false only where wanted, a stored table, surely has no row of that key."""
     number = wanted.count()
     words = min(SIEVE_WORDS, 1 << max(4, (number // 4).bit_length()))
     place = F.xxhash64(F.lit("sieve"), key)
     word = F.pmod(place, F.lit(words)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(place, 32), F.lit(64)).cast("int"))
-    sieve = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    passed = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(sieve), "_word")
-    passed = passed.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
-    return passed.join(wanted, on)
+    sieve = stored(wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "sieve")
+    found = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(sieve), "_word", "left")
+    return found.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

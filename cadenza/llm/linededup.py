@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, bounded_batches, carried, connected_components, discard, having, if_small, release, settled, shuffle_partitions, stored
+from cadenza.llm.common import blocks, bounded_batches, carried, connected_components, discard, having, if_small, release, settled, shuffle_partitions, sieved, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -362,6 +362,15 @@ def _member_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     return links.select(F.struct(F.col("a1").alias("_h1"), F.col("a2").alias("_h2")).alias("a"), F.struct(F.col("b1").alias("_h1"), F.col("b2").alias("_h2")).alias("b"))
 
 
+def _once(lines: DataFrame, again: DataFrame) -> DataFrame:
+    """(_h1, _h2, _b0 ...): each distinct line once.  Several tasks may have met a line and given its
+    bands; only those that come again can be among them, and the others need no shuffle."""
+    met = sieved(lines.filter(F.col(_PAIRS[0]).isNotNull()).select("_h1", "_h2", *_PAIRS), again, "_h1")
+    met = met.withColumnRenamed("_maybe", "_again")
+    several = stored(met.filter("_again").drop("_again").dropDuplicates(["_h1", "_h2"]), "lines-met")
+    return met.filter("NOT _again").drop("_again").union(several)
+
+
 def long_hash(*cols: Column) -> tuple[Column, Column]:
     """128 bits that name a row, as two longs."""
     return F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit(1), *cols).alias("_k2")
@@ -372,25 +381,25 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     _k1 and _k2 are long_hash() of the document's id and text.  Each distinct line is counted; of all
     lines only those that come again, or are similar to others, are looked up once more, and
-    the first place of each group of them is kept.
+    the first place of each group of them is kept.  Bands are most of what is stored: they are
+    neither shuffled with the lines nor kept beyond the search for those that lines share.
     """
     rows = docs.select(
         *long_hash(F.col(id_col), F.col(text_col)), F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("_text"))
     lines = stored(rows.mapInArrow(_lines, _PLACES), "lines")
-    distinct = lines.groupBy("_h1", "_h2").agg(*(F.first(c, ignorenulls=True).alias(c) for c in _PAIRS), F.count("*").alias("n"))
-    distinct = stored(distinct, "lines-distinct")
+    again = stored(lines.groupBy("_h1", "_h2").agg(F.count("*").alias("n")).filter("n > 1").select("_h1", "_h2"), "lines-again")
     texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
     texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
-    again = stored(distinct.filter("n > 1").select("_h1", "_h2"), "lines-again")
-    members = _members(distinct)
-    discard(distinct)
+    members = _members(_once(lines, again))
+    places = stored(lines.drop(*_PAIRS), "lines-all")
+    discard(lines)
     links = settled(lambda: _member_links(members, texts), "lines-links")
     discard(members)
     parts = stored(connected_components(links), "lines-parts")
     parts = parts.select("node._h1", "node._h2", "component")
     repeated = again.join(parts, ["_h1", "_h2"], "full")
     repeated = stored(repeated.select("_h1", "_h2", F.coalesce("component", F.struct("_h1", "_h2")).alias("_group")), "lines-repeated")
-    places = having(lines.select("_h1", "_h2", "_k1", "_k2", "_doc", "_line"), repeated, "_h1", "_h2")
+    places = having(places, repeated, "_h1", "_h2")
     places = stored(places.select("_group", F.struct(F.col("_doc").isNull().alias("_none"), "_doc", "_line", "_k1", "_k2").alias("_at")), "lines-places")
     kept = stored(places.groupBy("_group").agg(F.min("_at").alias("_kept")), "lines-kept")
     gone = places.join(if_small(kept), "_group").filter("_at != _kept").select("_at.*")

@@ -1,6 +1,7 @@
 """Near-duplicate operators against brute force."""
 
 import itertools
+import os
 import random
 import re
 from collections import Counter
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm import linededup, simhash
 from cadenza.llm.common import blocks, connected_components
+from cadenza.storage import scratch_dir
 
 DOCS = "doc_id long, text string, source string, _key string, fp string"
 
@@ -234,3 +236,20 @@ def test_bands_are_counted_as_an_aggregate_counts_them(spark, monkeypatch):
     assert sent.num_rows == 8 * 5
     got = [linededup._full(sent.filter(pc.equal(sent["shard"], k))) for k in range(5)]
     assert sorted((b, n) for x in got for b, n in zip(x["band"].to_pylist(), x["n"].to_pylist())) == want
+
+
+def test_bands_of_lines_are_not_kept(spark, monkeypatch):
+    """Each line's bands are had once though several tasks met it, only those lines are shuffled with
+    their bands, and no table of bands is left when similar lines are compared."""
+    folder, own, once = scratch_dir(spark).removeprefix("file:"), linededup._member_links, linededup._once
+    tables = lambda: {x for x in os.listdir(folder) if re.fullmatch("cadenza-lines-[0-9a-f]{32}", x)}
+    before, left, met = tables(), [], []
+    monkeypatch.setattr(linededup, "_member_links", lambda *a: left.append(tables() - before) or own(*a))
+    monkeypatch.setattr(linededup, "_once", lambda *a: met.append((a[1].count(), sorted(map(tuple, once(*a).collect())))) or once(*a))
+    texts = [f"this line stands in every document of the table\n{chr(97 + i % 26) * 12}{str(i) * 6}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert linededup.dedup_lines(docs).filter("n_dropped_lines > 0").count() == 39
+    assert left == [set()]
+    (again, rows), = met
+    assert again == 1 and len(rows) == len({r[:2] for r in rows}) == 41
+    assert all(None not in r for r in rows)
