@@ -104,17 +104,18 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 #: Columns of two band hashes each.
 _PAIRS = [f"_b{i}" for i in range(BANDS // 2)]
-_PLACES = ", ".join(["_k1 long, _k2 long, _doc long, _line int, _h1 long, _h2 long", *(f"{c} long" for c in _PAIRS)])
+_PLACES = ", ".join(["_k1 long, _k2 long, _doc long, _line int, _h1 long, _h2 long, _more int", *(f"{c} long" for c in _PAIRS)])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that has a word: where it stands and its two hashes; and its band hashes where the
-    task first meets it, or meets it again after it has forgotten what it has seen."""
+    """Every line that has a word: where it stands, its two hashes and how often UNIT characters go
+    into it; and its band hashes where the task first meets it, or meets it again after it has
+    forgotten what it has seen."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            rows, numbers, hashes, new, lines, held, bands = [], [], [], [], [], 0, []
+            rows, numbers, hashes, more, new, lines, held, bands = [], [], [], [], [], [], 0, []
             for row, text in enumerate(part.column("_text").to_pylist()):
                 for number, line in enumerate((text or "").split("\n")):
                     if line.strip(" \t\r\x0b\x0c"):
@@ -131,6 +132,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         rows.append(row)
                         numbers.append(number)
                         hashes.append(own)
+                        more.append(len(line) // UNIT)
             if lines:
                 bands.append(signatures(lines))
             if len(seen) > _SEEN:
@@ -141,36 +143,52 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if new:
                     pairs[new], known[new] = np.concatenate(bands).view(np.int64), False
                 cols = [part.column(c).take(pa.array(rows, pa.int32())) for c in ("_k1", "_k2", "_doc")]
-                cols += [pa.array(numbers, pa.int32()), *(pa.array(both[:, j].copy()) for j in range(2)), *(pa.array(pairs[:, j].copy(), mask=known) for j in range(len(_PAIRS)))]
+                cols += [pa.array(numbers, pa.int32()), *(pa.array(both[:, j].copy()) for j in range(2)), pa.array(more, pa.int32())]
+                cols += [*(pa.array(pairs[:, j].copy(), mask=known) for j in range(len(_PAIRS)))]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PLACES.split(", ")])
 
 
-def _packed(bands: np.ndarray) -> bytes:
-    """Bands, which are numbers of 40 bits, in five bytes each."""
-    return bands.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _packed(places: np.ndarray) -> bytes:
+    """Ascending numbers of less than 48 bits: the low 16 of each in two bytes, the others as unary
+    differences, a one for each number and a zero for each step, so that both together take about
+    18 to 20 bits a number where they are dense."""
+    steps = (places >> 16).astype(np.int64)
+    bits = np.zeros(len(places) + (int(steps[-1]) if len(places) else 0), np.uint8)
+    bits[np.arange(len(places)) + steps] = 1
+    return np.array([len(places)], "<i8").tobytes() + places.astype("<u2").tobytes() + np.packbits(bits).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<i8").ravel()
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 2 * n)))
+    return (ones - np.arange(n)) << 16 | np.frombuffer(data, "<u2", n, 8)
+
+
+def _edges(shards: int) -> list[int]:
+    """Where shards begin among the places of bands, and where the last one ends."""
+    return [(BANDS << 32) * i // shards for i in range(shards + 1)]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Band hashes of distinct lines -> for each shard, a range of hashes, the bands in it: those
-    met once, packed, and those met more often, with how often."""
-    edges = (np.arange(1, shards, dtype=np.int64) << 32) // shards << 8
+    met once, packed, and those met more often, with how often.  A band's place is its hash times
+    BANDS and its number; it is packed as its distance from the shard's begin."""
+    edges = np.array(_edges(shards), np.int64)
 
     def sent(pairs: list[np.ndarray]) -> pa.RecordBatch:
         hashes = np.ascontiguousarray(np.concatenate(pairs)).view(np.uint32)
-        bands, n = np.unique((hashes.astype(np.int64) << 8 | np.arange(BANDS)).ravel(), return_counts=True)
-        ends = np.searchsorted(bands, edges).tolist()
+        places = (hashes.astype(np.int64) * BANDS + np.arange(BANDS)).ravel()
+        places.sort()
+        first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
+        n = np.diff(first, append=len(places))
+        places = places[first]
+        ends = np.searchsorted(places, edges).tolist()
         rows = []
-        for shard, (a, b) in enumerate(zip([0, *ends], [*ends, len(bands)])):
+        for shard, (a, b) in enumerate(zip(ends, ends[1:])):
             if a < b:
-                own, held = bands[a:b], n[a:b]
-                rows.append((shard, _packed(own[held == 1]), np.stack((own, held), axis=1)[held > 1].astype("<i8").tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "once", "more"])
+                own, held = places[a:b] - edges[shard], n[a:b]
+                rows.append((shard, int(edges[shard]), _packed(own[held == 1]), np.stack((own, held), axis=1)[held > 1].astype("<i8").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "begin", "once", "more"])
 
     held, lines = [], 0
     for batch in batches:
@@ -185,17 +203,16 @@ def _sharded(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Reco
 
 def _full(shard: pa.Table) -> pa.Table:
     """The bands of one shard that more than one line has, and how many."""
-    bands, n = np.unique(_unpacked(b"".join(shard.column("once").to_pylist())), return_counts=True)
+    places = np.concatenate([_unpacked(x) for x in shard.column("once").to_pylist()])
+    places.sort()
     more = np.frombuffer(b"".join(shard.column("more").to_pylist()), "<i8").reshape(-1, 2)
-    often, which = np.unique(more[:, 0], return_inverse=True)
-    count = np.zeros(len(often), np.int64)
-    np.add.at(count, which, more[:, 1])
-    at = np.searchsorted(bands, often)
-    both = np.flatnonzero(at < len(bands))
-    both = both[bands[at[both]] == often[both]]
-    count[both] += n[at[both]]
-    n[at[both]] = 0
-    return pa.table({"band": np.concatenate((bands[n > 1], often)), "n": np.concatenate((n[n > 1], count))})
+    at = np.flatnonzero(places[1:] == places[:-1])  # two or more that are met once each
+    found, which = np.unique(np.concatenate((more[:, 0], places[at])), return_inverse=True)
+    count = np.zeros(len(found), np.int64)
+    np.add.at(count, which[: len(more)], more[:, 1])
+    count += np.searchsorted(places, found, "right") - np.searchsorted(places, found, "left")
+    hashes, numbers = np.divmod(found + (shard.column("begin")[0].as_py() if len(found) else 0), BANDS)
+    return pa.table({"band": hashes << 8 | numbers, "n": count})
 
 
 def full_bands(lines: DataFrame) -> DataFrame:
@@ -204,7 +221,7 @@ def full_bands(lines: DataFrame) -> DataFrame:
     aggregate of a row for each does."""
     spark = lines.sparkSession
     shards = max(shuffle_partitions(spark), -(-lines.count() * BANDS // SHARD))
-    sent = lines.select(*_PAIRS).mapInArrow(lambda batches: _sharded(batches, shards), "shard int, once binary, more binary")
+    sent = lines.select(*_PAIRS).mapInArrow(lambda batches: _sharded(batches, shards), "shard int, begin long, once binary, more binary")
     with bounded_batches(spark):
         return stored(sent.groupBy("shard").applyInArrow(_full, "band long, n long"), "lines-bands")
 
@@ -304,68 +321,104 @@ def _many(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of lines -> links that connect all of Jaccard similarity SIMILARITY, and no others.
+    """Groups of lines -> a link from each line to the first one, by its hashes, of those that links of
+    Jaccard similarity SIMILARITY lead to within the group.
 
     A search goes out from each line to those not yet reached.
     """
     for batch in batches:
         lists = batch.column("lines")
         ends, flat = np.asarray(lists.offsets).tolist(), lists.values
-        texts, h1, h2 = (flat.field(c) for c in ("line", "_h1", "_h2"))
+        texts, h1, h2 = flat.field("line"), *(np.asarray(flat.field(c)) for c in ("_h1", "_h2"))
         a, b = [], []
         for begin, end in zip(ends, ends[1:]):
-            lines = texts.slice(begin, end - begin).to_pylist()
+            lines, trees = texts.slice(begin, end - begin).to_pylist(), {}
             for x, y in (_few if len(lines) <= FEW else _many)(lines):
-                a.append(begin + x)
-                b.append(begin + y)
-        cols = [h.take(pa.array(i, pa.int64())) for i in (a, b) for h in (h1, h2)]
-        yield pa.RecordBatch.from_arrays(cols, names=["a1", "a2", "b1", "b2"])
+                # x was reached before y, and what is reached from one start comes before the next start
+                root = trees.setdefault(x, [x]) if x not in trees else trees[x]
+                root.append(y)
+                trees[y] = root
+            for tree in {id(t): t for t in trees.values()}.values():
+                own = sorted(((h1[begin + x], h2[begin + x], begin + x) for x in tree))
+                a += [x for _, _, x in own[1:]]
+                b += [own[0][2]] * (len(own) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(h[i]) for i in (np.array(a, int), np.array(b, int)) for h in (h1, h2)], names=["a1", "a2", "b1", "b2"])
 
 
 def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct lines (_h1, _h2, _b0 ...) and texts (_h1, _h2, line) of all lines -> links (a, b) that
-    connect all similar lines that share a band; a line is named by struct(_h1, _h2).
-
-    Lines meet in the buckets of their bands; buckets of the same lines are compared once, and
-    only lines that share a bucket have their text fetched.  Until then one hash stands for a
-    line: should two share it, both are fetched.  Buckets are counted first, so that the many of
-    one line alone go no further.
+    """Distinct lines (_h1, _h2, _more, _b0 ...) and texts (_h1, _h2, line) of all lines -> links (a, b)
+    that connect all similar lines that share a band, and none that similar ones don't connect; a
+    line is named by struct(_h1, _h2).
+
+    Lines meet in the buckets of their bands.  Buckets are counted first, so that the many of one
+    line alone go no further.  Those that share lines are put together: nearly all lines that
+    share a bucket are similar, so that a component of buckets is seldom more than the lines that
+    a single task compares, and each line's text is fetched for it once, not for each bucket.  The
+    buckets of a larger component are compared by themselves.  Until texts are fetched one hash
+    stands for a line: should two share it, both are fetched.
     """
     return _member_links(_members(lines), texts)
 
 
 def _members(lines: DataFrame) -> DataFrame:
-    """(band, n, _h1): the lines of all bands that n of them share."""
+    """(band, n, _h1, _more): the lines of all bands that n of them share."""
     low, named = F.lit((1 << 32) - 1), lambda h, i: F.shiftleft(h, 8).bitwiseOR(F.lit(i).cast("long"))
     bands = [x for i, c in enumerate(_PAIRS) for x in (
         named(F.col(c).bitwiseAND(low), 2 * i), named(F.shiftrightunsigned(c, 32), 2 * i + 1))]
-    rows = lines.select("_h1", F.explode(F.array(*bands)).alias("band"))
+    rows = lines.select("_h1", "_more", F.explode(F.array(*bands)).alias("band"))
     release(lines.sparkSession)
     full = full_bands(lines)
     release(lines.sparkSession)
     return stored(having(rows, full, "band"), "lines-members")
 
 
+def _near(members: DataFrame) -> DataFrame:
+    """(_h1, part): the lines that buckets connect, part being the least of them."""
+    ends = stored(members.groupBy("band").agg(F.min("_h1").alias("a"), F.max("_h1").alias("z")), "lines-ends")
+    edges = members.join(if_small(ends.filter("a < z").select("band", "a")), "band").select("a", F.col("_h1").alias("b"))
+    near = stored(connected_components(edges).select(F.col("node").alias("_h1"), F.col("component").alias("part")), "lines-near")
+    alone = ends.filter("a = z").select(F.col("a").alias("_h1"), F.col("a").alias("part"))
+    if alone.isEmpty():
+        return near
+    return stored(near.union(alone.distinct().join(near, "_h1", "left_anti")), "lines-near")
+
+
 def _member_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    wanted = stored(members.select("_h1").distinct(), "lines-wanted")
-    found = stored(having(texts, wanted, "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
-    long = found.filter(F.length("line") >= UNIT).groupBy("_h1").agg(F.max(F.floor(F.length("line") / UNIT)).alias("more"))
-    heavy = members.join(if_small(stored(long, "lines-long")), "_h1").groupBy("band").agg(F.sum("more").alias("more"))
+    near = _near(members)
+    long = stored(members.filter("_more > 0").groupBy("_h1").agg(F.max("_more").alias("more")), "lines-long")
+    weighed = near.join(if_small(long), "_h1", "left").groupBy("part").agg(F.sum(F.lit(1) + F.coalesce("more", F.lit(0))).alias("weight"))
+    heavy = stored(weighed.filter(F.col("weight") > BLOCK).select("part"), "lines-heavy")
+    if heavy.isEmpty():
+        return _compared(having(texts, near, "_h1"), "part")
+    light = stored(near.join(if_small(heavy), "part", "left_anti"), "lines-light")
+    rest = near.join(if_small(heavy), "part").select("_h1")
+    rest = stored(members.join(if_small(stored(rest, "lines-rest")), "_h1"), "lines-rest")
+    return _compared(having(texts, light, "_h1"), "part").union(_bucket_links(rest, long, texts))
+
+
+def _bucket_links(members: DataFrame, long: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of lines whose buckets are compared one by one, in blocks of bounded size."""
+    heavy = members.join(if_small(long), "_h1").groupBy("band").agg(F.sum("more").alias("more"))
     members = members.join(if_small(stored(heavy, "lines-heavy")), "band", "left").withColumn("weight", F.col("n") + F.coalesce("more", F.lit(0)))
     dealt = blocks(members, "band", "weight", "_h1", BLOCK)
     sets = dealt.groupBy("block").agg(F.array_sort(F.collect_set("_h1")).alias("set")).select("set").distinct()
     sets = stored(sets.select(F.struct(*long_hash(F.col("set"))).alias("block"), "set"), "lines-blocks")
     release(members.sparkSession)
-    placed = sets.select("block", F.explode("set").alias("_h1")).join(if_small(found), "_h1")
-    lines = placed.groupBy("block").agg(F.collect_list(F.struct("_h1", "_h2", "line")).alias("lines"))
-    links = lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long").distinct()
+    found = stored(having(texts, stored(members.select("_h1").distinct(), "lines-wanted"), "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
+    return _compared(sets.select("block", F.explode("set").alias("_h1")).join(if_small(found), "_h1"), "block")
+
+
+def _compared(placed: DataFrame, group: str) -> DataFrame:
+    """Links (a, b) of the lines (_h1, _h2, line) of each group, any of which may come again."""
+    lines = placed.groupBy(group).agg(F.collect_set(F.struct("_h1", "_h2", "line")).alias("lines"))
+    links = lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long")
     return links.select(F.struct(F.col("a1").alias("_h1"), F.col("a2").alias("_h2")).alias("a"), F.struct(F.col("b1").alias("_h1"), F.col("b2").alias("_h2")).alias("b"))
 
 
 def _once(lines: DataFrame, again: DataFrame) -> DataFrame:
-    """(_h1, _h2, _b0 ...): each distinct line once.  Several tasks may have met a line and given its
+    """(_h1, _h2, _more, _b0 ...): each distinct line once.  Several tasks may have met a line and given its
     bands; only those that come again can be among them, and the others need no shuffle."""
-    met = sieved(lines.filter(F.col(_PAIRS[0]).isNotNull()).select("_h1", "_h2", *_PAIRS), again, "_h1")
+    met = sieved(lines.filter(F.col(_PAIRS[0]).isNotNull()).select("_h1", "_h2", "_more", *_PAIRS), again, "_h1")
     met = met.withColumnRenamed("_maybe", "_again")
     several = stored(met.filter("_again").drop("_again").dropDuplicates(["_h1", "_h2"]), "lines-met")
     return met.filter("NOT _again").drop("_again").union(several)
@@ -391,7 +444,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = rows.select(F.explode(F.split("_text", "\n", -1)).alias("line"))
     texts = texts.select(*(h.alias(n) for h, n in zip(long_hash(F.col("line")), ("_h1", "_h2"))), "line")
     members = _members(_once(lines, again))
-    places = stored(lines.drop(*_PAIRS), "lines-all")
+    places = stored(lines.drop("_more", *_PAIRS), "lines-all")
     discard(lines)
     links = settled(lambda: _member_links(members, texts), "lines-links")
     discard(members)

@@ -253,3 +253,32 @@ def test_bands_of_lines_are_not_kept(spark, monkeypatch):
     (again, rows), = met
     assert again == 1 and len(rows) == len({r[:2] for r in rows}) == 41
     assert all(None not in r for r in rows)
+
+
+def test_bands_are_sent_in_few_bytes():
+    rnd = np.random.default_rng(2)
+    pairs = np.ascontiguousarray(rnd.integers(0, 1 << 32, (30_000, linededup.BANDS), dtype=np.uint64).astype(np.uint32)).view(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.copy()], names=linededup._PAIRS)
+    for shards in (1, 44):
+        once = pa.Table.from_batches(linededup._sharded(iter([batch]), shards))["once"].to_pylist()
+        assert sum(map(len, once)) < 2.6 * 30_000 * linededup.BANDS
+    for some in ([], [0], [5], [1 << 40, (1 << 40) + 1], [65535, 65536, 1 << 33]):
+        assert linededup._unpacked(linededup._packed(np.array(some, np.int64))).tolist() == some
+
+
+def test_each_text_is_fetched_for_one_group(spark, monkeypatch):
+    """Lines that meet in several buckets are compared in one group, but for groups too large for a
+    task: these by their buckets, with the same result."""
+    placed, own = [], linededup._compared
+    monkeypatch.setattr(linededup, "_compared", lambda p, g: placed.append(p.groupBy("_h1", "_h2").agg(F.count_distinct(g).alias("n")).agg(F.sum("n"), F.count("*")).first()) or own(p, g))
+    rnd = random.Random(14)
+    bases = ["".join(rnd.choice("abcdefghij klmnop") for _ in range(90)) for _ in range(4)]
+    lines = [b[:i] + "XY"[i % 2] + b[i + 1 :] for b in bases for i in range(5, 85, 9)]
+    rows = [(i, "\n".join(lines[i::12])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == slow_lines(rows)
+    (groups, met), = placed
+    assert groups == met == 36
+    monkeypatch.setattr(linededup, "BLOCK", 6)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == slow_lines(rows)
+    assert len(placed) == 3
