@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +35,12 @@ _EMPTY = np.uint32(0xFFFFFFFF)
 #: Signatures with at most so many filled bins fill the others by rank, those with more by trial.
 _SPARSE = 32
 #: Characters and lines hashed at a time; lines that a task remembers.
-_CHARS, _LINES, _SEEN = 1 << 18, 1 << 12, 200_000
+_CHARS, _LINES, _SEEN = 1 << 16, 1 << 12, 200_000
 
 # For each bin a random order of all bins; and the place of each bin in that order.
 _ORDER = np.random.default_rng(42).permuted(np.tile(np.arange(_BINS), (_BINS, 1)), axis=1)
 _RANK = np.argsort(_ORDER, axis=1).astype(np.uint16)
+_TRIALS = _ORDER.T.copy()
 
 
 def _filled(least: np.ndarray) -> np.ndarray:
@@ -53,15 +55,19 @@ def _filled(least: np.ndarray) -> np.ndarray:
         for i in range(0, len(rows), 512):
             some, own = rows[i : i + 512], bins[i : i + 512]
             first = _RANK[:, own].argmin(axis=2).T  # bins by lines by filled bins
-            out[some] = np.take_along_axis(least[some], np.take_along_axis(own, first, axis=1), axis=1)
-    rows, cols = np.nonzero(~full & (counts > _SPARSE)[:, None])
+            out[some] = np.where(full[some], least[some], np.take_along_axis(least[some], np.take_along_axis(own, first, axis=1), axis=1))
+    flat, values, filled = least.ravel(), out.ravel(), full.ravel()
+    at = np.flatnonzero(~full & (counts > _SPARSE)[:, None])
+    cols = at % _BINS
+    begins = at - cols
     for trial in range(_BINS):
-        if not len(rows):
+        if not len(at):
             break
-        source = _ORDER[cols, trial]
-        found = full[rows, source]
-        out[rows[found], cols[found]] = least[rows[found], source[found]]
-        rows, cols = rows[~found], cols[~found]
+        source = begins + _TRIALS[trial][cols]
+        found = filled[source]
+        values[at[found]] = flat[source[found]]
+        left = ~found
+        at, cols, begins = at[left], cols[left], begins[left]
     return out
 
 
@@ -91,7 +97,9 @@ def signatures(lines: list[str]) -> np.ndarray:
     for i in range(1, SHINGLE):
         inside[ends - i] = False
     codes = codes[inside]
-    at = np.repeat(np.arange(len(lines)) * _BINS, counts) + (codes >> np.uint64(32)).astype(np.uint32) % np.uint32(_BINS)
+    bins = (codes >> np.uint64(32)).astype(np.uint32)
+    bins -= bins // np.uint32(_BINS) * np.uint32(_BINS)
+    at = np.repeat(np.arange(len(lines)) * _BINS, counts) + bins
     least = np.full(len(lines) * _BINS, _EMPTY)
     np.minimum.at(least, at, np.minimum(codes.astype(np.uint32), _EMPTY - np.uint32(1)))
     least = _filled(least.reshape(len(lines), _BINS)).astype(np.uint64)
@@ -104,6 +112,9 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 #: Columns of two band hashes each.
 _PAIRS = [f"_b{i}" for i in range(BANDS // 2)]
+#: The first character that _coded() and _alike() can't take.
+_WIDE = chr(1 << 12)
+
 _PLACES = ", ".join(["_k1 long, _k2 long, _doc long, _line int, _h1 long, _h2 long, _more int", *(f"{c} long" for c in _PAIRS)])
 
 
@@ -267,6 +278,32 @@ def _shared(a, b) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def _alike(lines: list[str]) -> np.ndarray:
+    """For lines of code points of 12 bits, the first with the second, the third with the fourth and so
+    on: whether they are similar.  A pair's shingles are sorted together, by code and line."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\n") for x in lines]
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    codes = points.copy()
+    for i in range(1, SHINGLE):
+        codes[: len(codes) - i] = codes[: len(codes) - i] << 12 | points[i:]
+    for i in range(1, SHINGLE):  # shingles that reach from one line into the next are none
+        codes[ends - i] = codes[starts]
+    codes = codes << 1 | np.repeat(np.arange(len(lines)) & 1, lengths)
+    starts = starts[::2]
+    for a, b in zip(starts.tolist(), ends[1::2].tolist()):
+        codes[a:b].sort()
+    new, both = np.ones(len(codes), bool), np.zeros(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    np.equal(codes[1:], codes[:-1] | 1, out=both[1:])
+    both &= new
+    new[starts], both[starts] = True, False
+    shared = np.add.reduceat(both.astype(np.int64), starts)
+    return _similar(shared, np.add.reduceat(new.astype(np.int64), starts), 0)
+
+
 def _few(lines: list[str]) -> Iterator[tuple[int, int]]:
     """Links of a small block, found by intersecting sets of about the same size."""
     coded = _coded(lines)
@@ -330,9 +367,17 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("lines")
         ends, flat = np.asarray(lists.offsets).tolist(), lists.values
         texts, h1, h2 = flat.field("line"), *(np.asarray(flat.field(c)) for c in ("_h1", "_h2"))
-        a, b = [], []
+        a, b, linked, pairs, held, size = [], [], [], [], [], 0
         for begin, end in zip(ends, ends[1:]):
             lines, trees = texts.slice(begin, end - begin).to_pylist(), {}
+            if len(lines) == 2 and all(x.isascii() or max(x) < _WIDE for x in lines):
+                pairs.append(begin)
+                held += lines
+                size += len(lines[0]) + len(lines[1])
+                if size >= _CHARS:
+                    linked += itertools.compress(pairs, _alike(held))
+                    pairs, held, size = [], [], 0
+                continue
             for x, y in (_few if len(lines) <= FEW else _many)(lines):
                 # x was reached before y, and what is reached from one start comes before the next start
                 root = trees.setdefault(x, [x]) if x not in trees else trees[x]
@@ -342,6 +387,12 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = sorted(((h1[begin + x], h2[begin + x], begin + x) for x in tree))
                 a += [x for _, _, x in own[1:]]
                 b += [own[0][2]] * (len(own) - 1)
+        if pairs:
+            linked += itertools.compress(pairs, _alike(held))
+        for x in linked:
+            first = x + ((h1[x + 1], h2[x + 1]) < (h1[x], h2[x]))
+            a.append(2 * x + 1 - first)
+            b.append(first)
         yield pa.RecordBatch.from_arrays([pa.array(h[i]) for i in (np.array(a, int), np.array(b, int)) for h in (h1, h2)], names=["a1", "a2", "b1", "b2"])
 
 

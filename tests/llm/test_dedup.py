@@ -282,3 +282,25 @@ def test_each_text_is_fetched_for_one_group(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BLOCK", 6)
     assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == slow_lines(rows)
     assert len(placed) == 3
+
+
+def test_pairs_are_compared_as_sets_of_shingles():
+    rnd = random.Random(4)
+    lines = []
+    for _ in range(600):
+        base = [rnd.choice(rnd.choice(["ab é", "abcdefgh ijklmn"])) for _ in range(rnd.choice([1, 2, 4, 5, 6, 9, 30, 200]))]
+        other = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            other[rnd.randrange(len(other))] = rnd.choice(["x", "yz", "é"])
+        lines += ["".join(base), "".join(other)]
+    want = [5 * len(shingles_of(a) & shingles_of(b)) >= 4 * len(shingles_of(a) | shingles_of(b)) for a, b in zip(lines[::2], lines[1::2])]
+    assert linededup._alike(lines).tolist() == want and 100 < sum(want) < 500
+
+
+def test_signatures_fill_empty_bins_alike_by_rank_and_by_trial(monkeypatch):
+    """Lines with a few more or less than _SPARSE filled bins are comparable: bins that are filled stay."""
+    rnd = random.Random(6)
+    lines = ["".join(rnd.choice("abcdefgh ijkl") for _ in range(n)) for n in range(5, 60)]
+    ranked = linededup.signatures(lines)
+    monkeypatch.setattr(linededup, "_SPARSE", 0)
+    assert (linededup.signatures(lines) == ranked).all()
