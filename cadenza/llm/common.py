@@ -134,7 +134,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nulls are ignored.  Returns (node, component), component being the smallest node reachable,
     one row for each node that has an edge.  Each step is two joins with an aggregate, which is
     written first and then broadcast or joined by itself, so that a hub with very many edges is
-    neither a list in one task nor bound to one.  Lineage is cut by checkpoint().
+    neither a list in one task nor bound to one.  Components that are stars take no part in
+    further steps, so that a long one makes no others be joined again.  Lineage is cut by
+    checkpoint().
     """
     scratch_dir(edges.sparkSession)
     now = (
@@ -151,21 +153,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v")))
 
-    now = now.checkpoint()
-    while not _stars(now):
+    now, done = now.checkpoint(), None
+    while not (left := _unfinished(now)).isEmpty():
+        small = if_small(left)
+        ended = now.join(small, "v", "left_anti").select("u", "v")
+        done = ended if done is None else done.union(ended)
+        now = now.join(small, "v", "left_semi").select("u", "v").checkpoint()
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stars(both, True).filter("u <> v").checkpoint()
+        large = stars(both, True).filter("u <> v").distinct().checkpoint()
         now = stars(large, False).filter("u <> v").distinct().checkpoint()
+    now = now if done is None else done.union(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _stars(pairs: DataFrame) -> bool:
-    """Whether each node of (u, v) that has a parent v has one only, and that one has none."""
+def _unfinished(pairs: DataFrame) -> DataFrame:
+    """(v): the parents in (u, v) whose components are not stars yet.  In a star the parent has none
+    itself, and its children have no other parent and no children."""
     ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
         pairs.select("v", F.lit(0), F.lit(1)))
     ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return ends.filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+    wrong = ends.filter("up > 1 OR up = 1 AND down = 1").select(F.col("node").alias("u")).checkpoint()
+    return pairs.join(if_small(wrong), "u").select("v").union(wrong).distinct().checkpoint()
 
 
 def lower_hex(col: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import blocks, bounded_batches, carried, connected_components, discard, having, if_small, release, settled, shuffle_partitions, sieved, stored
+from cadenza.llm.common import bounded_batches, carried, connected_components, discard, having, if_small, release, settled, shuffle_partitions, sieved, stored
 
 #: Characters of a shingle.  A changed character touches as many shingles: longer ones would lose near copies of short lines.
 SHINGLE = 5
@@ -323,9 +323,9 @@ def _few(lines: list[str]) -> Iterator[tuple[int, int]]:
                 yield from ((x, y) for y in found)
 
 
-def _many(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """Links of a large block: the numbers of shingles that a line shares with all others come
-    from the block's inverted index at once."""
+def _indexed(lines: list[str]) -> tuple[np.ndarray, Callable[[int], np.ndarray]]:
+    """How many shingles each line of a block has, and a function that gives how many a line shares
+    with each, from the block's inverted index at once."""
     number: dict[str, int] = {}
     if (coded := _coded(lines)) is None:
         ids = [np.array([number.setdefault(s, len(number)) for s in shingles(x)], np.int64) for x in lines]
@@ -337,26 +337,59 @@ def _many(lines: list[str]) -> Iterator[tuple[int, int]]:
     owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[np.argsort(flat, kind="stable")]
     held = np.bincount(flat, minlength=count)
     begins = np.cumsum(held) - held
-    free = np.ones(len(ids), bool)
-    for start in range(len(ids)):
+
+    def shared(x: int) -> np.ndarray:
+        counts = held[ids[x]]
+        out = np.zeros(len(ids), np.int64)
+        for i in range(0, len(counts), 4096):
+            some = counts[i : i + 4096]
+            places = np.repeat(begins[ids[x][i : i + 4096]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            out += np.bincount(owner[places], minlength=len(ids))
+        return out
+
+    return sizes, shared
+
+
+def _many(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Links of a large block, by its inverted index."""
+    sizes, shared = _indexed(lines)
+    free = np.ones(len(sizes), bool)
+    for start in range(len(sizes)):
         if not free[start]:
             continue
         free[start] = False
         queue = [start]
         while queue and free.any():
             x = queue.pop()
-            counts = held[ids[x]]
-            shared = np.zeros(len(ids), np.int64)
-            for i in range(0, len(counts), 4096):
-                some = counts[i : i + 4096]
-                places = np.repeat(begins[ids[x][i : i + 4096]] - np.cumsum(some) + some, some) + np.arange(some.sum())
-                shared += np.bincount(owner[places], minlength=len(ids))
-            found = np.flatnonzero(free & _similar(shared, sizes[x], sizes))
+            found = np.flatnonzero(free & _similar(shared(x), sizes[x], sizes))
             free[found] = False
             queue += found.tolist()
             yield from ((x, y) for y in found.tolist())
 
 
+def _across(lines: list[str], classes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of lines that are dealt into classes, numbered from 0: of those between classes as many as
+    connect all that any such link connects.  Lines of the smaller of two classes are looked up
+    among those of the larger one."""
+    sizes, shared = _indexed(lines)
+    counts = np.bincount(classes)
+    part, later = np.arange(len(counts)), np.ones(len(sizes), bool)
+    for c in np.argsort(counts, kind="stable")[:-1].tolist():
+        own = np.flatnonzero(classes == c)
+        later[own] = False
+        free = later & (part[classes] != part[c])
+        for x in own.tolist():
+            if not free.any():
+                break
+            found = np.flatnonzero(free & _similar(shared(x), sizes[x], sizes)).tolist()
+            for y in found:
+                if part[classes[y]] != part[c]:
+                    part[part == part[classes[y]]] = part[c]
+                    yield x, y
+            if found:
+                free &= part[classes] != part[c]
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of lines -> a link from each line to the first one, by its hashes, of those that links of
     Jaccard similarity SIMILARITY lead to within the group.
@@ -396,6 +429,21 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[i]) for i in (np.array(a, int), np.array(b, int)) for h in (h1, h2)], names=["a1", "a2", "b1", "b2"])
 
 
+def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of lines, each with its class (_r1, _r2) -> links of classes that have similar lines."""
+    for batch in batches:
+        lists = batch.column("lines")
+        ends, flat = np.asarray(lists.offsets).tolist(), lists.values
+        texts, r1, r2 = flat.field("line"), *(np.asarray(flat.field(c)) for c in ("_r1", "_r2"))
+        a, b = [], []
+        for begin, end in zip(ends, ends[1:]):
+            _, classes = np.unique(np.stack((r1[begin:end], r2[begin:end]), axis=1), axis=0, return_inverse=True)
+            for x, y in _across(texts.slice(begin, end - begin).to_pylist(), classes.ravel()):
+                a.append(begin + x)
+                b.append(begin + y)
+        yield pa.RecordBatch.from_arrays([pa.array(r[i]) for i in (np.array(a, int), np.array(b, int)) for r in (r1, r2)], names=["a1", "a2", "b1", "b2"])
+
+
 def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct lines (_h1, _h2, _more, _b0 ...) and texts (_h1, _h2, line) of all lines -> links (a, b)
     that connect all similar lines that share a band, and none that similar ones don't connect; a
@@ -405,7 +453,7 @@ def line_links(lines: DataFrame, texts: DataFrame) -> DataFrame:
     line alone go no further.  Those that share lines are put together: nearly all lines that
     share a bucket are similar, so that a component of buckets is seldom more than the lines that
     a single task compares, and each line's text is fetched for it once, not for each bucket.  The
-    buckets of a larger component are compared by themselves.  Until texts are fetched one hash
+    buckets of a larger component are compared by themselves, see _bucket_links().  Until texts are fetched one hash
     stands for a line: should two share it, both are fetched.
     """
     return _member_links(_members(lines), texts)
@@ -448,21 +496,81 @@ def _member_links(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _bucket_links(members: DataFrame, long: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of lines whose buckets are compared one by one, in blocks of bounded size."""
-    heavy = members.join(if_small(long), "_h1").groupBy("band").agg(F.sum("more").alias("more"))
-    members = members.join(if_small(stored(heavy, "lines-heavy")), "band", "left").withColumn("weight", F.col("n") + F.coalesce("more", F.lit(0)))
-    dealt = blocks(members, "band", "weight", "_h1", BLOCK)
-    sets = dealt.groupBy("block").agg(F.array_sort(F.collect_set("_h1")).alias("set")).select("set").distinct()
+    """Links of lines whose buckets are compared by themselves, in blocks of bounded size.
+
+    To compare each two parts of a bucket takes blocks, and gives links, by the square of its size.
+    So each line is first compared in its fullest bucket alone, with the lines of its part and of
+    a small first part that all parts meet: what is linked there is a class.  Then buckets of
+    several classes are compared so, between classes only.  Lines of those buckets that still have
+    several, and more lines than a block, meet all others but those of the largest class, which
+    don't meet each other.
+    """
+    weight = F.lit(1) + F.coalesce("more", F.lit(0))
+    members = stored(members.join(if_small(long), "_h1", "left").select("band", "n", "_h1", weight.alias("weight")), "lines-weighed")
+    homes = members.groupBy("_h1").agg(F.max(F.struct("n", "band")).alias("_home"), F.max("weight").alias("weight"))
+    homes = stored(homes.select("_home.band", "_h1", "weight"), "lines-homes")
+    found = stored(having(texts, homes.select("_h1"), "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
+    first = F.pmod(F.xxhash64(F.lit("first"), "_h1"), F.ceil(F.col("whole") * 4 / F.lit(BLOCK))) == 0
+    links = stored(_compared(_blocks(homes, first).join(if_small(found), "_h1"), "block"), "lines-home-links")
+    own = stored(found.select(F.struct("_h1", "_h2").alias("a"), F.struct("_h1", "_h2").alias("root")), "lines-own")
+    classes = _classes(own, "a", links)
+    bridges = stored(_class_links(members, classes, found, first), "lines-bridges")
+    classes = _classes(classes, "root", bridges)
+    rest = _class_links(members, classes, found, F.col("root") != F.col("main"), BLOCK)
+    return classes.filter("a != root").select("a", F.col("root").alias("b")).union(rest)
+
+
+def _classes(named: DataFrame, key: str, links: DataFrame) -> DataFrame:
+    """(a, root): lines and their classes, after links of `key` have put some together."""
+    parts = stored(connected_components(links).select(F.col("node").alias(key), "component"), "lines-merged")
+    return stored(named.join(if_small(parts), key, "left").select("a", F.coalesce("component", "root").alias("root")), "lines-classes")
+
+
+def _class_links(members: DataFrame, classes: DataFrame, found: DataFrame, hub: Column, above: int = 0) -> DataFrame:
+    """Links (a, b) of classes that have similar lines in a bucket of several classes, of more weight than
+    `above`.  hub: see _blocks()."""
+    placed = members.join(if_small(classes.select("a._h1", "root")), "_h1")
+    shares = placed.groupBy("band", "root").agg(F.sum("weight").alias("own"))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("own", "root")).alias("main"), F.sum("own").alias("all"), F.count("*").alias("n"))
+    mixed = stored(mixed.filter((F.col("n") > 1) & (F.col("all") > above)).select("band", F.col("main.root").alias("main")), "lines-mixed")
+    rows = stored(placed.drop("n").join(if_small(mixed), "band"), "lines-mixed")
+    texts = found.join(if_small(classes.select("a._h1", "a._h2", F.col("root._h1").alias("_r1"), F.col("root._h2").alias("_r2"))), ["_h1", "_h2"])
+    lines = _blocks(rows, hub).join(texts, "_h1").groupBy("block").agg(F.collect_set(F.struct("_h1", "_h2", "_r1", "_r2", "line")).alias("lines"))
+    return _ends(lines.select("lines").mapInArrow(_bridges, "a1 long, a2 long, b1 long, b2 long"))
+
+
+def _blocks(members: DataFrame, hub: Column) -> DataFrame:
+    """(block, _h1): the lines (band, _h1, weight) of each bucket in blocks of a weight of about BLOCK, equal
+    blocks once.
+
+    A heavier bucket is cut by hash into parts of half a block, those of its hubs and those of other
+    lines; a block is two parts, one of them of hubs.  hub may read `whole`, the bucket's weight.
+    """
+    whole = stored(members.groupBy("band").agg(F.sum("weight").alias("whole")).filter(F.col("whole") > BLOCK), "lines-whole")
+    light = members.join(if_small(whole), "band", "left_anti").select(F.col("band").alias("block"), "_h1")
+    heavy = members.join(if_small(whole), "band").withColumn("_hub", hub)
+    count = lambda x: F.ceil(F.coalesce(F.sum(x), F.lit(0)) * 2 / F.lit(BLOCK)).cast("int")
+    parts = heavy.groupBy("band").agg(
+        F.greatest(count(F.when(F.col("_hub"), F.col("weight"))), F.lit(1)).alias("_hubs"), count(F.when(~F.col("_hub"), F.col("weight"))).alias("_others"))
+    heavy = heavy.join(if_small(stored(parts, "lines-parts")), "band")
+    place = F.xxhash64(F.lit("part"), "_h1")
+    own = F.when(F.col("_hub"), F.pmod(place, F.col("_hubs"))).otherwise(F.col("_hubs") + F.pmod(place, F.col("_others"))).cast("int")
+    last = F.when(F.col("_hub"), F.col("_hubs") + F.col("_others") - 1).otherwise(F.col("_hubs") - 1)
+    heavy = heavy.withColumn("_own", own).withColumn("_other", F.explode(F.array_remove(F.sequence(F.lit(0), last), F.col("_own"))))
+    heavy = heavy.select(F.xxhash64("band", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("block"), "_h1")
+    sets = light.union(heavy).groupBy("block").agg(F.array_sort(F.collect_set("_h1")).alias("set")).filter(F.size("set") > 1).select("set").distinct()
     sets = stored(sets.select(F.struct(*long_hash(F.col("set"))).alias("block"), "set"), "lines-blocks")
     release(members.sparkSession)
-    found = stored(having(texts, stored(members.select("_h1").distinct(), "lines-wanted"), "_h1").dropDuplicates(["_h1", "_h2"]), "lines-texts")
-    return _compared(sets.select("block", F.explode("set").alias("_h1")).join(if_small(found), "_h1"), "block")
+    return sets.select("block", F.explode("set").alias("_h1"))
 
 
 def _compared(placed: DataFrame, group: str) -> DataFrame:
     """Links (a, b) of the lines (_h1, _h2, line) of each group, any of which may come again."""
     lines = placed.groupBy(group).agg(F.collect_set(F.struct("_h1", "_h2", "line")).alias("lines"))
-    links = lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long")
+    return _ends(lines.select("lines").mapInArrow(_trees, "a1 long, a2 long, b1 long, b2 long"))
+
+
+def _ends(links: DataFrame) -> DataFrame:
     return links.select(F.struct(F.col("a1").alias("_h1"), F.col("a2").alias("_h2")).alias("a"), F.struct(F.col("b1").alias("_h1"), F.col("b2").alias("_h2")).alias("b"))
 
 

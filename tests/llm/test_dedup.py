@@ -304,3 +304,46 @@ def test_signatures_fill_empty_bins_alike_by_rank_and_by_trial(monkeypatch):
     ranked = linededup.signatures(lines)
     monkeypatch.setattr(linededup, "_SPARSE", 0)
     assert (linededup.signatures(lines) == ranked).all()
+
+
+def test_finished_components_are_not_joined_again(spark, monkeypatch):
+    """A long path takes several steps; 400 pairs beside it, which are stars from the start, take none."""
+    from cadenza.llm import common
+
+    met, own = [], common.if_small
+    monkeypatch.setattr(common, "if_small", lambda df, *a: met.append(df.count() if df.columns == ["u", "m"] else 0) or own(df, *a))
+    edges = [(i, i + 1) for i in range(100, 160)] + [(1000 + 2 * i, 1001 + 2 * i) for i in range(400)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 100 for i in range(100, 161)} | {1000 + i: 1000 + i // 2 * 2 for i in range(800)}
+    assert sum(x > 0 for x in met) >= 4 and max(met) <= 61, met
+
+
+def test_links_of_a_large_group_grow_with_its_lines(spark, monkeypatch):
+    """Near copies that fill many blocks: not a tree of links for each two parts of each bucket."""
+    monkeypatch.setattr(linededup, "BLOCK", 24)
+    edges, own = [], linededup.connected_components
+    monkeypatch.setattr(linededup, "connected_components", lambda e: edges.append(e.count()) or own(e))
+    rnd = random.Random(8)
+    base = "".join(rnd.choice("abcdefghij klmnop") for _ in range(160))
+    lines = [base[:i] + x + base[i + 1 :] for i in range(2, 158, 2) for x in "XY"]
+    other = "".join(rnd.choice("abcdefghij klmnop") for _ in range(160))
+    mixed = [base[:k] + other[k:] for k in range(100, 160, 3)]
+    rows = [(i, "\n".join((lines + mixed)[i::9])) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == slow_lines(rows)
+    assert len(lines) * 0.9 < edges[-1] < 1.5 * len(lines + mixed), edges
+
+
+def test_links_across_classes_connect_what_all_links_do():
+    rnd = random.Random(17)
+    for letters in ("abcdefgh ijkl", "日本語一二三四五六七八九十"):
+        bases = [[rnd.choice(letters) for _ in range(120)] for _ in range(6)]
+        lines = ["".join(b[:k] + ["xyz"[k % 3]] + b[k + 1 :]) for b in bases for k in range(3, 117, 13)]
+        classes = np.array([i // 9 * 3 + rnd.choice([0, 0, 1, 2]) for i in range(len(lines))])
+        _, classes = np.unique(classes, return_inverse=True)
+        sets, links = [shingles_of(x) for x in lines], list(linededup._across(lines, classes))
+        alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+        assert links and all(alike(a, b) and classes[a] != classes[b] for a, b in links)
+        want = components(len(lines), lambda a, b: alike(a, b) or classes[a] == classes[b])
+        got = components(len(lines), lambda a, b: classes[a] == classes[b] or (a, b) in links or (b, a) in links)
+        assert got == want and len(links) == len(set(classes.tolist())) - len(set(want))
